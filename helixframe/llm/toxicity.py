@@ -39,8 +39,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), (mix(np.concatenate(coords)) >> _U(64 - _BITS)).astype(np.int64)
 
 
-def ftrl(examples: list[np.ndarray], labels: list[int], alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over sparse binary examples: the coordinates with weights, the weights, the bias."""
+def ftrl(examples: list[np.ndarray], labels: list[int], alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 8, positive: float = 3.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal over sparse binary examples: the coordinates with weights, the weights, the bias.
+
+    Examples of label 1 count ``positive`` times, as they are rare.
+    """
     z, n = np.zeros(1 << _BITS), np.zeros(1 << _BITS)
     zb = nb = bias = 0.0
     rng = np.random.default_rng(seed)
@@ -55,7 +58,7 @@ def ftrl(examples: list[np.ndarray], labels: list[int], alpha: float = 0.1, beta
             w = weights(zi, ni)
             bias = -zb / ((beta + nb**0.5) / alpha)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
-            g = p - labels[k]
+            g = (p - labels[k]) * (positive if labels[k] else 1.0)
             root = np.sqrt(ni + g * g)
             z[idx] = zi + g - (root - np.sqrt(ni)) / alpha * w
             n[idx] = ni + g * g
@@ -81,12 +84,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) ->
     examples, y = [], []
     for _, text, toxic in rows:
         b = np.frombuffer(text.encode(), np.uint8)
-        examples.append(np.unique(features(b, np.array([0, len(b)]))[1]))
+        examples.append(np.unique(features(b, np.array([0, len(b)]))[1]).astype(np.int32))
         y.append(int(toxic > 0))
     return ftrl(examples, y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 50_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: int = 50_000) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, held_out, score, predicted.
 
     Trained on ``labels(doc_id, toxic)`` of rows whose crc32(doc_id as text) mod 5 is not
