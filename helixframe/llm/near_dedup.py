@@ -13,7 +13,10 @@ Groups are never expanded into all pairs:
 * after connected components, only buckets that still hold several components are
   looked at again, and there only nodes outside the component of the bucket's
   smallest node are compared with nodes of other components.  Nodes of the same
-  component need no comparison, so no link between different components is lost.
+  component need no comparison, so no link between different components is lost;
+* before that, the shingles that only one node of those buckets has are counted: a node
+  can share no more than its other shingles with any candidate, which bounds the
+  similarity from above and exactly excludes most loosely edited copies.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 misses all bands with probability
 5e-6; the sketch test keeps it but for about 1e-9.
@@ -131,6 +134,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """(doc_id, lone): how many shingles of each text(doc_id, text) no other of these texts has; texts without any are missing."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, _, buf, off in pieces(batch.column(1)):
+                for k, s in enumerate(shingle_sets(buf, off), lo):
+                    for i in range(0, len(s), 1 << 16):
+                        part = pa.array(s[i : i + (1 << 16)].view(np.int64))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(part), k))), part], names=["doc_id", "shingle"])
+
+    one = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    return one.where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links(a, b): alternating large and small stars.
 
@@ -153,7 +171,7 @@ def components(links: DataFrame) -> DataFrame:
         e = materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("x", "m")).distinct(), "small-star")
 
 
-def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, min_estimate: float = 0.4) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, min_estimate: float = 0.5) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept.
 
     A text is lower-cased (A-Z) and cut into words at ASCII white space; its set is the
@@ -191,8 +209,18 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     tagged = shared.join(lab, "doc_id", "left").select("key", "pivot", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.max(F.when(F.col("doc_id") == F.col("pivot"), F.col("c"))).alias("c_pivot"), F.count(F.lit(1)).alias("n")).where("c_min <> c_max and n > 2")
     tagged = materialize(tagged.join(mixed.select("key", "c_pivot"), "key").where("doc_id <> pivot"), "mixed-buckets")
-    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot"), "key").where("cx <> cy and (cy = c_pivot or x < y)")
+    met = tagged.select("doc_id").distinct()
+    lone = lone_shingles(texts.join(met, "doc_id", "left_semi"))
+    size = full.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).join(lone, "doc_id")
+    size = size.select("doc_id", "n", (F.col("n") - F.when(F.col("rows") == 1, F.col("lone")).otherwise(0)).alias("common"))
+    # nodes without lone shingles are missing in ``size``; their bound is their own size
+    size = met.join(size, "doc_id", "left").join(full.groupBy("doc_id").agg(F.max("n_shingles").alias("n0")), "doc_id")
+    size = materialize(size.select("doc_id", F.col("n0").alias("n"), F.coalesce("common", "n0").alias("common")).where(100 * F.col("common") >= percent * F.col("n0")), "bounds")
+    tagged = tagged.join(size, "doc_id")
+    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"))
+    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my")), "key")
+    most = F.least("mx", "my")
+    rest = rest.where((F.expr("cx <> cy and (cy = c_pivot or x < y)")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(confirm(likely(rest), texts, percent), "rest-links")
     if not more.isEmpty() or not same.join(node.select("doc_id").distinct(), F.col("a") == F.col("doc_id"), "left_semi").isEmpty():
