@@ -290,8 +290,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 pos, mask = scan.triggers(buf, off)
                 doc = np.searchsorted(off, pos, "left") - 1
                 kinds, starts, ends = ([[] for _ in range(hi - lo)] for _ in range(3))
-                cut = np.flatnonzero(np.diff(doc, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
+                cut = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
                     i = int(doc[a])
                     part = buf[off[i] : off[i + 1]]
                     found = scan.spans(part.tobytes(), list(zip((pos[a:b] - off[i]).tolist(), mask[a:b].tolist(), strict=True)))
