@@ -236,11 +236,13 @@ def long_matches(docs: DataFrame, length: int = 400, q: int = 64, chunk: int = 1
 
     occ = materialize(list_spans(rows, length, q), "spans")
     again = occ.groupBy("fp").agg(F.count(F.lit(1)).alias("total"), F.min("sh").alias("sh_min"), F.max("sh").alias("sh_max")).where("total > 1")
-    again = again.select("fp", (F.col("sh_min") != F.col("sh_max")).alias("varied"))
-    cand = materialize(occ.join(again, "fp"), "candidates")
+    # written first, so that the join below reads plain exchanges on both sides and a hot anchor can be split
+    again = materialize(again.select("fp", (F.col("sh_min") != F.col("sh_max")).alias("varied")), "anchors")
+    cand = materialize(occ.join(again.hint("merge"), "fp"), "candidates")
     kinds = cand.groupBy("fp", "sh", "varied").agg(F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("doc_id", "th", "lo", "n")])
     kinds = materialize(kinds, "distinct-spans")
-    whole = cand.join(kinds.where("cnt > 1").select(F.col("fp").alias("f2"), F.col("sh").alias("s2")), (F.col("fp") == F.col("f2")) & (F.col("sh") == F.col("s2")))
+    # merge joins: the size of a compressed table says little about what a broadcast of it would hold
+    whole = cand.join(kinds.where("cnt > 1").select(F.col("fp").alias("f2"), F.col("sh").alias("s2")).hint("merge"), (F.col("fp") == F.col("f2")) & (F.col("sh") == F.col("s2")))
     marks = whole.select(*key, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e"))
 
     # anchors with several contents of which one occurs once
@@ -249,7 +251,7 @@ def long_matches(docs: DataFrame, length: int = 400, q: int = 64, chunk: int = 1
     open_spans = varied.join(groups, F.col("fp") == F.col("gf")).select("fp", "doc_id", "th", "lo", "n", "cnt", "size")
     r = rows.select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "bytes")
     same = F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))
-    fetched = open_spans.join(r, same).select("fp", *key, "lo", "cnt", "size", F.substring("bytes", F.col("lo") + 1, F.col("n") - 1 + length).alias("bytes"))
+    fetched = open_spans.hint("merge").join(r, same).select("fp", *key, "lo", "cnt", "size", F.substring("bytes", F.col("lo") + 1, F.col("n") - 1 + length).alias("bytes"))
     # repeated rows give a span several times; equal rows have equal spans, so those have cnt > 1 and any copy does
     fetched = materialize(fetched, "fetched")
     small = index_groups(fetched.where(F.col("size") <= max_group), length, chunk)
@@ -260,7 +262,7 @@ def long_matches(docs: DataFrame, length: int = 400, q: int = 64, chunk: int = 1
 
     per_text = unite(marks)
     p = per_text.select(F.col("doc_id").alias("pd"), F.col("th").alias("pt"), "starts", "ends")
-    out = rows.join(p, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left")
+    out = rows.join(p.hint("merge"), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left")
     spans = F.when(F.col("starts").isNull(), F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(F.transform("starts", lambda s, i: F.struct(s.alias("start"), F.get("ends", i).alias("end"))))
     gaps = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda i: F.substring("bytes", (F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1).cast("int"), (F.coalesce(F.get("starts", i), F.octet_length("bytes").cast("long")) - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("int")))
     kept = F.when(F.col("starts").isNull(), F.col("bytes")).otherwise(F.aggregate(gaps, F.lit(b""), lambda a, x: F.concat(a, x)))

@@ -182,7 +182,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     """
     sk = materialize(sketches(docs, bands, rows, bits), "sketches")
     full = sk.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written first, so that a hot digest can be split in the joins; merge, as a compressed size is no bound for a broadcast
+    sets = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sets").hint("merge")
     member = full.select("doc_id", "n_shingles", "digest").join(sets, "digest").select("doc_id", "n_shingles", "rep")
     # repeated doc_ids: all sets of one id belong to one node
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
