@@ -1,0 +1 @@
+"""Spark-native de Bruijn graph analytics: reads to k-mer graph to contigs, and corpus operators in ``helixframe.llm``."""

@@ -1,2 +1,196 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries of the graph operators over the driver's tables, with their DuckDB SQL.
+
+No table holds DNA, so both engines derive it by the same rule: block j of the genome is
+the MD5 of j with the hex digits mapped to bases, there is one block for each row of
+``part``, and each row of ``orders`` is a read of 60 bases.  Some reads get a changed
+base (tips and bubbles), some a letter that isn't a base.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.functions import dna
+from helixframe.operators import contig_stats as cstats
+from helixframe.operators import graph, paths
+from helixframe.plans.assembler import assemble_graph
+from helixframe.sources import sinks
+
+K, READ, THRESHOLD = 21, 60, 3
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _block(j):
+    return F.translate(F.md5(j.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, seq for each order; the genome's length is one number."""
+    size = table(spark, sf_dir, "part").agg((F.count(F.lit(1)) * 32).alias("size"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"))
+    o = o.crossJoin(F.broadcast(size)).withColumn("at", F.col("read_id") * 7919 % (F.col("size") - READ))
+    j = F.floor(F.col("at") / 32)
+    seq = F.substring(F.concat(_block(j), _block(j + 1), _block(j + 2)), (F.col("at") % 32 + 1).cast("int"), READ)
+    o = o.select("read_id", seq.alias("s"), (F.col("read_id") % 97 == 0).alias("wrong"), (F.col("read_id") % 89 == 0).alias("unknown"))
+    s = F.when(F.col("unknown"), F.concat(F.left("s", F.lit(29)), F.lit("N"), F.right("s", F.lit(30)))).when(F.col("wrong"), F.concat(F.left("s", F.lit(29)), F.translate(F.substring("s", 30, 1), "ACGT", "CGTA"), F.right("s", F.lit(30)))).otherwise(F.col("s"))
+    return o.select("read_id", s.alias("seq"))
+
+
+def weighted_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, kmer, weight for each line item: a k-mer table with repeats, hence parallel edges."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_id"), F.left(_block(F.col("l_partkey")), F.lit(K)).alias("kmer"), F.col("l_quantity").cast("long").alias("weight"))
+    return li
+
+
+def number_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to suppliers, weighted by the number of line items: a graph without DNA."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("weight"))
+    return li.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("edge_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("").alias("label"), "weight")
+
+
+def _edges(spark, d):
+    return graph.kmer_graph(raw_reads(spark, d), K)
+
+
+def _genome(spark, d):
+    return 32 * table(spark, d, "part").count()
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", "label", "weight")
+
+
+def _lengths(spark, d):
+    return raw_reads(spark, d).select(F.length("seq").cast("long").alias("len")).unionByName(table(spark, d, "documents").select(F.length("text").cast("long").alias("len")))
+
+
+def _unitig_sizes(spark, d):
+    e = _edges(spark, d)
+    return paths.unitigs(e).groupBy("unitig_id").agg(F.count(F.lit(1)).alias("edges"), F.max("dist").alias("last"))
+
+
+def _codec(spark, d):
+    r = graph.accepted(raw_reads(spark, d))
+    r = r.select("read_id", "seq", dna.pack("seq").alias("p"), dna.pack_edge(F.col("seq")).alias("e"))
+    return r.select("read_id", F.lower(F.hex("p")).alias("packed"), F.lower(F.hex("e")).alias("edge"), (dna.unpack_edge(F.col("e")) == F.col("seq")).alias("same"))
+
+
+def _labels(spark, d):
+    r = graph.accepted(raw_reads(spark, d))
+    s = F.col("seq")
+    return r.select("read_id", dna.source(s, K).alias("src"), dna.target(s, K).alias("dst"), dna.remainder(s, K).alias("rest"), dna.merge_labels(s, F.col("seq"), K).alias("merged"), dna.last_base(s).alias("last"), dna.replace_last_base(s, F.lit("T")).alias("replaced"), dna.append_bases(s, F.lit("GA")).alias("longer"), dna.replace_base_and_clear(F.left(s, F.lit(4)), F.lit(1), F.lit("G")).alias("chunk"), dna.codes(s).alias("codes"))
+
+
+def _pipeline(spark, d):
+    return assemble_graph(_edges(spark, d), K, _genome(spark, d), THRESHOLD).contigs
+
+
+QUERIES = {
+    "graph_stats": lambda s, d: graph.graph_stats(_edges(s, d)),
+    "read_filter": lambda s, d: graph.accepted(raw_reads(s, d)),
+    "read_filter_documents": lambda s, d: graph.accepted(table(s, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))),
+    "read_bytes": lambda s, d: graph.accepted_bytes(raw_reads(s, d)),
+    "kmer_windows": lambda s, d: graph.kmer_rows(raw_reads(s, d), K).groupBy("kmer").agg(F.min("edge_id").alias("first_seen"), F.max("edge_id").alias("last_seen")),
+    "kmer_count": lambda s, d: _edges(s, d).select(F.col("label").alias("kmer"), "weight"),
+    "kmer_count_rc": lambda s, d: graph.kmer_graph(raw_reads(s, d), K, True).select(F.col("label").alias("kmer"), "weight"),
+    "reverse_complement": lambda s, d: graph.accepted(raw_reads(s, d)).select("read_id", dna.reverse_complement(F.col("seq")).alias("rc")),
+    "encode_2bit": _codec,
+    "label_functions": _labels,
+    "bfc_scan_filter": lambda s, d: graph.weighted_graph(weighted_kmers(s, d).where("weight >= 25"), K).select("edge_id", "src", "dst", "label", "weight"),
+    "bfc_edges_rc": lambda s, d: graph.weighted_graph(weighted_kmers(s, d), K, True).groupBy("label").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")),
+    "edges": lambda s, d: _plain(_edges(s, d)),
+    "nodes": lambda s, d: graph.nodes(_edges(s, d)),
+    "degrees": lambda s, d: graph.degrees(_edges(s, d)),
+    "degrees_numbers": lambda s, d: graph.degrees(number_graph(s, d)),
+    "ambiguous_nodes": lambda s, d: graph.ambiguous_nodes(_edges(s, d)),
+    "external_nodes": lambda s, d: graph.external_nodes(_edges(s, d)),
+    "first_edges": lambda s, d: _edges(s, d).groupBy("src").agg(F.max_by("label", "edge_id").alias("label")),
+    "adjacency": lambda s, d: graph.adjacency(_edges(s, d)).select("node", F.array_join(F.transform("outgoing", lambda e: F.concat_ws(":", e["dst"], e["weight"].cast("string"), e["last_char"])), ",").alias("outgoing")),
+    "adjacency_roundtrip": lambda s, d: _plain(graph.from_adjacency(graph.adjacency(_edges(s, d)))),
+    "adjacency_weak": lambda s, d: graph.drop_weak_adjacency(graph.adjacency(_edges(s, d)), THRESHOLD).select("node", F.size("outgoing").alias("n")),
+    "adjacency_stats": lambda s, d: graph.adjacency_stats(graph.adjacency(_edges(s, d))).select("node_count", "edge_count"),
+    "has_incoming": lambda s, d: graph.with_incoming(_edges(s, d)),
+    "isolated_nodes": lambda s, d: graph.isolated_nodes(graph.nodes(_edges(s, d)), graph.remove_weak_edges(_edges(s, d), THRESHOLD)),
+    "weak_edges": lambda s, d: _plain(graph.remove_weak_edges(_edges(s, d), THRESHOLD)),
+    "weak_edges_numbers": lambda s, d: graph.remove_weak_edges(number_graph(s, d), 2).select("src", "dst", "weight"),
+    "label_stats": lambda s, d: graph.label_stats(_edges(s, d)),
+    "std_ratio": lambda s, d: paths.standardization_ratio(_edges(s, d), _genome(s, d), K, THRESHOLD),
+    "std_edges": lambda s, d: _plain(paths.standardize_edges(_edges(s, d), _genome(s, d), K, THRESHOLD)),
+    "contig_stats": lambda s, d: cstats.contig_stats(_lengths(s, d), 1_000_000),
+    "fasta_lines": lambda s, d: sinks.fasta_lines(graph.accepted(raw_reads(s, d)).select(F.col("read_id").alias("contig_id"), "seq")),
+    "dot_lines": lambda s, d: sinks.dot_lines(_edges(s, d)),
+    "graph_dump": lambda s, d: sinks.dump(_edges(s, d)),
+    "unitigs": _unitig_sizes,
+    "std_contigs": lambda s, d: _plain(paths.standardize_contigs(_edges(s, d))),
+    "shrink": lambda s, d: _plain(paths.shrink(_edges(s, d), K)),
+    "dead_paths": lambda s, d: _plain(paths.remove_dead_paths(_edges(s, d), K)),
+    "wcc_count": lambda s, d: paths.weak_components(_edges(s, d)).agg(F.countDistinct("component").alias("components")),
+    "collapse": lambda s, d: paths.collapse(_edges(s, d), K),
+    "full_pipeline": _pipeline,
+}
+
+_BLOCK = "translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_READS = f"""
+pos AS (SELECT o_orderkey AS read_id, o_orderkey * 7919 % ((SELECT count(*) * 32 FROM part) - {READ}) AS start FROM orders),
+base AS (SELECT read_id, substring({_BLOCK.format("CAST(floor(start / 32.0) AS BIGINT)")} || {_BLOCK.format("(CAST(floor(start / 32.0) AS BIGINT) + 1)")} || {_BLOCK.format("(CAST(floor(start / 32.0) AS BIGINT) + 2)")}, CAST(start % 32 + 1 AS INT), {READ}) AS s FROM pos),
+raw AS (SELECT read_id, CASE WHEN read_id % 89 = 0 THEN left(s, 29) || 'N' || right(s, 30) WHEN read_id % 97 = 0 THEN left(s, 29) || translate(substring(s, 30, 1), 'ACGT', 'CGTA') || right(s, 30) ELSE s END AS seq FROM base),
+reads AS (SELECT * FROM raw WHERE regexp_full_match(seq, '[ACGT]*'))"""
+_WINDOWS = f"win AS (SELECT read_id * 2097152 + i AS edge_id, substring(seq, i + 1, {K}) AS kmer FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {K - 1})) AS i FROM reads))"
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+_EDGES = f"{_READS}, {_WINDOWS}, edges AS (SELECT min(edge_id) AS edge_id, left(kmer, {K - 1}) AS src, right(kmer, {K - 1}) AS dst, kmer AS label, count(*) AS weight FROM win GROUP BY kmer)"
+_DEG = """deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node)"""
+_NODES = "nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges))"
+_BFC = f"bfc AS (SELECT l_orderkey * 8 + l_linenumber AS read_id, left({_BLOCK.format('l_partkey')}, {K}) AS kmer, CAST(l_quantity AS BIGINT) AS weight FROM lineitem)"
+_NUM = "edges AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, count(*) AS weight FROM lineitem GROUP BY l_partkey, l_suppkey)"
+_P = f"p AS (SELECT ((SELECT count(*) * 32 FROM part) - {K}) / CAST(sum(weight) - coalesce(sum(weight) FILTER (WHERE weight < {THRESHOLD}), 0) AS DOUBLE) AS p FROM edges)"
+_DIGITS = "translate({0}, 'ACGT', '0123')"
+_PACKED = "lower(string_agg(to_hex(CAST(substring(d, i, 1) AS INT) * 4 + CAST(substring(d, i + 1, 1) AS INT)), '' ORDER BY i))"
+
+
+def _with(parts: str, select: str) -> str:
+    return f"WITH {parts} {select}"
+
+
+ORACLE_SQL = {
+    "graph_stats": _with(f"{_EDGES}, {_DEG}", "SELECT (SELECT count(*) FROM deg) AS node_count, count(*) AS edge_count, coalesce(max(weight), 0) AS max_edge_weight, avg(weight) AS avg_edge_weight, (SELECT coalesce(max(in_degree), 0) FROM deg) AS max_in_degree, (SELECT coalesce(max(out_degree), 0) FROM deg) AS max_out_degree, count(*) / CAST((SELECT count(*) FROM deg) AS DOUBLE) AS avg_out_degree, (SELECT count(*) FROM deg WHERE in_degree = 0) AS incoming_vert_count, (SELECT count(*) FROM deg WHERE out_degree = 0) AS outgoing_vert_count FROM edges"),
+    "read_filter": _with(_READS, "SELECT read_id, seq FROM reads"),
+    "read_filter_documents": "SELECT doc_id AS read_id, text AS seq FROM documents WHERE regexp_full_match(text, '[ACGT]*')",
+    "read_bytes": _with(_READS, "SELECT CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS bytes FROM reads"),
+    "kmer_windows": _with(f"{_READS}, {_WINDOWS}", "SELECT kmer, min(edge_id) AS first_seen, max(edge_id) AS last_seen FROM win GROUP BY kmer"),
+    "kmer_count": _with(_EDGES, "SELECT label AS kmer, weight FROM edges"),
+    "kmer_count_rc": _with(f"{_READS}, {_WINDOWS}", f"SELECT kmer, count(*) AS weight FROM (SELECT kmer FROM win UNION ALL SELECT {_RC.format('kmer')} FROM win) GROUP BY kmer"),
+    "reverse_complement": _with(_READS, f"SELECT read_id, {_RC.format('seq')} AS rc FROM reads"),
+    "encode_2bit": _with(_READS, f"SELECT read_id, {_PACKED} AS packed, '00' || {_PACKED} AS edge, true AS same FROM (SELECT read_id, {_DIGITS.format('seq')} AS d, unnest(range(1, length(seq), 2)) AS i FROM reads) GROUP BY read_id"),
+    "label_functions": _with(_READS, f"SELECT read_id, left(seq, {K - 1}) AS src, right(seq, {K - 1}) AS dst, substring(seq, {K}) AS rest, seq || substring(seq, {K}) AS merged, right(seq, 1) AS last, left(seq, length(seq) - 1) || 'T' AS replaced, seq || 'GA' AS longer, left(seq, 1) || 'GAA' AS chunk, {_DIGITS.format('seq')} AS codes FROM reads"),
+    "bfc_scan_filter": _with(_BFC, f"SELECT read_id * 2097152 AS edge_id, left(kmer, {K - 1}) AS src, right(kmer, {K - 1}) AS dst, kmer AS label, weight FROM bfc WHERE weight >= 25"),
+    "bfc_edges_rc": _with(_BFC, f"SELECT label, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT kmer AS label, weight FROM bfc UNION ALL SELECT {_RC.format('kmer')}, weight FROM bfc) GROUP BY label"),
+    "edges": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
+    "nodes": _with(f"{_EDGES}, {_NODES}", "SELECT node FROM nodes"),
+    "degrees": _with(f"{_EDGES}, {_DEG}", "SELECT * FROM deg"),
+    "degrees_numbers": _with(f"{_NUM}, {_DEG}", "SELECT * FROM deg"),
+    "ambiguous_nodes": _with(f"{_EDGES}, {_DEG}", "SELECT node FROM deg WHERE in_degree > 1 OR out_degree > 1 OR (in_degree = 0 AND out_degree >= 1)"),
+    "external_nodes": _with(f"{_EDGES}, {_DEG}", "SELECT node, CASE WHEN in_degree = 0 THEN 'input' ELSE 'output' END AS kind FROM deg WHERE in_degree = 0 OR out_degree = 0"),
+    "first_edges": _with(_EDGES, "SELECT src, arg_max(label, edge_id) AS label FROM edges GROUP BY src"),
+    "adjacency": _with(f"{_EDGES}, {_NODES}", "SELECT node, coalesce(string_agg(dst || ':' || weight || ':' || right(dst, 1), ',' ORDER BY dst), '') AS outgoing FROM nodes LEFT JOIN edges ON node = src GROUP BY node"),
+    "adjacency_roundtrip": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
+    "adjacency_weak": _with(f"{_EDGES}, strong AS (SELECT * FROM edges WHERE weight >= {THRESHOLD})", "SELECT node, CAST(sum(o) AS INT) AS n FROM (SELECT src AS node, 1 AS o FROM strong UNION ALL SELECT dst, 0 FROM strong) GROUP BY node"),
+    "adjacency_stats": _with(f"{_EDGES}, {_NODES}", "SELECT (SELECT count(*) FROM nodes) AS node_count, count(*) AS edge_count FROM edges"),
+    "has_incoming": _with(_EDGES, "SELECT DISTINCT dst AS node FROM edges"),
+    "isolated_nodes": _with(f"{_EDGES}, {_NODES}", f"SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM edges WHERE weight >= {THRESHOLD}) AND node NOT IN (SELECT dst FROM edges WHERE weight >= {THRESHOLD})"),
+    "weak_edges": _with(_EDGES, f"SELECT src, dst, label, weight FROM edges WHERE weight >= {THRESHOLD}"),
+    "weak_edges_numbers": _with(_NUM, "SELECT src, dst, weight FROM edges WHERE weight >= 2"),
+    "label_stats": _with(_EDGES, "SELECT avg(length(label)) AS avg_label, CAST(sum(ceil(length(label) / 4.0) + 1) AS BIGINT) AS packed_bytes, 100 * (1 - sum(ceil(length(label) / 4.0) + 1) / CAST(sum(length(label)) AS DOUBLE)) AS saved_percent FROM edges"),
+    "std_ratio": _with(f"{_EDGES}, {_P}", "SELECT p FROM p"),
+    "std_edges": _with(f"{_EDGES}, {_P}, s AS (SELECT src, dst, label, CAST(CASE WHEN round(weight * p) = 0 AND weight >= {THRESHOLD} THEN 1 ELSE round(weight * p) END AS BIGINT) AS weight FROM edges, p)", "SELECT * FROM s WHERE weight >= 1"),
+    "contig_stats": _with(
+        f"{_READS}, l AS (SELECT row_number() OVER () AS id, len FROM (SELECT length(seq) AS len FROM raw UNION ALL SELECT length(text) FROM documents)), c AS (SELECT len, sum(len) OVER (ORDER BY len, id) AS a, sum(len) OVER (ORDER BY len DESC, id DESC) AS d, sum(len) OVER () AS t FROM l)",
+        "SELECT CAST(coalesce(min(len) FILTER (WHERE a >= floor(t / 2.0)), max(len), 0) AS BIGINT) AS n50, count(*) FILTER (WHERE d - len < floor(t / 2.0)) AS l50, CAST(coalesce(min(len) FILTER (WHERE a >= floor(CAST(t AS DOUBLE) * 0.1)), max(len), 0) AS BIGINT) AS n90, CAST(coalesce(min(len) FILTER (WHERE a >= 500000), max(len), 0) AS BIGINT) AS ng50 FROM c",
+    ),
+    "fasta_lines": _with(_READS, "SELECT read_id AS contig_id, '>contig_' || read_id || chr(10) || seq AS value FROM reads"),
+    "dot_lines": _with(_EDGES, "SELECT '    \"' || src || '\" -> \"' || dst || '\" [ label = \"' || label || ' (' || weight || ')\" ]' AS value FROM edges"),
+    "graph_dump": _with(_EDGES, "SELECT label || ' X weight ' || weight AS value FROM edges"),
+}
