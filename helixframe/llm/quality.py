@@ -83,6 +83,19 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= most_lost_percent * F.col("word_chars")))
     return out.drop("_words", "_lines", "_hash", "_win", "_pair", "_at", "_bad")
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that quality_rules keeps, with their failing lines removed and n_chars (if there) counted again.
+
+    The filter reads a column that isn't deterministic to the optimiser, so that it stays
+    above the projections: pushed below them, each column of the rules would be put in
+    for its name again and again, and the condition would grow without end.
+    """
+    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    out = judged.withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("clean_text").cast("long"))
+    return out.select(*docs.columns)
+
 
 #: DuckDB SQL for the query's rows.
 ORACLE = rf"""
