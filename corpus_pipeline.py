@@ -15,13 +15,12 @@ from helixframe.llm.exact_dedup import exact_dedup, normal_text
 from helixframe.llm.mixing import mix_sources
 from helixframe.llm.near_dedup import near_dedup
 from helixframe.llm.packing import pack
-from helixframe.llm.quality import quality_rules
+from helixframe.llm.quality import passing
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, with their failing lines removed and n_chars counted again."""
-    judged = quality_rules(docs).where("kept")
-    return judged.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("clean_text").cast("long")).select(*docs.columns)
+    return passing(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
