@@ -217,11 +217,16 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     # nodes without lone shingles are missing in ``size``; their bound is their own size
     size = met.join(size, "doc_id", "left").join(full.groupBy("doc_id").agg(F.max("n_shingles").alias("n0")), "doc_id")
     size = materialize(size.select("doc_id", F.col("n0").alias("n"), F.coalesce("common", "n0").alias("common")).where(100 * F.col("common") >= percent * F.col("n0")), "bounds")
-    tagged = tagged.join(size, "doc_id")
-    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"))
-    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my")), "key")
+    # A pair is looked at in the first band that it shares only, and by its sketches there; ids with several sets (null here) in every band.
+    own = node.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    own = own.select("doc_id", *[F.when(F.col("sets") == 1, F.col(c)).alias(c) for c in ("bands", "odd")])
+    tagged = tagged.join(size, "doc_id").join(own, "doc_id")
+    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"), F.col("bands").alias("bands_x"), F.col("odd").alias("odd_x"))
+    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my"), F.col("bands").alias("bands_y"), F.col("odd").alias("odd_y")), "key")
     most = F.least("mx", "my")
-    rest = rest.where((F.expr("cx <> cy and (cy = c_pivot or x < y)")) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)))
+    first = F.get(F.array_compact(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p))), F.lit(0)) == F.col("key")
+    near = estimate("odd_x", "odd_y", bands * rows, bits) >= min_estimate
+    rest = rest.where(F.expr("cx <> cy and (cy = c_pivot or x < y)") & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & F.coalesce(first & near, F.lit(True)))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(confirm(likely(rest), texts, percent), "rest-links")
     if not more.isEmpty() or not same.join(node.select("doc_id").distinct(), F.col("a") == F.col("doc_id"), "left_semi").isEmpty():
