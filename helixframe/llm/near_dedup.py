@@ -16,7 +16,10 @@ Groups are never expanded into all pairs:
   component need no comparison, so no link between different components is lost;
 * before that, the shingles that only one node of those buckets has are counted: a node
   can share no more than its other shingles with any candidate, which bounds the
-  similarity from above and exactly excludes most loosely edited copies.
+  similarity from above and exactly excludes most loosely edited copies;
+* an odd sketch of the full set, too, is kept for those nodes.  The population count of
+  the XOR of two of them never exceeds the size of the sets' difference, so a pair whose
+  count is too large for the threshold is excluded exactly, inside the join.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 misses all bands with probability
 5e-6; the sketch test keeps it but for about 1e-9.
@@ -107,8 +110,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, bits: int) -> DataFrame:
 
 def estimate(odd_a: str, odd_b: str, samples: int, bits: int):
     """Similarity that two odd sketches tell: 1 + n/(4k) ln(1 - 2d/n)."""
-    d = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    rest = F.greatest(1 - 2 * d / F.lit(float(bits)), F.lit(1e-9))
+    rest = F.greatest(1 - 2 * differing(odd_a, odd_b) / F.lit(float(bits)), F.lit(1e-9))
     return 1 + F.lit(bits / (4.0 * samples)) * F.log(rest)
 
 
@@ -134,6 +136,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def full_sketches(texts: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, n, parity): size and odd sketch of the full set of each text(doc_id, text); null for ids whose texts differ in them."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, off in pieces(batch.column(1)):
+                n, parity = [], []
+                for s in shingle_sets(buf, off):
+                    n.append(len(s))
+                    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "parity"])
+
+    one = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parity array<long>").select("doc_id", F.struct("n", "parity").alias("w"))
+    one = one.groupBy("doc_id").agg(F.min("w").alias("w"), F.max("w").alias("w_max"))
+    same = F.col("w") == F.col("w_max")
+    return one.select("doc_id", F.when(same, F.col("w.n")).alias("n"), F.when(same, F.col("w.parity")).alias("parity"))
+
+
+def differing(odd_a: str, odd_b: str):
+    """Population count of the XOR of two odd sketches."""
+    return F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def lone_shingles(texts: DataFrame) -> DataFrame:
     """(doc_id, lone): how many shingles of each text(doc_id, text) no other of these texts has; texts without any are missing."""
 
@@ -171,7 +197,7 @@ def components(links: DataFrame) -> DataFrame:
         e = materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("x", "m")).distinct(), "small-star")
 
 
-def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, min_estimate: float = 0.5) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, min_estimate: float = 0.5, full_bits: int = 2048) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept.
 
     A text is lower-cased (A-Z) and cut into words at ASCII white space; its set is the
@@ -211,7 +237,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     mixed = tagged.groupBy("key").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.max(F.when(F.col("doc_id") == F.col("pivot"), F.col("c"))).alias("c_pivot"), F.count(F.lit(1)).alias("n")).where("c_min <> c_max and n > 2")
     tagged = materialize(tagged.join(mixed.select("key", "c_pivot"), "key").where("doc_id <> pivot"), "mixed-buckets")
     met = tagged.select("doc_id").distinct()
-    lone = lone_shingles(texts.join(met, "doc_id", "left_semi"))
+    met_texts = materialize(texts.join(met, "doc_id", "left_semi"), "met-texts")
+    lone = lone_shingles(met_texts)
     size = full.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).join(lone, "doc_id")
     size = size.select("doc_id", "n", (F.col("n") - F.when(F.col("rows") == 1, F.col("lone")).otherwise(0)).alias("common"))
     # nodes without lone shingles are missing in ``size``; their bound is their own size
@@ -220,13 +247,17 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     # A pair is looked at in the first band that it shares only, and by its sketches there; ids with several sets (null here) in every band.
     own = node.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     own = own.select("doc_id", *[F.when(F.col("sets") == 1, F.col(c)).alias(c) for c in ("bands", "odd")])
+    whole = full_sketches(met_texts.join(size.select("doc_id"), "doc_id", "left_semi"), full_bits)
+    own = materialize(own.join(whole.withColumnRenamed("n", "set_size"), "doc_id"), "met-sketches")
     tagged = tagged.join(size, "doc_id").join(own, "doc_id")
-    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"), F.col("bands").alias("bands_x"), F.col("odd").alias("odd_x"))
-    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my"), F.col("bands").alias("bands_y"), F.col("odd").alias("odd_y")), "key")
+    out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"), *[F.col(k).alias(f"{k}_x") for k in ("bands", "odd", "set_size", "parity")])
+    rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my"), *[F.col(k).alias(f"{k}_y") for k in ("bands", "odd", "set_size", "parity")]), "key")
     most = F.least("mx", "my")
     first = F.get(F.array_compact(F.zip_with("bands_x", "bands_y", lambda p, q: F.when(p == q, p))), F.lit(0)) == F.col("key")
     near = estimate("odd_x", "odd_y", bands * rows, bits) >= min_estimate
-    rest = rest.where(F.expr("cx <> cy and (cy = c_pivot or x < y)") & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & F.coalesce(first & near, F.lit(True)))
+    # the difference of two sets of the threshold's similarity is this part of both sizes at most
+    close = (100 + percent) * differing("parity_x", "parity_y") <= (100 - percent) * (F.col("set_size_x") + F.col("set_size_y"))
+    rest = rest.where(F.expr("cx <> cy and (cy = c_pivot or x < y)") & (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & F.coalesce(first & near, F.lit(True)) & F.coalesce(close, F.lit(True)))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialize(confirm(likely(rest), texts, percent), "rest-links")
     if not more.isEmpty() or not same.join(node.select("doc_id").distinct(), F.col("a") == F.col("doc_id"), "left_semi").isEmpty():

@@ -65,6 +65,34 @@ def test_near_dedup_ids(spark):
     assert near_dedup.near_dedup(table(spark, [])).count() == 0
 
 
+def test_near_dedup_loose_copies(spark):
+    """Copies edited at random places: many pairs lie just below and just above the threshold."""
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(f"e{RNG.randrange(10**6)}" if RNG.random() < p else w for w in base) for p in (0.012, 0.02, 0.028, 0.035, 0.045) for _ in range(24)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    comp = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if linked(sets[a], sets[b]) and comp[a] != comp[b]:
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    assert 1 < len(set(comp)) < len(comp)
+    order = RNG.sample(range(len(texts)), len(texts))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(table(spark, [texts[i] for i in order], order)).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
+def test_full_sketches_bound_the_difference(spark):
+    rows = [prose(60), prose(60), "", "one two", prose(4000), prose(4000)]
+    got = {r.doc_id: r for r in near_dedup.full_sketches(table(spark, [*rows, rows[0], rows[1], rows[2]], [*range(6), 0, 7, 7]).withColumn("text", F.col("text").cast("binary")), 2048).collect()}
+    assert got[7].n is None and got[7].parity is None and got[0].n == 56 and got[2].n == 0
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()} for w in (t.split() for t in rows)]
+    for i, j in itertools.combinations(range(6), 2):
+        d = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(got[i].parity, got[j].parity, strict=True))
+        assert d <= len(sets[i] ^ sets[j])
+        assert d >= 0.9 * len(sets[i] ^ sets[j]) or len(sets[i] ^ sets[j]) > 400
+
+
 def test_odd_sketch_estimates():
     make = near_dedup.Sketcher(32, 4, 512)
     import numpy as np
