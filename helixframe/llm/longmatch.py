@@ -215,8 +215,9 @@ def count_windows(spans: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "cnt", "win"])
 
     wins = materialize(spans.select("doc_id", "th", F.col("lo").cast("long").alias("lo"), F.col("cnt").cast("long").alias("cnt"), "bytes").mapInArrow(run, "doc_id long, th long, s long, cnt long, win long"), "windows")
-    twice = wins.groupBy("win").agg(F.sum("cnt").alias("times")).where("times > 1").select("win")
-    return wins.where("cnt = 1").join(twice, "win").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+    # written first, so that the join reads plain exchanges on both sides and a hot window can be split
+    twice = materialize(wins.groupBy("win").agg(F.sum("cnt").alias("times")).where("times > 1").select("win"), "repeated-windows")
+    return wins.where("cnt = 1").join(twice.hint("merge"), "win").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
 
 
 def long_matches(docs: DataFrame, length: int = 400, q: int = 64, chunk: int = 1 << 20, max_group: int = 2000) -> DataFrame:
