@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.operators import contig_stats as cstats
 from helixframe.operators import graph, paths
+from helixframe.plans import oracles
 from helixframe.plans.assembler import assemble_graph
 from helixframe.sources import sinks
 
 K, READ, THRESHOLD = 21, 60, 3
+#: Edges under this weight go to break the well-covered graph into many fragments, short ones among them.
+FRAGMENTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,10 @@ def _edges(spark, d):
     return graph.kmer_graph(raw_reads(spark, d), K)
 
 
+def _fragments(spark, d):
+    return graph.remove_weak_edges(_edges(spark, d), FRAGMENTS)
+
+
 def _genome(spark, d):
     return 32 * table(spark, d, "part").count()
 
@@ -131,6 +138,9 @@ QUERIES = {
     "wcc_count": lambda s, d: paths.weak_components(_edges(s, d)).agg(F.countDistinct("component").alias("components")),
     "collapse": lambda s, d: paths.collapse(_edges(s, d), K),
     "full_pipeline": _pipeline,
+    "dead_paths_fragments": lambda s, d: _plain(paths.remove_dead_paths(_fragments(s, d), K)),
+    "wcc_fragments": lambda s, d: paths.weak_components(_fragments(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).groupBy("nodes").agg(F.count(F.lit(1)).alias("components")),
+    "collapse_fragments": lambda s, d: paths.collapse(paths.standardize_contigs(_fragments(s, d)), K),
 }
 
 _BLOCK = "translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -155,6 +165,10 @@ def _with(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"
 
 
+_GENOME = "(SELECT count(*) * 32 FROM part)"
+_BUILT = f"RECURSIVE {_READS}, {_WINDOWS}, edges AS MATERIALIZED (SELECT min(edge_id) AS edge_id, left(kmer, {K - 1}) AS src, right(kmer, {K - 1}) AS dst, kmer AS label, count(*) AS weight FROM win GROUP BY kmer)"
+_BROKEN = f"{_BUILT}, {oracles.weak_edges('edges', 'f', FRAGMENTS)}"
+
 ORACLE_SQL = {
     "graph_stats": _with(f"{_EDGES}, {_DEG}", "SELECT (SELECT count(*) FROM deg) AS node_count, count(*) AS edge_count, coalesce(max(weight), 0) AS max_edge_weight, avg(weight) AS avg_edge_weight, (SELECT coalesce(max(in_degree), 0) FROM deg) AS max_in_degree, (SELECT coalesce(max(out_degree), 0) FROM deg) AS max_out_degree, count(*) / CAST((SELECT count(*) FROM deg) AS DOUBLE) AS avg_out_degree, (SELECT count(*) FROM deg WHERE in_degree = 0) AS incoming_vert_count, (SELECT count(*) FROM deg WHERE out_degree = 0) AS outgoing_vert_count FROM edges"),
     "read_filter": _with(_READS, "SELECT read_id, seq FROM reads"),
@@ -193,4 +207,14 @@ ORACLE_SQL = {
     "fasta_lines": _with(_READS, "SELECT read_id AS contig_id, '>contig_' || read_id || chr(10) || seq AS value FROM reads"),
     "dot_lines": _with(_EDGES, "SELECT '    \"' || src || '\" -> \"' || dst || '\" [ label = \"' || label || ' (' || weight || ')\" ]' AS value FROM edges"),
     "graph_dump": _with(_EDGES, "SELECT label || ' X weight ' || weight AS value FROM edges"),
+    "unitigs": _with(f"{_BUILT}, {oracles.unitigs('edges', 'u')}", "SELECT unitig_id, count(*) AS edges, max(dist) AS last FROM u GROUP BY unitig_id"),
+    "std_contigs": _with(f"{_BUILT}, {oracles.standardize_contigs('edges', 's')}", "SELECT src, dst, label, weight FROM s"),
+    "shrink": _with(f"{_BUILT}, {oracles.shrink('edges', 'c', K)}", "SELECT src, dst, label, weight FROM c"),
+    "dead_paths": _with(f"{_BUILT}, {oracles.remove_dead_paths('edges', 'd', K)}", "SELECT src, dst, label, weight FROM d"),
+    "wcc_count": _with(f"{_BUILT}, {oracles.shrink('edges', 'c', K)}, {oracles.weak_components('c', 'w')}", "SELECT count(DISTINCT component) AS components FROM w"),
+    "collapse": _with(f"{_BUILT}, {oracles.collapse('edges', 'c', K)}", "SELECT contig_id, seq, len FROM c"),
+    "full_pipeline": _with(f"{_BUILT}, {oracles.assembly('edges', 'a', _GENOME, K, THRESHOLD)}", "SELECT contig_id, seq, len FROM a"),
+    "dead_paths_fragments": _with(f"{_BROKEN}, {oracles.remove_dead_paths('f', 'd', K)}", "SELECT src, dst, label, weight FROM d"),
+    "wcc_fragments": _with(f"{_BROKEN}, {oracles.shrink('f', 'c', K)}, {oracles.weak_components('c', 'w')}", f"SELECT nodes, count(*) AS components FROM (SELECT component, CAST(sum(nodes) AS BIGINT) AS nodes FROM (SELECT component, count(*) AS nodes FROM w GROUP BY component UNION ALL SELECT component, length(label) - {K} FROM c JOIN w ON src = node) GROUP BY component) GROUP BY nodes"),
+    "collapse_fragments": _with(f"{_BROKEN}, {oracles.standardize_contigs('f', 's')}, {oracles.collapse('s', 'c', K)}", "SELECT contig_id, seq, len FROM c"),
 }
