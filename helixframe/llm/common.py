@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +186,31 @@ def ranked(df: DataFrame, group: list[str], rank: str, key: list[str], rows_per_
     bits = max(chunks.bit_length() - 1, 4)
     df = df.withColumn("_rank_hash", F.xxhash64(*key)).withColumn("_rank_chunk", F.shiftrightunsigned("_rank_hash", 64 - bits))
     order = [F.shiftrightunsigned("_rank_hash", 1), F.col("_rank_hash"), *[F.col(k).asc_nulls_first() for k in key]]
+    return _numbered(df, group, rank, order).drop("_rank_hash")
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Add ``_rank_chunk`` and ``_rank_row``: where a row stands in the files that ``docs`` was read from, by path and row.
+
+    A table that wasn't read from files directly is taken in the order of its partitions.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            at = docs.withColumn("_rank_row", F.col("_metadata.row_index"))
+            return at.withColumn("_rank_chunk", F.struct(F.col("_metadata.file_path").alias("f"), F.shiftright("_rank_row", 14).alias("r")))
+        except AnalysisException as e:
+            if "_metadata" not in str(e):
+                raise
+    at = docs.withColumn("_rank_row", F.monotonically_increasing_id())
+    return at.withColumn("_rank_chunk", F.struct(F.lit("").alias("f"), F.shiftright("_rank_row", 14).alias("r")))
+
+
+def ranked_in_file_order(df: DataFrame, group: list[str], rank: str, key: list[str]) -> DataFrame:
+    """Like ``ranked``, for rows with the columns of ``in_file_order``: by file, row in it, and key."""
+    return _numbered(df, group, rank, [F.col("_rank_row"), *[F.col(k) for k in key]]).drop("_rank_row")
+
+
+def _numbered(df: DataFrame, group: list[str], rank: str, order: list[Column]) -> DataFrame:
     counts = df.groupBy(*group, "_rank_chunk").agg(F.count(F.lit(1)).alias("_rank_n"))
     before = Window.partitionBy(*group).orderBy("_rank_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_rank_before", F.coalesce(F.sum("_rank_n").over(before), F.lit(0)))
@@ -193,4 +219,4 @@ def ranked(df: DataFrame, group: list[str], rank: str, key: list[str], rows_per_
     on = F.col("_rank_chunk") == F.col("_rank_c")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_rank_{g}"))
-    return inside.join(c, on).withColumn(rank, F.col("_rank_in") + F.col("_rank_before")).drop("_rank_hash", "_rank_chunk", "_rank_in", "_rank_c", "_rank_before", *[f"_rank_{g}" for g in group])
+    return inside.join(c, on).withColumn(rank, F.col("_rank_in") + F.col("_rank_before")).drop("_rank_chunk", "_rank_in", "_rank_c", "_rank_before", *[f"_rank_{g}" for g in group])

@@ -3,7 +3,7 @@
 Texts longer than ``max_len`` tokens are cut into pieces of ``max_len``; the histogram
 of piece lengths, at most max_len + 1 rows whatever the input, goes to the driver; a
 dynamic program picks the bucket boundaries with the least padding; inside each bucket
-the pieces are numbered in hash order and every floor(budget / boundary) of them form a
+the pieces are numbered, in hash order or that of the input's files, and every floor(budget / boundary) of them form a
 batch.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ranked, words_col
+from helixframe.llm.common import in_file_order, ranked, ranked_in_file_order, words_col
 
 
 def best_boundaries(hist: dict[int, int], buckets: int) -> tuple[list[int], int]:
@@ -50,7 +50,7 @@ def best_boundaries(hist: dict[int, int], buckets: int) -> tuple[list[int], int]
     return out[::-1], int(cost[-1])
 
 
-def pack(docs: DataFrame, buckets: int = 16, max_len: int = 2048, budget: int = 65536, length_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 16, max_len: int = 2048, budget: int = 65536, length_col: str | None = None, keep_order: bool = False) -> DataFrame:
     """One row for each piece of ``docs(doc_id, text, ...)``: doc_id, piece, start_token, n_tokens, bucket, bucket_len, batch, row_in_batch.
 
     The tokens are the words of the text, or ``length_col`` holds their number (null or
@@ -58,20 +58,24 @@ def pack(docs: DataFrame, buckets: int = 16, max_len: int = 2048, budget: int =
     empty text is one piece of 0 tokens, so every row of ``docs`` is in the result.
     Batches of a bucket hold floor(budget / bucket_len) rows, so padded batches stay
     within the budget; the last of a bucket may be smaller.  Repeated rows are packed
-    each; ties of the hash order are rows alike in (doc_id, piece).
+    each; ties of the hash order are rows alike in (doc_id, piece).  With ``keep_order``
+    the batches of a bucket take its pieces in the order of the files that ``docs`` was
+    read from, so that a mixture that was written in order stays mixed.
     """
     if not 0 < max_len <= budget:
         raise ValueError("0 < max_len <= budget is needed")
     size = F.size(words_col(F.col("text"))) if length_col is None else F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
+    at = ["_rank_chunk", "_rank_row"] if keep_order else []
+    whole = (in_file_order(docs) if keep_order else docs).select(*at, F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
     last = F.greatest(F.ceil(F.col("size") / max_len) - 1, F.lit(0))
-    piece = whole.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    piece = piece.select("doc_id", "piece", (F.col("piece") * max_len).alias("start_token"), F.least(F.lit(max_len).cast("long"), F.col("size") - F.col("piece") * max_len).alias("n_tokens"))
+    piece = whole.select(*at, "doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
+    piece = piece.select(*at, "doc_id", "piece", (F.col("piece") * max_len).alias("start_token"), F.least(F.lit(max_len).cast("long"), F.col("size") - F.col("piece") * max_len).alias("n_tokens"))
     hist = {r[0]: r[1] for r in piece.groupBy("n_tokens").count().collect()}
     bounds, _ = best_boundaries(hist, buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(max_len).cast("long"))
     out = piece.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("n_tokens"))))
     out = out.withColumn("bucket_len", F.element_at(edges, F.col("bucket") + 1))
-    out = ranked(out, ["bucket"], "_rank", ["doc_id", "piece"])
+    number = ranked_in_file_order if keep_order else ranked
+    out = number(out, ["bucket"], "_rank", ["doc_id", "piece"])
     per = F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))
     return out.select("doc_id", "piece", "start_token", "n_tokens", "bucket", "bucket_len", F.floor(F.col("_rank") / per).alias("batch"), (F.col("_rank") % per).alias("row_in_batch"))
