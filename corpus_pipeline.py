@@ -42,8 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their buckets and batches."""
-    return pack(docs)
+    """The pieces of the documents with their buckets and batches, which follow the order of the mixture."""
+    return pack(docs, keep_order=True)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
