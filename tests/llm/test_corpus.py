@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, langid, longmatch, mixing, near_dedup, packing, quality, secrets, toxicity, warc
+from helixframe.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(4)
@@ -258,3 +259,12 @@ def test_pipeline(spark, tmp_path):
     assert 0.5 * docs.count() < d.count() < docs.count()
     packed = p.STAGES[-1][1](spark, d, SF)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in d.select("doc_id").collect()}
+    # the mixture's order decides what goes into which batch
+    mixed = materialize(p.mixing_stage(spark, d, SF), "test-mixed")
+    place = {r.doc_id: (r.mix_slot, r.mix_pos) for r in mixing.mix_sources(d).collect()}
+    rows = p.packing_stage(spark, mixed, SF).collect()
+    assert len(rows) == packed.count()
+    for bucket in {r.bucket for r in rows}:
+        mine = sorted((r for r in rows if r.bucket == bucket), key=lambda r: (r.batch, r.row_in_batch))
+        order = [(*place[r.doc_id], r.piece) for r in mine]
+        assert order == sorted(order)
