@@ -1,24 +1,32 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Documents of a source are dealt into blocks of ``block`` rows, in hash order.  Weights
-are rational, q_s / D with sum(q_s) = D, so the schedule repeats after D slots.  Block j
-of source s (from 0) may not run before slot floor(j D / q_s) and must have run by slot
-ceil((j+1) D / q_s); earliest deadline first among released blocks meets all windows,
-hence after every slot each source has had its share to within less than one block.
-
-Only one period is simulated, over sources and their weights; block j of a source then
-runs in slot D * floor(j / q) + offset[j mod q].  A source that has run out leaves its
-slots empty, and those of the others keep their order, so nothing is dropped or repeated.
+are exact fractions w_s that sum to 1.  Block j of source s (from 0) may not run before
+slot floor(j / w_s) and must have run by slot ceil((j+1) / w_s); earliest deadline first
+among released blocks meets all windows, hence after every slot each source that still
+has blocks has had its share to within less than one block.
+
+Every block there is gets its slot from one such run, in integers of any size.  A single
+task does it and streams the schedule out, so its memory depends on the number of sources
+and its time on the number of blocks.  A source that has run out releases no more; slots
+in which nothing is released stay empty, so nothing is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ranked
+from helixframe.llm.common import materialize, ranked
+
+_PLAN = "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
 
 
 def quantise(weights: dict, period: int) -> dict:
@@ -37,55 +45,84 @@ def quantise(weights: dict, period: int) -> dict:
     return q
 
 
-def pfair_period(q: dict) -> list[tuple]:
-    """One period of the schedule: (source, j, slot, release, deadline), by earliest deadline first."""
-    period = sum(q.values())
-    release = lambda s, j: j * period // q[s]
-    deadline = lambda s, j: -(-(j + 1) * period // q[s])
+def whole(weights: dict) -> dict:
+    """Positive integers in exactly the proportion of the weights."""
+    bad = [s for s, x in weights.items() if not (math.isfinite(x) and x > 0)]
+    if bad:
+        raise ValueError(f"weights must be positive and finite, unlike that of {bad[0]!r}")
+    exact = {s: Fraction(x) for s, x in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def pfair(q: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, j, slot, release, deadline) of all ``blocks`` of the sources, by earliest deadline first; whole weights q."""
+    total = sum(q.values())
     names = sorted(q, key=lambda s: (s is None, str(s)))
-    later = [(0, k, 0) for k in range(len(names))]  # (release, source, j)
+    later = [(0, k, 0) for k, s in enumerate(names) if blocks[s]]  # (release, source, j)
     heapq.heapify(later)
     ready: list[tuple] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while later or ready:
+        if not ready:
+            slot = max(slot, later[0][0])
         while later and later[0][0] <= slot:
-            _, k, j = heapq.heappop(later)
-            heapq.heappush(ready, (deadline(names[k], j), k, j))
-        due, k, j = heapq.heappop(ready)
+            r, k, j = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(j + 1) * total // q[names[k]]), k, j, r))
+        due, k, j, r = heapq.heappop(ready)
         s = names[k]
-        out.append((s, j, slot, release(s, j), due))
-        if j + 1 < q[s]:
-            heapq.heappush(later, (release(s, j + 1), k, j + 1))
-    return out
+        yield s, j, slot, r, due
+        if j + 1 < blocks[s]:
+            heapq.heappush(later, ((j + 1) * total // q[s], k, j + 1))
+        slot += 1
+
+
+def pfair_period(q: dict) -> list[tuple]:
+    """One period of the schedule of whole weights: (source, j, slot, release, deadline)."""
+    return list(pfair(q, q))
+
+
+def schedule(counts: DataFrame, weights: dict | None, alpha: float, block: int, period: int | None) -> DataFrame:
+    """The slots of all blocks of ``counts(source, count)``: one task streams them out."""
+
+    def run(batches):
+        n = {}
+        for batch in batches:
+            n |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if not n:
+            return
+        w = {s: float(x) ** alpha for s, x in n.items()} | {s: x for s, x in (weights or {}).items() if s in n}
+        q = quantise(w, period) if period else whole(w)
+        plan = pfair(q, {s: -(-x // block) for s, x in n.items()})
+        types = [pa.string(), *[pa.int64()] * 4]
+        names = ["mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
+        while rows := list(itertools.islice(plan, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return counts.select(F.col("source").cast("string"), "count").repartition(1).mapInArrow(run, _PLAN)
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block: int = 64, period: int = 1000, max_sources: int = 1000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block: int = 64, period: int | None = None, max_sources: int = 1000) -> DataFrame:
     """The rows of ``docs(doc_id, source, ...)`` with mix_block, mix_slot, mix_release, mix_deadline, mix_pos.
 
     Reading by (mix_slot, mix_pos) gives the mixture.  ``weights`` maps sources to target
-    weights; sources it doesn't name, and all sources if it is None, weigh their row
-    count to the power ``alpha`` (named weights are then relative to those).  A null
-    source is a source of its own.  Every row is scheduled once, repeated rows and null
-    ids too; ties of the hash order are rows alike in doc_id.  Sources are counted into
-    one row each; more than ``max_sources`` stop the job, so the broadcast schedule has
-    at most ``period`` rows.  An empty table gives an empty result.
+    weights, which must be positive; sources it doesn't name, and all sources if it is
+    None, weigh their row count to the power ``alpha`` (named weights are then relative
+    to those).  The target is met exactly, whatever the number of slots; only if a
+    ``period`` is given, the weights are first rounded to whole slots of it, one at least.
+    A null source is a source of its own.  Every row is scheduled once, repeated rows and
+    null ids too; ties of the hash order are rows alike in doc_id.  Sources are counted
+    into one row each; more than ``max_sources`` stop the job.  An empty table gives an
+    empty result.
     """
     clash = [c for c in docs.columns if c.startswith("mix_")]
     docs = docs.drop(*clash)
-    counts = {r[0]: r[1] for r in docs.groupBy("source").count().limit(max_sources + 1).collect()}
-    if len(counts) > max_sources:
+    counts = materialize(docs.groupBy("source").count(), "mix-counts")
+    if counts.count() > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    w = {s: float(n) ** alpha for s, n in counts.items()} | {s: x for s, x in (weights or {}).items() if s in counts}
-    q = quantise(w, period) if w else {}
-    table = [(s, q[s], j, slot, rel, due) for s, j, slot, rel, due in pfair_period(q)] if q else []
-    plan = docs.sparkSession.createDataFrame(table, "mix_source string, mix_q int, mix_j int, mix_offset long, mix_r long, mix_d long")
-    per = F.broadcast(plan.select("mix_source", "mix_q").distinct().withColumnRenamed("mix_source", "mix_of"))
+    plan = materialize(schedule(counts, weights, alpha, block, period), "mix-plan").withColumnRenamed("mix_block", "mix_of")
     out = ranked(docs, ["source"], "mix_rank", ["doc_id"])
     out = out.withColumn("mix_block", F.floor(F.col("mix_rank") / block)).withColumn("mix_pos", F.col("mix_rank") % block)
-    out = out.join(per, F.col("source").eqNullSafe(F.col("mix_of")))
-    out = out.withColumn("mix_cycle", F.floor(F.col("mix_block") / F.col("mix_q")))
-    plan = F.broadcast(plan.drop("mix_q"))
-    out = out.join(plan, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") % F.col("mix_q") == F.col("mix_j")))
-    base = F.col("mix_cycle") * period
-    out = out.withColumn("mix_slot", base + F.col("mix_offset")).withColumn("mix_release", base + F.col("mix_r")).withColumn("mix_deadline", base + F.col("mix_d"))
+    # not hinted: the schedule grows with the rows, and is broadcast only while it is small
+    out = out.join(plan, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_of")))
     return out.select(*docs.columns, "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_pos")

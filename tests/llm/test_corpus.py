@@ -193,6 +193,32 @@ def test_mixing(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def test_mixing_follows_the_target_weights(spark):
+    counts = {"hot": 200_000} | {f"s{i}": 400 + i for i in range(40)}
+    w = {s: n**0.5 for s, n in counts.items()}
+    blocks = {s: -(-n // 64) for s, n in counts.items()}
+    plan = list(mixing.pfair(mixing.whole(w), blocks))
+    assert len(plan) == sum(blocks.values()) > 3000 and Counter(s for s, *_ in plan) == blocks
+    # against the target weights themselves, far beyond 1000 slots, while a source has blocks
+    slots = {s: [slot for n, _, slot, _, _ in plan if n == s] for s in counts}
+    assert len({slot for _, _, slot, _, _ in plan}) == len(plan) and max(slots["hot"]) > 5000
+    share = {s: x / sum(w.values()) for s, x in w.items()}
+    for s in counts:
+        for j, slot in enumerate(slots[s]):
+            # j blocks are done at the beginning of the slot, j + 1 at its end
+            assert j - share[s] * slot < 1 + 1e-6 and share[s] * slot - j < 1 + 1e-6
+            assert -1 - 1e-6 < j + 1 - share[s] * (slot + 1) < 1 + 1e-6
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id < 1020, 'hot', concat('s', id % 990)) AS source")
+    got = mixing.mix_sources(docs, block=1).collect()
+    n = Counter(r.source for r in got)
+    w = {s: x**0.5 for s, x in n.items()}
+    place = Counter(r.source for r in got if r.mix_slot < 2000)
+    # 991 sources: the hot one has 2.2 % of the slots by its weight
+    assert sum(n.values()) == 3000 and len(n) == 991 and abs(place["hot"] - 2000 * w["hot"] / sum(w.values())) < 1
+    with pytest.raises(ValueError):
+        mixing.whole({"a": 1.0, "b": 0.0})
+
+
 def test_packing(spark, texts):
     hist = {1: 5, 2: 1, 4: 7, 7: 2, 9: 3, 10: 1}
     for k in (1, 2, 3, 6, 9):
