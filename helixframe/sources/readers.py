@@ -86,7 +86,8 @@ def _numbered(lines: DataFrame) -> DataFrame:
 def _with_ids(records: DataFrame) -> DataFrame:
     """read_id: the file's number in the top bits, then the record's number in its file."""
     files = records.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1)
-    return records.join(F.broadcast(files.limit(100_000)), "file").withColumn("read_id", F.shiftleft(F.col("file_no").cast("long"), 36) + F.col("n")).drop("n", "file_no")
+    # not hinted: there may be any number of files
+    return records.join(files, "file").withColumn("read_id", F.shiftleft(F.col("file_no").cast("long"), 36) + F.col("n")).drop("n", "file_no")
 
 
 def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -215,6 +215,12 @@ def test_files(spark, tmp_path):
     assert "??" in sinks.describe(graph.adjacency_stats(graph.adjacency(graph.kmer_graph(reads_of(spark, ["ACGTT"]), 4))))
 
 
+def test_records_of_all_files_stay(spark):
+    n = 100_003
+    records = spark.range(n).select(F.format_string("f%06d", "id").alias("file"), F.lit(0).alias("n"))
+    assert readers._with_ids(records).select("read_id").distinct().count() == n
+
+
 def test_streaming(spark, tmp_path):
     from helixframe.streaming.kmers import streaming_kmer_counts
 
