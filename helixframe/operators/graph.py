@@ -1,7 +1,9 @@
 """The k-mer graph as a table of edges: edge_id, src, dst, label, weight.
 
 edge_id is where the edge was first seen, (read, strand, position) in one LONG, so it is
-unique and orders edges by age; the newest edge of a node is its first in walks.
+unique and orders edges by age; the newest edge of a node is its first in walks.  A read
+whose parts don't fit into their bits stops the job; longer reads have several ids of
+their own (n_ids, from the readers).
 Nodes are their strings.
 """
 
@@ -11,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
+from helixframe.sources import readers
 from helixframe.sources.readers import check_k
 
-_POSITIONS = 20
-
 
 def accepted(reads: DataFrame) -> DataFrame:
     """Reads of A, C, G and T only."""
@@ -25,18 +26,30 @@ def accepted_bytes(reads: DataFrame) -> DataFrame:
     return accepted(reads).agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bytes"))
 
 
+def _first_id(read_id, n_ids, positions):
+    """The edge id of a read's first position; an error if its ids aren't LONGs or its positions exceed n_ids * 2^POSITIONS."""
+    bits = readers.POSITIONS
+    fits = (read_id >= 0) & (read_id <= F.lit(1 << 62 - bits) - n_ids) & (n_ids >= 1) & (positions <= F.shiftleft(n_ids, bits))
+    text = F.concat(F.lit("no edge ids for read "), read_id.cast("string"), F.lit(f": {1 << bits} positions an id, ids below {1 << 62 - bits}"))
+    return F.when(~fits, F.raise_error(text).cast("long")).otherwise(F.shiftleft(read_id, bits + 1))
+
+
 def kmer_rows(reads: DataFrame, k: int, reverse_complement: bool = False, on_short: str = "fail") -> DataFrame:
-    """(kmer, edge_id) of every window of every accepted read(read_id, seq), and of its reverse complement if asked for."""
+    """(kmer, edge_id) of every window of every accepted read(read_id, seq), and of its reverse complement if asked for.
+
+    A read has n_ids ids of its own from read_id on, one if the column is missing.
+    """
     check_k(k)
-    rows = accepted(reads).select("read_id", "seq")
+    n_ids = F.col("n_ids").cast("long") if "n_ids" in reads.columns else F.lit(1).cast("long")
+    rows = accepted(reads).select("read_id", n_ids.alias("n_ids"), "seq")
     if on_short == "fail":
         short = F.raise_error(F.concat(F.lit(f"a read is shorter than {k}: "), "seq"))
         rows = rows.withColumn("seq", F.when(F.length("seq") >= k, F.col("seq")).otherwise(short))
     strands = F.array(F.col("seq"), dna.reverse_complement(F.col("seq"))) if reverse_complement else F.array("seq")
-    rows = rows.select("read_id", F.posexplode(strands).alias("strand", "s"))
-    rows = rows.select("read_id", "strand", F.posexplode(dna.windows(F.col("s"), k)).alias("pos", "kmer"))
-    edge_id = F.shiftleft(F.shiftleft(F.col("read_id").cast("long"), 1) + F.col("strand"), _POSITIONS) + F.col("pos")
-    return rows.select("kmer", edge_id.alias("edge_id"))
+    first = _first_id(F.col("read_id").cast("long"), F.col("n_ids"), F.length("seq") - (k - 1))
+    rows = rows.select(first.alias("first"), "n_ids", F.posexplode(strands).alias("strand", "s"))
+    rows = rows.select((F.col("first") + F.shiftleft(F.col("n_ids"), readers.POSITIONS) * F.col("strand")).alias("first"), F.posexplode(dna.windows(F.col("s"), k)).alias("pos", "kmer"))
+    return rows.select("kmer", (F.col("first") + F.col("pos")).alias("edge_id"))
 
 
 def as_edges(kmers: DataFrame, k: int) -> DataFrame:
@@ -54,8 +67,9 @@ def weighted_graph(kmers: DataFrame, k: int, reverse_complement: bool = False) -
     """Edges of kmers(read_id, kmer, weight): each row is an edge of its own; parallel edges stay."""
     check_k(k)
     both = F.array("kmer", dna.reverse_complement(F.col("kmer"))) if reverse_complement else F.array("kmer")
-    rows = kmers.select("read_id", "weight", F.posexplode(both).alias("strand", "kmer"))
-    return as_edges(rows.withColumn("edge_id", F.shiftleft(F.shiftleft(F.col("read_id").cast("long"), 1) + F.col("strand"), _POSITIONS)), k)
+    first = _first_id(F.col("read_id").cast("long"), F.lit(1).cast("long"), F.lit(1))
+    rows = kmers.select(first.alias("first"), "weight", F.posexplode(both).alias("strand", "kmer"))
+    return as_edges(rows.withColumn("edge_id", F.col("first") + F.shiftleft(F.col("strand").cast("long"), readers.POSITIONS)), k)
 
 
 def nodes(edges: DataFrame) -> DataFrame:

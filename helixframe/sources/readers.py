@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.dna import is_dna
 
+#: Bits of an edge id that hold the position in a read.
+POSITIONS = 20
+
 
 class InputFileType(Enum):
     """Names are read in any case."""
@@ -84,20 +87,28 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 
 def _with_ids(records: DataFrame) -> DataFrame:
-    """read_id: the file's number in the top bits, then the record's number in its file."""
-    files = records.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1)
+    """read_id, n_ids: records(file, n, ...) numbered without gaps between files, by file and record.
+
+    A read is given as many ids as it has runs of 2^POSITIONS bases (as the longest of its
+    file, one at least), so that ids with positions behind them stay apart: n_ids from
+    read_id on.
+    """
+    most = F.max(F.length("seq")) if "seq" in records.columns else F.lit(0)
+    files = records.groupBy("file").agg((F.max("n") + 1).cast("long").alias("size"), F.greatest(F.ceil(F.coalesce(most, F.lit(0)) / (1 << POSITIONS)), F.lit(1)).cast("long").alias("n_ids"))
+    before = F.sum(F.col("size") * F.col("n_ids")).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("file", "n_ids", F.coalesce(before, F.lit(0)).alias("before"))
     # not hinted: there may be any number of files
-    return records.join(files, "file").withColumn("read_id", F.shiftleft(F.col("file_no").cast("long"), 36) + F.col("n")).drop("n", "file_no")
+    return records.join(files, "file").withColumn("read_id", F.col("before") + F.col("n") * F.col("n_ids")).drop("n", "before")
 
 
 def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """read_id, file, seq: the second of every four lines."""
+    """read_id, n_ids, file, seq: the second of every four lines."""
     lines = _numbered(spark.read.text(check_files(spark, paths)))
     return _with_ids(lines.where("n % 4 = 1").select("file", F.floor(F.col("n") / 4).alias("n"), F.regexp_replace("value", r"\s+$", "").alias("seq")))
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """read_id, file, seq: records begin at ``>``; the lines behind the header are joined."""
+    """read_id, n_ids, file, seq: records begin at ``>``; the lines behind the header are joined."""
     rec = _numbered(spark.read.option("lineSep", "\n>").text(check_files(spark, paths))).where(F.length(F.trim("value")) > 0)
     body = F.substring_index("value", "\n", 1)
     return _with_ids(rec.select("file", "n", F.regexp_replace(F.substring("value", F.length(body) + 1, F.length("value")), r"\s+", "").alias("seq")))

@@ -221,6 +221,37 @@ def test_records_of_all_files_stay(spark):
     assert readers._with_ids(records).select("read_id").distinct().count() == n
 
 
+def test_edge_ids_of_many_files(spark, tmp_path):
+    names = [tmp_path / f"{i:03}.fasta" for i in range(130)]
+    for i, p in enumerate(names):
+        p.write_text("".join(f">r\n{READ[(i + j) % 50 :][:45]}\n" for j in range(2)))
+    reads = readers.read_fasta(spark, [str(p) for p in names])
+    ids = [r.edge_id for r in graph.kmer_rows(reads, K, True).collect()]
+    assert len(ids) == len(set(ids)) == 130 * 2 * 2 * 6 and min(ids) >= 0
+    order = [r.file for r in reads.orderBy("read_id").collect()]
+    assert order == sorted(order)
+
+
+def test_edge_ids_of_long_reads(spark, tmp_path, monkeypatch):
+    for at in (readers, graph):
+        monkeypatch.setattr(at, "POSITIONS" if at is readers else "_POSITIONS", 5, raising=False)
+    one, two = tmp_path / "1.fasta", tmp_path / "2.fasta"
+    one.write_text(f">short\n{READ[:20]}\n>long\n{READ}\n>short\n{READ[50:70]}\n")
+    two.write_text(f">short\n{READ[7:30]}\n")
+    reads = readers.read_fasta(spark, [str(one), str(two)])
+    got = [(r.edge_id, r.kmer) for r in graph.kmer_rows(reads, 10, True).collect()]
+    assert len({i for i, _ in got}) == len(got) == 2 * (11 + 91 + 11 + 14)
+    # age: by read, strand and position
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = [x[i : i + 10] for s in (READ[:20], READ, READ[50:70], READ[7:30]) for x in (s, rc(s)) for i in range(len(x) - 9)]
+    assert [kmer for _, kmer in sorted(got)] == want
+    # a table that has one id for a read can't hold the long one
+    with pytest.raises(Exception, match="no edge ids"):
+        graph.kmer_graph(reads_of(spark, [READ]), 10).collect()
+    with pytest.raises(Exception, match="no edge ids"):
+        graph.weighted_graph(spark.createDataFrame([(1 << 58, READ[:10], 1)], "read_id long, kmer string, weight long"), 10).collect()
+
+
 def test_streaming(spark, tmp_path):
     from helixframe.streaming.kmers import streaming_kmer_counts
 
