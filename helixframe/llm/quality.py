@@ -25,8 +25,28 @@ MENU = rf"^{WS}*(home|menu|next|previous|back to top|log ?in|sign (in|up)|share|
 NOTICE = r"(all rights reserved|copyright (\(c\)|©|[0-9])|privacy policy|terms of (use|service)|cookie (policy|settings)|uses cookies|enable javascript|spdx-license-identifier|licensed under|lorem ipsum)"
 
 
-def bad_line(line: Column) -> Column:
+#: A word with a mark, a bar standing alone; for judging a line by the share of its words that they are.
+MARK = rf"([#*$%&|<>]|[!?][!?])"
+BAR = r"^[|>»›·•]$"
+#: A notice's match and the words that belong to such a notice around it.
+NOTICE_WORDS = 10
+
+
+def bad_line(line: Column, most_percent: int | None = None) -> Column:
+    """Lines that fail; with ``most_percent`` a mark, bar or notice fails a line only if it makes up more than that part of its words."""
     low = F.lower(line)
+    if most_percent is not None:
+        words = words_col(line)
+        dense = lambda n: 100 * n > most_percent * F.size(words)
+        count = lambda pattern: F.size(F.filter(words, lambda w: F.rlike(w, F.lit(pattern))))
+        # the cheap pattern first: a line without it isn't cut into words
+        return (
+            (~F.rlike(line, F.lit(FIVE_WORDS)) & ~F.rlike(line, F.lit(ENDS)))
+            | (F.rlike(line, F.lit(MARKED)) & dense(count(MARK)))
+            | (F.rlike(line, F.lit(BARS)) & dense(2 * count(BAR)))
+            | F.rlike(low, F.lit(MENU))
+            | (F.rlike(low, F.lit(NOTICE)) & dense(NOTICE_WORDS * F.regexp_count(low, F.lit(NOTICE))))
+        )
     return (
         (~F.rlike(line, F.lit(FIVE_WORDS)) & ~F.rlike(line, F.lit(ENDS)))
         | F.rlike(line, F.lit(MARKED))
@@ -40,7 +60,7 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.array_join(words_col(text), ""))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, most_lost_percent: int = 50, window: int = 8) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, most_lost_percent: int = 50, window: int = 8, dense_percent: int | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the columns n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, lost_chars, clean_text, kept behind the columns of ``docs``.
 
@@ -50,6 +70,10 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
     hashes).  A document is kept if it passes the document rules and its failing lines
     hold at most ``most_lost_percent`` % of its word characters.  Repeated rows and ids
     are judged row by row.  Columns of ``docs`` with the names above are replaced.
+
+    A mark, bars or a notice anywhere in a line fail all of it, as in the query's SQL; with
+    ``dense_percent`` they do so only if they make up more than that part of its words
+    (a bar counts with the word it sets apart, a notice as NOTICE_WORDS words).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_words", words_col(F.col("text")))
@@ -75,7 +99,7 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
     out = out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
 
-    out = out.withColumn("_bad", F.filter("_lines", bad_line))
+    out = out.withColumn("_bad", F.filter("_lines", lambda x: bad_line(x, dense_percent)))
     lost = F.when(F.size("_bad") > 0, _word_chars(F.array_join("_bad", "\n"))).otherwise(0)
     out = out.withColumn("lost_chars", lost.cast("long"))
     clean = F.when(F.size("_bad") > 0, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_bad", x)), "\n")).otherwise(text)
@@ -83,14 +107,15 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= most_lost_percent * F.col("word_chars")))
     return out.drop("_words", "_lines", "_hash", "_win", "_pair", "_at", "_bad")
 
-def passing(docs: DataFrame) -> DataFrame:
-    """The documents that quality_rules keeps, with their failing lines removed and n_chars (if there) counted again.
+
+def passing(docs: DataFrame, dense_percent: int = 30) -> DataFrame:
+    """The documents that quality_rules keeps, judging lines by density, with their failing lines removed and n_chars (if there) counted again.
 
     The filter reads a column that isn't deterministic to the optimiser, so that it stays
     above the projections: pushed below them, each column of the rules would be put in
     for its name again and again, and the condition would grow without end.
     """
-    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
+    judged = quality_rules(docs, dense_percent=dense_percent).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     out = judged.withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("clean_text").cast("long"))

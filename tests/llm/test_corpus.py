@@ -131,6 +131,17 @@ def test_quality(spark, texts):
     assert quality.passing(table(spark, rows)).columns == table(spark, []).columns
 
 
+def test_quality_keeps_long_lines_with_a_mark(spark):
+    mark = "R&D S&P M&A"
+    words = [f"word{i}" for i in range(120)]
+    put = lambda x: " ".join([*words[:60], x, *words[60:]]) + "."
+    clean = [put(x) for x in ("our privacy policy says", "is licensed under terms", mark, "| and | or |", "")]
+    prose_lines = "\n".join(" ".join(words[i : i + 20]) + "." for i in range(0, 120, 20))
+    junk = ["Read our privacy policy and the terms of use here.", "a&b c$d e%f g#h i*j and so.", "news | sport | weather | money | more and more."]
+    got = {r.doc_id: r.text for r in quality.passing(table(spark, [*clean, *(f"{prose_lines}\n{x}" for x in junk)])).collect()}
+    assert got == dict(enumerate(clean)) | {len(clean) + i: prose_lines for i in range(3)}
+
+
 def test_long_matches(spark):
     body = "".join(RNG.choice("abcdefgh ") for _ in range(900))
     rows = [body, body[:500] + "X" * 50 + body[450:], "é" * 300, "é" * 300, "", None, "q" * 1000, body[100:450], body[:400], body[100:520] + "!"]
