@@ -29,12 +29,29 @@ def remove(spark: SparkSession, path: str) -> None:
 def _at_exit(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
-    except Exception:  # the session may have ended; the shared root is cleaned with it
+    except Exception:  # the session may have ended; the folder then stays in the shared root
         return
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared root, removed when the driver ends."""
+    path = f"{shared_root(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_root(df.sparkSession)}/helixframe-{name}-{uuid.uuid4().hex}"
-    atexit.register(_at_exit, df.sparkSession, path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._helixframe_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialize`` gave and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_helixframe_path", None)
+        if path:
+            remove(t.sparkSession, path)
