@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared work folder, whole-batch byte kernels, ranks.
+"""What the corpus operators share: whole-batch byte kernels, expressions, ranks.
 
 Byte kernels work on the Arrow buffers of a binary column.  A batch is cut into
 pieces of about ``PIECE`` bytes (a longer text is a piece of its own), so the
@@ -8,17 +8,16 @@ into a batch.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.storage import materialize, new_folder, remove  # noqa: F401 (the operators take them from here)
+
 #: Words are maximal runs of bytes outside this class.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -34,47 +33,6 @@ _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256).astype(_U) *
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
-# --------------------------------------------------------------------------- shared files
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root if ":" in root else f"file://{root}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone at exit; the folder then stays in the shared root
-        return
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared root, removed when the driver ends."""
-    path = f"{shared_root(spark)}/helixframe-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # --------------------------------------------------------------------------- byte kernels
 
 
@@ -99,10 +57,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(buf: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
-    """Prefix sums of table[byte] * base**position modulo 2**64."""
+    """Prefix sums of table[byte] * base**position modulo 2**64; symbols of 64 bits are taken as they are.
+
+    Hashes of ranges choose what is compared only: there are long strings that collide for every base.
+    """
     p, _ = _power(len(buf))
     out = np.zeros(len(buf) + 1, _U)
-    np.cumsum(table[buf] * p[: len(buf)], out=out[1:])
+    np.cumsum((table[buf] if buf.dtype == np.uint8 else buf) * p[: len(buf)], out=out[1:])
     return out
 
 
@@ -113,6 +74,9 @@ def range_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 _LOWER_TABLE = _TABLE[_LOWER]
+_PLACES = 64
+#: A random value for each (place in the word, byte with A-Z lowered).
+_WORD_TABLE = np.random.default_rng(20240502).integers(0, 1 << 64, (_PLACES, 256), dtype=_U)[:, _LOWER].reshape(-1)
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +92,22 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words with A-Z lowered, and for each text the index of its first word (and the total)."""
+    """64-bit hashes of the words with A-Z lowered, and for each text the index of its first word (and the total).
+
+    A hash is the sum of a random value for every (place, byte) of the word, mixed: unlike a
+    polynomial modulo 2**64 it has no long words that collide whatever the base.
+    """
     starts, ends = words_of(buf, offsets)
-    h = prefix_hash(buf, _LOWER_TABLE)
-    return range_hash(h, starts, ends), np.searchsorted(starts, offsets)
+    size = ends - starts
+    edge = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+    byte = buf[place + np.repeat(starts, size)].astype(np.int64)
+    value = _WORD_TABLE[(place & (_PLACES - 1)) << 8 | byte]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] // _PLACES).astype(_U) * _U(0x9E3779B97F4A7C15))
+    total = np.concatenate([[_U(0)], np.cumsum(value, dtype=_U)])
+    return mix(total[edge[1:]] - total[edge[:-1]] + size.astype(_U) * _U(0xC2B2AE3D27D4EB4F)), np.searchsorted(starts, offsets)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,35 +1,46 @@
 """Long repeated substrings: run-length BWT indexes over the places where repeats can be.
 
-Each window of ``length`` bytes has an anchor, the q-gram with the smallest hash in it;
-equal windows have equal anchors.  Consecutive windows with one anchor form a span.
-
-1. Spans are listed with the hashes of anchor and content; an anchor that occurs once
-   in the corpus can't be part of a repeat and goes.
-2. Equal spans (anchor and content) that occur twice or more are repeats as a whole.
-3. Spans that occur once but share their anchor with others are fetched as bytes, each
-   distinct content once, and put together by anchor.  A bounded number of them makes a
-   collection, for which a run-length Burrows-Wheeler transform is built; of the suffix
-   array only the samples at the ends of runs stay.  Streaming the collection's
-   positions against these samples gives each position's longest match with its two
-   neighbours in suffix order, so every window that occurs twice is found.
-4. An anchor with more than ``max_group`` distinct spans isn't gathered: its windows are
-   counted by hash with map-side combining instead, which gives the same windows.
-
-Marked windows are united per text.
+A text is a sequence of symbols: its bytes, or its words.  Each window of ``length``
+symbols has an anchor, the q-gram with the smallest hash in it, so equal windows have
+equal anchors at the same offset.  Consecutive windows with one anchor, whose offset lies
+in the same part of all offsets, are a *segment*; all windows of a segment contain the same
+piece around the anchor, its *core*.
+
+1. Segments are listed with the hash of the core and a 128-bit digest of the content.  A
+   core that occurs once in the corpus can't be part of a repeat, and goes.
+2. Equal contents of a core are one string of its index, with a multiplicity.  A string of
+   multiplicity two or more is repeated as a whole: its run in the index is that long.
+3. Where a core has other contents too, one copy of each content is fetched.  Cores are put
+   together to collections of bounded size, for which a run-length Burrows-Wheeler
+   transform is built; of the suffix array only the samples at the ends of runs stay.
+   Streaming the collection's positions against them gives the longest match of each with
+   its neighbours in suffix order, hence every window that occurs twice.
+4. A core with more than ``max_group`` different contents isn't gathered: its segments are
+   cut into halves by the anchor's offset, which have longer cores, and are grouped anew, as
+   often as needed.  At the end a segment is one window, and its core all of it.  So any
+   number of contents is resolved exactly, in groups of bounded size.
+
+Contents are compared by cryptographic digests or symbol by symbol; hashes only choose what
+is compared.  Marked windows are united per text.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, mix, pieces, prefix_hash, range_hash
+from helixframe.llm.common import materialize, pieces, prefix_hash, range_hash, word_hashes
+from helixframe.storage import release
 
 _U = np.uint64
 _POS = _U((1 << 23) - 1)
 _SLICE = 4 << 20
+_LISTED = "doc_id long, th long, lo int, n int, at int, core long, s1 long, s2 long"
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -42,12 +53,19 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[: n - w + 1], pre[w - 1 : n])
 
 
-def spans_of(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
-    """(text, first window, number of windows, anchor hash, content hash) of every span."""
-    n = len(buf)
+def offsets_of_part(part: int, parts: int, length: int, q: int) -> tuple[int, int]:
+    """The anchor offsets, first and last, of one of ``parts`` parts of 0..length-q."""
+    n = length - q + 1
+    return part * n // parts, (part + 1) * n // parts - 1
+
+
+def segments_of(sym: np.ndarray, offsets: np.ndarray, length: int, q: int, parts: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, number of windows, offset of the anchor in the first window, core hash) of every segment."""
+    none = (np.zeros(0, np.int64),) * 5
+    n = len(sym)
     if n < length:
-        return (np.zeros(0, np.int64),) * 5
-    h = prefix_hash(buf)
+        return none
+    h = prefix_hash(sym)
     i = np.arange(n - q + 1)
     gram = range_hash(h, i, i + q)
     least = sliding_min((gram & ~_POS) | i.astype(_U), length - q + 1)
@@ -55,101 +73,150 @@ def spans_of(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     at = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[1:][doc])
     if not len(at):
-        return (np.zeros(0, np.int64),) * 5
+        return none
+    anchor = anchor[at]
+    part = ((anchor - at + 1) * parts - 1) // (length - q + 1)
     new = np.ones(len(at), bool)
-    new[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (part[1:] != part[:-1])
     k = np.flatnonzero(new)
-    lo = at[k]
+    lo, a, part = at[k], anchor[k], part[k]
     hi = at[np.append(k[1:], len(at)) - 1]
+    first, last = offsets_of_part(part, parts, length, q)
+    core = range_hash(h, a - first, a - last + length) + part.astype(_U)
     text = doc[lo]
-    return text, lo - offsets[text], hi - lo + 1, gram[anchor[lo]].view(np.int64), range_hash(h, lo, hi + length).view(np.int64)
+    return text, lo - offsets[text], hi - lo + 1, a - lo, core.view(np.int64)
+
+
+def symbols(unit: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts and their offsets in them: the bytes, or 64-bit hashes of the words."""
+    return (buf, offsets) if unit == "byte" else word_hashes(buf, offsets)
+
 
+def digest(content: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(content, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
-def list_spans(rows: DataFrame, length: int, q: int) -> DataFrame:
+
+def digests(contents: list) -> np.ndarray:
+    """The digests of contents as two columns of LONGs."""
+    return np.frombuffer(b"".join([hashlib.blake2b(c, digest_size=16).digest() for c in contents]), np.int64).reshape(-1, 2)
+
+
+def list_segments(rows: DataFrame, unit: str, length: int, q: int, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, _, buf, off in pieces(batch.column(2)):
+                sym, off = symbols(unit, buf, off)
                 # a text beyond the slice size is cut with an overlap, so that each window lies in one slice
-                step = _SLICE - length + 1
-                for s in range(0, max(1, len(buf) - length + 1), step) if len(off) == 2 else [None]:
-                    part, o = (buf, off) if s is None else (buf[s : s + _SLICE], np.array([0, min(_SLICE, len(buf) - s)]))
-                    text, lo, n, fp, sh = spans_of(part, o, length, q)
+                for s in range(0, max(1, len(sym) - length + 1), _SLICE - length + 1) if len(off) == 2 else [0]:
+                    part, o = (sym, off) if len(off) > 2 else (sym[s : s + _SLICE], np.array([0, min(_SLICE, len(sym) - s)]))
+                    text, lo, n, at, core = segments_of(part, o, length, q, parts)
                     if len(text):
-                        at = pa.array(text + first)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((lo + (s or 0)).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(sh)], names=["doc_id", "th", "lo", "n", "fp", "sh"])
+                        raw, width = memoryview(np.ascontiguousarray(part).view(np.uint8)), part.itemsize
+                        begin = (o[text] + lo) * width
+                        end = begin + (n - 1 + length) * width
+                        sh = digests([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                        row = pa.array(text + first)
+                        small = [pa.array(x.astype(np.int32)) for x in (lo + s, n, at)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *small, pa.array(core), pa.array(sh[:, 0].copy()), pa.array(sh[:, 1].copy())], names=["doc_id", "th", "lo", "n", "at", "core", "s1", "s2"])
 
-    return rows.select("doc_id", "th", "bytes").mapInArrow(run, "doc_id long, th long, lo int, n int, fp long, sh long")
+    return rows.select("doc_id", "th", "bytes").mapInArrow(run, _LISTED)
 
 
 # --------------------------------------------------------------------------- run-length index
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; all suffixes of ``t`` must differ (unique separators)."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].reshape(-1).astype(np.int64)
-    k = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        sa = np.argsort(key)
-        s = key[sa]
-        new = np.zeros(n, np.int64)
-        new[1:] = np.cumsum(s[1:] != s[:-1])
-        if new[-1] == n - 1:
-            return sa
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
+def suffix_order(s: np.ndarray, stop: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The suffix array of symbols ``s`` (0: separators, which all differ), and (depth, ranks by that many symbols) of each doubling.
+
+    ``stop`` is how far the next separator is.  Ranks and places are packed in one word, so
+    that a plain sort does.
+    """
+    n = len(s)
+    place = max((n - 1).bit_length(), 1)
+    if 3 * place > 64:
+        raise ValueError(f"a collection of {n} symbols is too large")
+    per = max(1, (63 - place) // bits)
+    key = np.zeros(n, _U)
+    for j in range(per):
+        key <<= _U(bits)
+        key[: n - j] |= np.where(stop[: n - j] > j, s[j:], 0).astype(_U)
+    low = _U((1 << place) - 1)
+    if per * bits + place <= 64:
+        order = np.sort(key << _U(place) | np.arange(n, dtype=_U))
+        sa, key = (order & low).astype(np.int64), order >> _U(place)
+    else:
+        sa = np.argsort(key, kind="stable")
+        key = key[sa]
+    rank = np.empty(n, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = (key[1:] != key[:-1]) | (stop[sa[1:]] < per)
+    head = np.flatnonzero(new)
+    rank[sa] = np.repeat(head, np.diff(np.append(head, n)))
+    levels, k = [(per, rank.astype(np.int32))], per
+    alone = new & np.append(new[1:], True)
+    open_ = np.flatnonzero(~alone)
+    while len(open_):
+        at = sa[open_]
+        order = np.sort((rank[at].astype(_U) << _U(place) | rank[at + k].astype(_U)) << _U(place) | at.astype(_U))
+        sa[open_] = at = (order & low).astype(np.int64)
+        pair = order >> _U(place)
+        new = np.ones(len(at), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        head = np.flatnonzero(new)
+        rank[at] = np.repeat(open_[head], np.diff(np.append(head, len(at))))
+        open_ = open_[~(new & np.append(new[1:], True))]
         k *= 2
-        if k >= n:
-            return sa
+        levels.append((k, rank.astype(np.int32)))
+    return sa, levels
 
 
 class RunIndex:
-    """Run-length BWT of a collection, with the text positions at the ends of runs."""
+    """Run-length BWT of a collection of symbol strings, with the text positions at the ends of runs."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[np.ndarray]):
         size = np.array([len(x) for x in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(size + 1)])
-        t = np.empty(self.starts[-1], np.int64)
-        byte = np.ones(len(t), bool)
-        byte[self.starts[1:] - 1] = False
-        t[byte] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
-        t[~byte] = np.arange(len(texts))
-        self.n = len(t)
-        sa = suffix_array(t)
-        bwt = t[sa - 1]
-        head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.run_symbols, self.run_starts = bwt[head], head
-        pos, before = sa[head], sa[head - 1]  # the start of a run and the end of the run before it
-        lcp = self._lce(t, pos, before)
+        ends = self.starts[1:] - 1
+        n = int(self.starts[-1])
+        s = np.zeros(n, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        all_ = np.concatenate(texts)
+        if all_.dtype == np.uint8:
+            s[inside], top = all_.astype(np.int64) + 1, 256
+        else:
+            s[inside] = np.unique(all_, return_inverse=True)[1].reshape(-1) + 1
+            top = int(s.max())
+        self.stop = np.repeat(ends, size + 1) - np.arange(n)
+        sa, levels = suffix_order(s, self.stop, top.bit_length())
+        bwt = s[sa - 1]
+        # a separator differs from every other, so it is a run of its own
+        head = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]))
+        self.runs = len(head)
+        pos, before = sa[head], sa[head - 1]  # the first of a run and the last of the run before it
+        lcp = self._common(s, levels, pos, before)
         lcp[head == 0] = 0
         order = np.argsort(pos)
-        self.sample, self.phi, self.lcp = pos[order], before[order], lcp[order]
+        self.n, self.sample, self.phi, self.lcp = n, pos[order], before[order], lcp[order]
 
     @staticmethod
-    def _lce(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Longest common extensions, by binary search over hashes of ranges."""
-        table = mix(np.arange(int(t.max()) + 1, dtype=_U) + _U(77))
-        h = prefix_hash(t, table)
-        most = len(t) - np.maximum(a, b)
+    def _common(s: np.ndarray, levels: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Longest common prefixes of pairs of suffixes: down the doublings, then symbol by symbol."""
         low = np.zeros(len(a), np.int64)
-        step = 1 << max(int(most.max()).bit_length() - 1, 0)
-        while step:
-            to = low + step
-            ok = to <= most
-            same = np.zeros(len(a), bool)
-            x, y = a[ok], b[ok]
-            same[ok] = range_hash(h, x, x + to[ok]) == range_hash(h, y, y + to[ok])
-            low[same] += step
-            step //= 2
+        for k, rank in reversed(levels):
+            low += k * (rank[a + low] == rank[b + low])
+        for _ in range(levels[0][0]):
+            x = s[a + low]
+            low += (x == s[b + low]) & (x > 0)
         return low
 
     def repeated(self, length: int) -> np.ndarray:
         """For each position whether the ``length`` symbols from there occur elsewhere in the collection.
 
-        Between samples the predecessor in suffix order moves along with the position and
-        the match shortens by one, so the matching statistics come in one pass.
+        From the first position of a run to the next sample the predecessor in suffix order
+        moves along with the position and the match shortens by one, so the matching
+        statistics come in one pass.
         """
         i = np.arange(self.n)
         j = np.searchsorted(self.sample, i, "right") - 1
@@ -169,105 +236,157 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _MARK = "doc_id long, th long, s long, e long"
 
 
-def index_groups(spans: DataFrame, length: int, chunk: int) -> DataFrame:
-    """Marks of the single spans (cnt 1) of groups by anchor that a collection can hold."""
+def index_cores(contents: DataFrame, unit: str, length: int, chunk: int) -> DataFrame:
+    """Marks of the contents that occur once (cnt 1), by indexes of whole cores together: contents(core, doc_id, th, lo, cnt, content)."""
+    kind = np.uint8 if unit == "byte" else _U
 
     def flush(rows: list):
-        flags = RunIndex([r[4] for r in rows])
-        rep = flags.repeated(length)
-        out = []
-        for k, (doc, th, lo, cnt, text) in enumerate(rows):
-            if cnt == 1:
-                at = flags.starts[k]
-                a, b = runs_of(rep[at : at + len(text)])
-                out += [(doc, th, lo + x, lo + y - 1 + length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "th", "s", "e"])
+        texts = [np.frombuffer(r[4], kind) for r in rows]
+        index = RunIndex(texts)
+        rep = index.repeated(length)
+        s, e = runs_of(rep)  # a match doesn't reach over a separator, so a run lies in one text
+        which = np.searchsorted(index.starts, s, "right") - 1
+        cnt = np.array([r[3] for r in rows])
+        own = cnt[which] == 1
+        s, e, which = s[own], e[own], which[own]
+        lo = np.array([r[2] for r in rows])[which] - index.starts[which]
+        ids, ths = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+        at = pa.array(which)
+        return pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(s + lo), pa.array(e + lo - 1 + length)], names=["doc_id", "th", "s", "e"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for fp, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if fp != last and size >= chunk:
+            for core, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if core != last and size >= chunk:
                     yield flush(held)
                     held, size = [], 0
-                last = fp
+                last = core
                 held.append(row)
-                size += len(row[4])
+                size += len(row[4]) // np.dtype(kind).itemsize
         if held:
             yield flush(held)
 
-    return spans.select("fp", "doc_id", "th", "lo", "cnt", "bytes").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, _MARK)
+    rows = contents.select("core", "doc_id", "th", "lo", "cnt", "content").repartition("core").sortWithinPartitions("core")
+    return rows.mapInArrow(run, _MARK)
 
 
-def count_windows(spans: DataFrame, length: int) -> DataFrame:
-    """Marks of the single spans of anchors that no collection can hold, by counting window hashes."""
+def halve(contents: DataFrame, unit: str, length: int) -> DataFrame:
+    """The segments of contents(doc_id, th, lo, n, at, cnt, o1, o2, content) cut into halves of the anchor's offsets o1..o2, with the cores of those."""
+    width = 1 if unit == "byte" else 8
+    names = ["doc_id", "th", "lo", "n", "at", "cnt", "o1", "o2", "core", "s1", "s2", "content"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] + [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()]
 
     def run(batches):
         for batch in batches:
-            docs, ths, los, cnts = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            for first, end, buf, off in pieces(batch.column(4)):
-                h = prefix_hash(buf)
-                row = np.repeat(np.arange(first, end), np.maximum(np.diff(off) - length + 1, 0))
-                at = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(off[:-1], off[1:], strict=True)])
-                win = range_hash(h, at, at + length).view(np.int64)
-                cols = [batch.column(0).take(pa.array(row)), pa.array(ths[row]), pa.array(los[row] + at - off[row - first]), pa.array(cnts[row]), pa.array(win)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "cnt", "win"])
-
-    wins = materialize(spans.select("doc_id", "th", F.col("lo").cast("long").alias("lo"), F.col("cnt").cast("long").alias("cnt"), "bytes").mapInArrow(run, "doc_id long, th long, s long, cnt long, win long"), "windows")
-    # written first, so that the join reads plain exchanges on both sides and a hot window can be split
-    twice = materialize(wins.groupBy("win").agg(F.sum("cnt").alias("times")).where("times > 1").select("win"), "repeated-windows")
-    return wins.where("cnt = 1").join(twice.hint("merge"), "win").select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
-
-
-def long_matches(docs: DataFrame, length: int = 400, q: int = 64, chunk: int = 1 << 20, max_group: int = 2000) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_bytes, spans (array of start, end in bytes), kept (binary, the remaining bytes).
+            out, size = [], 0
+            for doc, th, lo, n, at, cnt, o1, o2, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mid = (o1 + o2) // 2
+                for a, b in ((o1, mid), (mid + 1, o2)):
+                    # the windows with the anchor at a..b: from at - b to at - a behind the first
+                    w1, w2 = max(0, at - b), min(n - 1, at - a)
+                    if w1 > w2:
+                        continue
+                    core = content[(at - a) * width : (at - b + length) * width]
+                    part = content[w1 * width : (w2 + length) * width]
+                    out.append((doc, th, lo + w1, w2 - w1 + 1, at - w1, cnt, a, b, digest(core + b"%d %d" % (a, b))[0], *digest(part), part))
+                    size += len(part)
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    schema = "doc_id long, th long, lo int, n int, at int, cnt long, o1 int, o2 int, core long, s1 long, s2 long, content binary"
+    return contents.select("doc_id", "th", "lo", "n", "at", "cnt", "o1", "o2", "content").mapInArrow(run, schema)
+
+
+def fetch(rows: DataFrame, wanted: DataFrame, unit: str, length: int) -> DataFrame:
+    """The contents of segments wanted(doc_id, th, lo, n, ...): one join by text, whose segments are a list no longer than itself."""
+    extra = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    per = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*extra)).alias("parts"))
+    r = rows.select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "bytes")
+    met = r.join(per.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))).select("doc_id", "th", "bytes", "parts")
+    if unit == "byte":
+        one = met.select("doc_id", "th", "bytes", F.explode("parts").alias("p")).select("doc_id", "th", "p.*", "bytes")
+        return one.select("doc_id", "th", *extra, F.substring("bytes", F.col("lo") + 1, F.col("n") - 1 + length).alias("content"))
 
-    A byte is removed if it lies in a string of ``length`` bytes that also starts
-    anywhere else in the corpus, in the same text or another; strings never cross texts.
-    Texts are UTF-8; null is empty; texts shorter than ``length`` keep all bytes.  A
-    repeated row is another text, so long texts of repeated rows go altogether.  Null
-    and repeated doc_ids are told apart by the content.  Other columns are ignored.
-    """
-    if not 0 < q <= length:
-        raise ValueError("0 < q <= length is needed")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    rows = rows.withColumn("th", F.xxhash64("bytes"))
-    key = ["doc_id", "th"]
-
-    occ = materialize(list_spans(rows, length, q), "spans")
-    again = occ.groupBy("fp").agg(F.count(F.lit(1)).alias("total"), F.min("sh").alias("sh_min"), F.max("sh").alias("sh_max")).where("total > 1")
-    # written first, so that the join below reads plain exchanges on both sides and a hot anchor can be split
-    again = materialize(again.select("fp", (F.col("sh_min") != F.col("sh_max")).alias("varied")), "anchors")
-    cand = materialize(occ.join(again.hint("merge"), "fp"), "candidates")
-    kinds = cand.groupBy("fp", "sh", "varied").agg(F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in ("doc_id", "th", "lo", "n")])
-    kinds = materialize(kinds, "distinct-spans")
+    def run(batches):
+        for batch in batches:
+            for first, end, buf, off in pieces(batch.column(2)):
+                sym, off = symbols(unit, buf, off)
+                raw = memoryview(sym.view(np.uint8))
+                part = batch.column(3).slice(first, end - first)
+                flat = part.flatten()
+                count = np.diff(part.offsets.to_numpy())
+                begin = (np.repeat(off[:-1], count) + flat.field("lo").to_numpy()) * 8
+                stop = begin + (flat.field("n").to_numpy().astype(np.int64) - 1 + length) * 8
+                row = pa.array(np.repeat(np.arange(first, end), count))
+                content = pa.array([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *[flat.field(c) for c in extra], content], names=["doc_id", "th", *extra, "content"])
+
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in extra)
+    return met.mapInArrow(run, f"doc_id long, th long, {kinds}, content binary")
+
+
+def _windows_end(length: int) -> Column:
+    return (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e")
+
+
+def _open(kinds: DataFrame) -> DataFrame:
+    """The contents of cores where one content occurs once and another one exists, with the number of contents."""
+    groups = kinds.groupBy(F.col("core").alias("gc")).agg(F.min("cnt").alias("least"), F.count(F.lit(1)).alias("size")).where("least = 1 and size > 1").select("gc", "size")
+    return kinds.join(groups.hint("merge"), F.col("core") == F.col("gc")).drop("gc")
+
+
+def repeats(rows: DataFrame, unit: str, length: int, q: int, parts: int, chunk: int, max_group: int) -> DataFrame:
+    """The united marks (doc_id, th, starts, ends), in symbols, of rows(doc_id, th, bytes)."""
+    # what a collection may hold: a content has less than 2 * length symbols
+    max_group = max(2, min(max_group, (1 << 20) // (2 * length)))
+    occ = materialize(list_segments(rows, unit, length, q, parts), f"{unit}-segments")
+    again = occ.groupBy("core").agg(F.count(F.lit(1)).alias("total"), *[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for n, f in (("min", F.min), ("max", F.max))]).where("total > 1")
+    # written first, so that the join below reads plain exchanges on both sides and a hot core can be split;
     # merge joins: the size of a compressed table says little about what a broadcast of it would hold
-    whole = cand.join(kinds.where("cnt > 1").select(F.col("fp").alias("f2"), F.col("sh").alias("s2")).hint("merge"), (F.col("fp") == F.col("f2")) & (F.col("sh") == F.col("s2")))
-    marks = whole.select(*key, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e"))
-
-    # anchors with several contents of which one occurs once
-    varied = kinds.where("varied")
-    groups = varied.groupBy(F.col("fp").alias("gf")).agg(F.min("cnt").alias("least"), F.count(F.lit(1)).alias("size")).where("least = 1").select("gf", "size")
-    open_spans = varied.join(groups, F.col("fp") == F.col("gf")).select("fp", "doc_id", "th", "lo", "n", "cnt", "size")
-    r = rows.select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "bytes")
-    same = F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))
-    fetched = open_spans.hint("merge").join(r, same).select("fp", *key, "lo", "cnt", "size", F.substring("bytes", F.col("lo") + 1, F.col("n") - 1 + length).alias("bytes"))
-    # repeated rows give a span several times; equal rows have equal spans, so those have cnt > 1 and any copy does
-    fetched = materialize(fetched, "fetched")
-    small = index_groups(fetched.where(F.col("size") <= max_group), length, chunk)
-    marks = marks.unionByName(small)
-    large = fetched.where(F.col("size") > max_group)
-    if not large.isEmpty():
-        marks = marks.unionByName(count_windows(large, length))
-
-    per_text = unite(marks)
-    p = per_text.select(F.col("doc_id").alias("pd"), F.col("th").alias("pt"), "starts", "ends")
-    out = rows.join(p.hint("merge"), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left")
-    spans = F.when(F.col("starts").isNull(), F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(F.transform("starts", lambda s, i: F.struct(s.alias("start"), F.get("ends", i).alias("end"))))
-    gaps = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda i: F.substring("bytes", (F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1).cast("int"), (F.coalesce(F.get("starts", i), F.octet_length("bytes").cast("long")) - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("int")))
-    kept = F.when(F.col("starts").isNull(), F.col("bytes")).otherwise(F.aggregate(gaps, F.lit(b""), lambda a, x: F.concat(a, x)))
-    return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), spans.alias("spans"), kept.alias("kept"))
+    again = materialize(again.select("core", (F.expr("min_s1 <> max_s1 or min_s2 <> max_s2")).alias("varied")), f"{unit}-cores")
+    cand = materialize(occ.join(again.hint("merge"), "core"), f"{unit}-candidates")
+    release(occ, again)
+    several = cand.where("varied")
+    kinds = several.groupBy("core", "s1", "s2").agg(F.count(F.lit(1)).alias("cnt"), F.first(F.struct("doc_id", "th", "lo", "n", "at")).alias("r"))
+    kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-contents")
+    many = kinds.where("cnt > 1").select(F.col("core").alias("kc"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
+    equal = (F.col("core") == F.col("kc")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))
+    mark = ["doc_id", "th", F.col("lo").cast("long").alias("s"), _windows_end(length)]
+    marks = cand.where("not varied").select(*mark).union(several.join(many.hint("merge"), equal).select(*mark))
+
+    wanted = _open(kinds).select("doc_id", "th", "lo", "n", "at", "core", "cnt", "size")
+    found = materialize(fetch(rows, wanted, unit, length), f"{unit}-fetched")
+    # repeated rows give a content several times; equal rows have equal segments, so those have cnt > 1 and any copy does
+    marks = materialize(marks.union(index_cores(found.where(F.col("size") <= max_group), unit, length, chunk)), f"{unit}-marks")
+    release(cand, kinds)
+    big = found.where(F.col("size") > max_group)
+    part = F.floor(((F.col("at") + 1) * parts - 1) / (length - q + 1)).cast("int")
+    spread = length - q + 1
+    big = big.withColumn("o1", F.floor(part * spread / parts).cast("int")).withColumn("o2", (F.floor((part + 1) * spread / parts) - 1).cast("int"))
+    done, cuts = [marks], []
+    while not big.isEmpty():
+        cut = materialize(halve(big, unit, length), f"{unit}-halves")
+        kinds = cut.groupBy("core", "s1", "s2").agg(F.sum("cnt").alias("cnt"), F.first(F.struct("doc_id", "th", "lo", "n", "at", "o1", "o2", "content")).alias("r"))
+        kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-half-contents")
+        many = kinds.where("cnt > 1").select(F.col("core").alias("kc"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
+        same = cut.where("cnt = 1").drop("content").join(many.hint("merge"), equal).select(*mark)
+        next_ = materialize(_open(kinds), f"{unit}-open")
+        cuts.append(next_)
+        # a segment of one window has one content; only a collision of its hash could bring another, so it is never cut
+        small = next_.where((F.col("size") <= max_group) | (F.col("o1") == F.col("o2")))
+        done.append(materialize(same.union(index_cores(small, unit, length, chunk)), f"{unit}-marks"))
+        release(cut, kinds)
+        big = next_.where((F.col("size") > max_group) & (F.col("o1") < F.col("o2")))
+    marks = done[0]
+    for m in done[1:]:
+        marks = marks.union(m)
+    out = materialize(unite(marks), f"{unit}-united")
+    release(found, *done, *cuts)
+    return out
 
 
 def unite(marks: DataFrame) -> DataFrame:
@@ -288,11 +407,53 @@ def unite(marks: DataFrame) -> DataFrame:
 
     # the marks of one text only: their number is bounded by its length
     per = marks.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    return materialize(per.mapInArrow(run, "doc_id long, th long, starts array<long>, ends array<long>"), "marks")
+    return per.mapInArrow(run, "doc_id long, th long, starts array<long>, ends array<long>")
+
+
+def _spans(starts: str, ends: str) -> Column:
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return F.when(F.col(starts).isNull(), none).otherwise(F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.get(F.col(ends), i).alias("end"))))
+
+
+def long_matches(docs: DataFrame, length: int = 400, q: int = 64, words: int | None = None, chunk: int = 1 << 18, max_group: int = 1000) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_bytes, spans (array of start, end in bytes), kept (binary, the remaining bytes), passages.
+
+    A byte is removed if it lies in a string of ``length`` bytes that also starts
+    anywhere else in the corpus, in the same text or another; strings never cross texts.
+    Texts are UTF-8; null is empty; texts shorter than ``length`` keep all bytes.  A
+    repeated row is another text, so long texts of repeated rows go altogether.  Null
+    and repeated doc_ids are told apart by the content.  An empty table gives an empty
+    result.  Other columns are ignored, whatever their names.
+
+    With ``words``, passages (array of start, end in words, from 0) are the runs of words
+    that lie in ``words`` neighbouring words that also start anywhere else, by the same
+    indexes over words (A-Z lowered, by 64-bit hashes) in place of bytes; nothing is removed
+    for them.  Without, the list is empty.
+    """
+    if not 0 < q <= length <= 1 << 18 or (words is not None and not 0 < words <= 1 << 18):
+        raise ValueError("0 < q <= length and words > 0 are needed, lengths of 2^18 at most")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    rows = rows.withColumn("th", F.xxhash64("bytes"))
+    found = repeats(rows, "byte", length, q, 2, chunk, max_group)
+    per = found.select("doc_id", "th", "starts", "ends", *[F.lit(None).cast("array<long>").alias(c) for c in ("first", "last")])
+    if words:
+        other = repeats(rows, "word", words, min(8, words), 1, chunk, max_group)
+        per = per.unionByName(other.select("doc_id", "th", *[F.lit(None).cast("array<long>").alias(c) for c in ("starts", "ends")], F.col("starts").alias("first"), F.col("ends").alias("last")))
+        # a text has one row of each at most
+        per = per.groupBy("doc_id", "th").agg(*[F.first(c, True).alias(c) for c in ("starts", "ends", "first", "last")])
+    p = per.withColumnRenamed("doc_id", "pd").withColumnRenamed("th", "pt")
+    out = rows.join(p.hint("merge"), F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left")
+    gaps = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda i: F.substring("bytes", (F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1).cast("int"), (F.coalesce(F.get("starts", i), F.octet_length("bytes").cast("long")) - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("int")))
+    kept = F.when(F.col("starts").isNull(), F.col("bytes")).otherwise(F.aggregate(gaps, F.lit(b""), lambda a, x: F.concat(a, x)))
+    return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), _spans("starts", "ends").alias("spans"), kept.alias("kept"), _spans("first", "last").alias("passages"))
+
+
+def _total(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
 def long_match_digest(docs: DataFrame) -> DataFrame:
-    """The rows of query op6."""
-    out = long_matches(docs)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The rows of query op6, and behind them the removed spans and the words in repeated passages of over 50 words."""
+    out = long_matches(docs, words=51)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_bytes", _total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed_spans"), _total("passages").alias("n_passage_words"))

@@ -142,19 +142,80 @@ def test_quality_keeps_long_lines_with_a_mark(spark):
     assert got == dict(enumerate(clean)) | {len(clean) + i: prose_lines for i in range(3)}
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def brute_matches(seqs, length):
+    """For each sequence the places that lie in ``length`` symbols that start elsewhere too."""
+    seen = Counter(tuple(x[i : i + length]) if isinstance(x, list) else x[i : i + length] for x in seqs for i in range(len(x) - length + 1))
+    key = lambda x, k: tuple(x[k : k + length]) if isinstance(x, list) else x[k : k + length]
+    return [{j for k in range(len(x) - length + 1) if seen[key(x, k)] > 1 for j in range(k, k + length)} for x in seqs]
+
+
 def test_long_matches(spark):
     body = "".join(RNG.choice("abcdefgh ") for _ in range(900))
+    passage = prose(70)
     rows = [body, body[:500] + "X" * 50 + body[450:], "é" * 300, "é" * 300, "", None, "q" * 1000, body[100:450], body[:400], body[100:520] + "!"]
     rows += [prose(30) + body[200:650] + prose(30) for _ in range(5)]
+    rows += [prose(40) + " " + passage + " " + prose(9), passage.upper().replace(" ", "\n "), prose(20) + " " + passage[: len(passage) // 2]]
+    # words that a polynomial modulo 2^64 can't tell apart, whatever its base
+    rows += ["".join("ab"[x] for x in thue_morse(4096)), "".join("ba"[x] for x in thue_morse(4096))]
     raw = [(t or "").encode() for t in rows]
-    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
-    for kw in ({}, {"max_group": 1}, {"chunk": 500}):
+    gone = brute_matches(raw, 400)
+    said = brute_matches([b.lower().split() for b in raw], 51)
+    assert any(said[15]) and any(said[16]) and not said[17]
+    for kw in ({"words": 51}, {"max_group": 2, "words": 51}, {"chunk": 500}, {"max_group": 2, "chunk": 100}):
         got = {r.doc_id: r for r in longmatch.long_matches(table(spark, rows), **kw).collect()}
         for i, b in enumerate(raw):
-            gone = {j for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1 for j in range(k, k + 400)}
-            assert bytes(got[i].kept) == bytes(x for j, x in enumerate(b) if j not in gone), (kw, i)
-            assert got[i].n_bytes == len(b) and sum(s.end - s.start for s in got[i].spans) == len(gone)
-    assert longmatch.long_matches(table(spark, [])).count() == 0
+            assert bytes(got[i].kept) == bytes(x for j, x in enumerate(b) if j not in gone[i]), (kw, i)
+            assert got[i].n_bytes == len(b) and {j for s in got[i].spans for j in range(s.start, s.end)} == gone[i]
+            assert {j for s in got[i].passages for j in range(s.start, s.end)} == (said[i] if "words" in kw else set())
+    assert longmatch.long_matches(table(spark, []), words=51).count() == 0
+
+
+def test_long_matches_in_many_contexts(spark):
+    """One passage in many texts: its core has more contents than a group may have, so it is cut again and again."""
+    passage = "".join(RNG.choice("abcdefghij") for _ in range(60))
+    rows = [RNG.choice("xyz") + "".join(RNG.choice("klmn") for _ in range(30)) + passage + "".join(RNG.choice("opqr") for _ in range(RNG.randrange(30))) for _ in range(120)]
+    rows += ["k" * 40 + passage[:45] for _ in range(3)] + ["k" * 40 + passage[:30] for _ in range(4)]
+    gone = brute_matches([t.encode() for t in rows], 40)
+    for kw in ({"max_group": 2}, {"max_group": 20}, {}):
+        got = {r.doc_id: r for r in longmatch.long_matches(table(spark, rows), length=40, q=8, **kw).collect()}
+        for i in range(len(rows)):
+            assert {j for s in got[i].spans for j in range(s.start, s.end)} == gone[i], (kw, i)
+
+
+def test_long_matches_ids_and_slices(spark, monkeypatch):
+    import helixframe.llm.common as common
+
+    long = "".join(RNG.choice("abcdefgh") for _ in range(30_000))
+    rows = [long, long, long[:3000] + "!" + long[3000:], "z" * 500, "z" * 500]
+    got = longmatch.long_matches(table(spark, rows, [None, 7, 8, 5, 5])).collect()
+    assert all(len(r.kept) == (1 if r.doc_id == 8 else 0) for r in got) and len(got) == 5
+    # texts beyond a slice and beyond a piece
+    assert common.PIECE == 2 << 20
+    huge = "".join(RNG.choices("abcdefghijklmnop", k=(5 << 20) + 17))
+    got = {r.doc_id: r for r in longmatch.long_matches(table(spark, [huge, "<" + huge[-700:] + ">", huge[(4 << 20) - 300 : (4 << 20) + 300]])).collect()}
+    at = [(s.start, s.end) for s in got[0].spans]
+    assert at == [((4 << 20) - 300, (4 << 20) + 300), (len(huge) - 700, len(huge))] and bytes(got[1].kept) == b"<>" and bytes(got[2].kept) == b""
+
+
+def test_run_index_against_brute_force():
+    import numpy as np
+
+    for n, alphabet in ((3, 2), (6, 4), (1, 1)):
+        texts = [np.frombuffer(bytes(RNG.choices(range(97, 97 + alphabet), k=RNG.randrange(1, 200))), np.uint8) for _ in range(n)]
+        texts += [texts[0][:50], np.frombuffer(b"".join(bytes([97]) * 130 for _ in range(1)), np.uint8)]
+        for kind in (np.uint8, np.uint64):
+            index = longmatch.RunIndex([t.astype(kind) for t in texts])
+            assert index.runs <= index.n
+            for length in (1, 4, 9, 40):
+                seen = Counter(bytes(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
+                rep = index.repeated(length)
+                for k, t in enumerate(texts):
+                    want = [seen[bytes(t[i : i + length])] > 1 if i + length <= len(t) else False for i in range(len(t))]
+                    assert rep[index.starts[k] : index.starts[k] + len(t)].tolist() == want
 
 
 def test_secrets(spark, texts):
