@@ -147,6 +147,27 @@ def unit_hash(col: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(col), 11) / F.lit(float(1 << 53))
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, n: int) -> DataFrame:
+    """The inner join of ``left``, of about ``n`` rows, with ``right``, which has one row a key and in ``count`` how many rows of left have it.
+
+    Keys with more than n / 10,000 rows (and 1,000) are fewer than 10,000, so they may be
+    broadcast, and their rows are spread over all tasks; the others meet in a merge join.
+    ``left`` is read once.  Key columns of right are dropped; null keys don't meet.
+    """
+    most = max(1000, n // 10_000)
+    values = [c for c in right.columns if c not in keys]
+    heavy = right.where(F.col(count) > most).select(*[F.col(k).alias(f"_heavy_{k}") for k in keys], F.struct(*values).alias("_heavy"))
+    if heavy.isEmpty():
+        return left.join(right.hint("merge"), keys)
+    on = lambda side: [F.col(k) == F.col(f"_{side}_{k}") for k in keys]
+    out = left.join(F.broadcast(heavy), on("heavy"), "left").drop(*[f"_heavy_{k}" for k in keys])
+    # rows that are done go to any task, under a number that no row of the other side has
+    out = out.withColumn("_spread", F.when(F.col("_heavy").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
+    light = right.where(F.col(count) <= most).select(*[F.col(k).alias(f"_light_{k}") for k in keys], F.lit(-1).cast("long").alias("_none"), F.struct(*values).alias("_light"))
+    out = out.join(light.hint("merge"), [*on("light"), F.col("_spread") == F.col("_none")], "left").withColumn("_met", F.coalesce("_heavy", "_light")).where("_met is not null")
+    return out.select(*left.columns, *[F.col("_met")[c].alias(c) for c in values])
+
+
 def ranked(df: DataFrame, group: list[str], rank: str, key: list[str], rows_per_chunk: int = 200_000) -> DataFrame:
     """Add ``rank``: the 0-based rank in each group by (hash of key, key).
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WS, materialize
+from helixframe.llm.common import WS, join_counted, materialize
 
 
 def normal_text(text: Column) -> Column:
@@ -37,10 +37,10 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
     merged = salted.groupBy("_digest", "_salt", "_text").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     groups = merged.groupBy("_digest", "_text").agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     by_digest = groups.groupBy("_digest").agg(F.min("_keep").alias("keep_id"), F.sum("_n").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
-    # written first, so that the join reads plain exchanges on both sides and a hot digest can be split
-    by_digest = materialize(by_digest, "exact-groups").hint("merge")
+    by_digest = materialize(by_digest, "exact-groups")
     alone = F.when(F.col("_texts") > 1, F.raise_error(F.lit("two different texts have one SHA-256 digest")).cast("long")).otherwise(F.col("group_size"))
-    out = rows.select("doc_id", "_digest").join(by_digest, "_digest")
+    n = by_digest.agg(F.sum("group_size")).first()[0] or 0
+    out = join_counted(rows.select("doc_id", "_digest"), by_digest, ["_digest"], "group_size", n)
     return out.select(
         "doc_id",
         "keep_id",

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, pieces, prefix_hash, range_hash, word_hashes
+from helixframe.llm.common import join_counted, materialize, pieces, prefix_hash, range_hash, word_hashes
 from helixframe.storage import release
 
 _U = np.uint64
@@ -345,18 +345,15 @@ def repeats(rows: DataFrame, unit: str, length: int, q: int, parts: int, chunk:
     max_group = max(2, min(max_group, (1 << 20) // (2 * length)))
     occ = materialize(list_segments(rows, unit, length, q, parts), f"{unit}-segments")
     again = occ.groupBy("core").agg(F.count(F.lit(1)).alias("total"), *[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for n, f in (("min", F.min), ("max", F.max))]).where("total > 1")
-    # written first, so that the join below reads plain exchanges on both sides and a hot core can be split;
-    # merge joins: the size of a compressed table says little about what a broadcast of it would hold
-    again = materialize(again.select("core", (F.expr("min_s1 <> max_s1 or min_s2 <> max_s2")).alias("varied")), f"{unit}-cores")
-    cand = materialize(occ.join(again.hint("merge"), "core"), f"{unit}-candidates")
+    again = materialize(again.select("core", "total", (F.expr("min_s1 <> max_s1 or min_s2 <> max_s2")).alias("varied")), f"{unit}-cores")
+    cand = materialize(join_counted(occ, again, ["core"], "total", occ.count()).drop("total"), f"{unit}-candidates")
     release(occ, again)
     several = cand.where("varied")
     kinds = several.groupBy("core", "s1", "s2").agg(F.count(F.lit(1)).alias("cnt"), F.first(F.struct("doc_id", "th", "lo", "n", "at")).alias("r"))
     kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-contents")
-    many = kinds.where("cnt > 1").select(F.col("core").alias("kc"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
-    equal = (F.col("core") == F.col("kc")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2"))
+    same = join_counted(several, kinds.where("cnt > 1").select("core", "s1", "s2", "cnt"), ["core", "s1", "s2"], "cnt", cand.count())
     mark = ["doc_id", "th", F.col("lo").cast("long").alias("s"), _windows_end(length)]
-    marks = cand.where("not varied").select(*mark).union(several.join(many.hint("merge"), equal).select(*mark))
+    marks = cand.where("not varied").select(*mark).union(same.select(*mark))
 
     wanted = _open(kinds).select("doc_id", "th", "lo", "n", "at", "core", "cnt", "size")
     found = materialize(fetch(rows, wanted, unit, length), f"{unit}-fetched")
@@ -372,8 +369,8 @@ def repeats(rows: DataFrame, unit: str, length: int, q: int, parts: int, chunk:
         cut = materialize(halve(big, unit, length), f"{unit}-halves")
         kinds = cut.groupBy("core", "s1", "s2").agg(F.sum("cnt").alias("cnt"), F.first(F.struct("doc_id", "th", "lo", "n", "at", "o1", "o2", "content")).alias("r"))
         kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-half-contents")
-        many = kinds.where("cnt > 1").select(F.col("core").alias("kc"), F.col("s1").alias("k1"), F.col("s2").alias("k2"))
-        same = cut.where("cnt = 1").drop("content").join(many.hint("merge"), equal).select(*mark)
+        single = cut.where("cnt = 1").select("core", "s1", "s2", "doc_id", "th", "lo", "n")
+        same = join_counted(single, kinds.where("cnt > 1").select("core", "s1", "s2", "cnt"), ["core", "s1", "s2"], "cnt", cut.count()).select(*mark)
         next_ = materialize(_open(kinds), f"{unit}-open")
         cuts.append(next_)
         # a segment of one window has one content; only a collision of its hash could bring another, so it is never cut
