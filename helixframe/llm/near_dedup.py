@@ -4,11 +4,11 @@ Each text becomes its set of distinct five-word shingles (64-bit hashes).  MinHa
 samples feed two structures: band keys, which bring candidates together, and an odd
 sketch, a parity bitmap whose XOR population count estimates the similarity of a
 candidate pair.  Pairs whose estimate is far below the threshold go; the others are
-confirmed on their full sets, so a reported link is never wrong.
+confirmed word by word on their full sets, so a reported link is never wrong.
 
 Groups are never expanded into all pairs:
 
-* texts with equal sets are one node (the smallest doc_id);
+* texts with equal word sequences (by a 128-bit digest) are one node (the smallest doc_id);
 * in a band bucket every node is compared with the smallest node only (a star);
 * after connected components, only buckets that still hold several components are
   looked at again, and there only nodes outside the component of the bucket's
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, mix, pieces, word_hashes
+from helixframe.llm.common import PIECE, buffers, join_counted, materialize, mix, pieces, word_hashes
 
 _U = np.uint64
 _SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
@@ -88,7 +88,7 @@ class Sketcher:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, bits: int) -> DataFrame:
-    """doc_id, set size, digest of the set, band keys and odd sketch of each row."""
+    """doc_id, set size, digest of the word sequence, band keys and odd sketch of each row."""
 
     def run(batches):
         make = Sketcher(bands, rows, bits)
@@ -96,9 +96,10 @@ def sketches(docs: DataFrame, bands: int, rows: int, bits: int) -> DataFrame:
             ids = batch.column(0)
             for lo, hi, buf, off in pieces(batch.column(1)):
                 n, digest, keys, odd = [], [], [], []
-                for s in shingle_sets(buf, off):
+                raw = buf.tobytes()
+                for s, a, b in zip(shingle_sets(buf, off), off[:-1].tolist(), off[1:].tolist(), strict=True):
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digest.append(hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() if len(s) else None)
                     k, o = make(s) if len(s) else ([], [])
                     keys.append(k)
                     odd.append(o)
@@ -114,26 +115,67 @@ def estimate(odd_a: str, odd_b: str, samples: int, bits: int):
     return 1 + F.lit(bits / (4.0 * samples)) * F.log(rest)
 
 
+class _Ids(dict):
+    """A number of its own, from 1 on, for each word that is looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs, and for no others; a and b are below 2**32."""
+    return np.unique(a.astype(_U) << _U(32) | b.astype(_U), return_inverse=True)[1].reshape(-1)
+
+
+def exact_links(left: list[bytes], right: list[bytes], percent: int, size: int = 5) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union for the shingle sets of left[i] and right[i], word by word.
+
+    Words become numbers by their bytes and shingles numbers by the words, so nothing rests
+    on a hash.  A sequence of fewer words than a shingle is one, with zeros for the rest.
+    """
+    ids = _Ids()
+    words = [t.lower().split() for pair in zip(left, right, strict=True) for t in pair]
+    n = np.array([len(w) for w in words], np.int64)
+    kept = np.where(n >= size, n, np.where(n > 0, size, 0))  # with the zeros
+    start = np.cumsum(kept) - kept
+    seq = np.zeros(int(kept.sum()) + size, np.int64)
+    flat = np.fromiter((ids[x] for w in words for x in w), np.int64, int(n.sum()))
+    seq[np.arange(len(flat)) + np.repeat(start - (np.cumsum(n) - n), n)] = flat
+    number, k = seq, 1
+    while 2 * k <= size:
+        number = _numbers(number[: len(number) - k], number[k:])
+        k *= 2
+    for j in range(k, size):
+        number = _numbers(number[: len(seq) - j], seq[j:])
+    count = np.where(kept > 0, kept - size + 1, 0)
+    text = np.repeat(np.arange(len(n)), count)
+    at = np.arange(len(text)) + np.repeat(start - (np.cumsum(count) - count), count)
+    sets = np.unique((text << 32) | number[at])  # a batch has fewer than 2**31 texts and 2**32 shingles
+    text, shingle = sets >> 32, sets & 0xFFFFFFFF
+    of = np.bincount(text, minlength=len(n)).reshape(-1, 2)
+    pair = np.sort((text >> 1) << 32 | shingle)
+    both = np.bincount(pair[1:][pair[1:] == pair[:-1]] >> 32, minlength=len(of))
+    return (both > 0) & (100 * both >= percent * (of.sum(axis=1) - both))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            sides = []
-            for k in (2, 3):
-                sets = []
-                for _, _, buf, off in pieces(batch.column(k)):
-                    sets += list(shingle_sets(buf, off))
-                sides.append(sets)
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = batch.column(2), batch.column(3)
+            lo = 0
+            done = np.cumsum(np.diff(buffers(left)[1]) + np.diff(buffers(right)[1]))
+            while lo < len(done):
+                hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PIECE, "right")))
+                keep = exact_links(left.slice(lo, hi - lo).to_pylist(), right.slice(lo, hi - lo).to_pylist(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)], names=["a", "b"]).filter(pa.array(keep))
+                lo = hi
 
     ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    # Arrow batches hold whole texts of both sides, so pairs are dealt out once more by the pair.
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    met = pairs.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sketches(texts: DataFrame, bits: int) -> DataFrame:
@@ -208,12 +250,12 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     """
     sk = materialize(sketches(docs, bands, rows, bits), "sketches")
     full = sk.where("n_shingles > 0 and doc_id is not null")
-    # written first, so that a hot digest can be split in the joins; merge, as a compressed size is no bound for a broadcast
-    sets = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "sets").hint("merge")
-    member = full.select("doc_id", "n_shingles", "digest").join(sets, "digest").select("doc_id", "n_shingles", "rep")
-    # repeated doc_ids: all sets of one id belong to one node
+    sets = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    member = join_counted(full.select("doc_id", "n_shingles", "digest"), sets, ["digest"], "copies", sk.count()).select("doc_id", "n_shingles", "rep")
+    # repeated doc_ids: all texts of one id belong to one node
     same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    node = full.join(sets.withColumnRenamed("digest", "set_digest"), (F.col("digest") == F.col("set_digest")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "odd").dropDuplicates(["doc_id", "odd"])
+    node = join_counted(full.select("digest", "doc_id", "bands", "odd"), sets, ["digest"], "copies", sk.count()).where("doc_id = rep")
+    node = node.select("doc_id", "bands", "odd").dropDuplicates(["doc_id", "odd"])
     node = materialize(node, "nodes")
     entry = node.select(F.explode("bands").alias("key"), "doc_id")
     bucket = entry.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
