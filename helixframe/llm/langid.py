@@ -1,13 +1,15 @@
 """Language identification of code-switched text: a linear-chain conditional random field.
 
-The sequence is a window of up to ``window`` words; a word's label is its language.
-Emission features of a word: affixes, character n-grams and lexicon entries, hashed to
+The sequence is a whole text; a word's label is its language.  Emission features of a word: affixes, character n-grams and lexicon entries, hashed to
 2**15 coordinates; transitions between languages are learned too.  Training maximises
 the conditional likelihood by Adam over forward-backward expectations, on windows of
 single languages and on windows spliced from two, so that switches are seen.
 
-A text's prediction is the language with the largest sum of word marginals over all
-windows of the whole text; the score is that sum's part of all.
+Texts are cut into windows so that numpy can step through many at once, but inference runs
+over the whole chain: the product of a window's step matrices carries the messages of
+both directions over it, so that every word's marginal depends on the whole text.  The
+words' most likely languages give spans; a text's prediction is the language with the
+largest sum of word marginals, and the score is that sum's part of all.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import pieces, unit_hash
@@ -178,66 +180,120 @@ class Emissions(dict):
         return self.rows[ids]
 
 
-def marginal_sums(model: Model, cache: Emissions, texts: list[bytes], window: int) -> np.ndarray:
-    """Sums of the word marginals of each text."""
-    k = len(model.langs)
-    words = [_WORDS.findall(t) for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    if not n.sum():
-        return np.zeros((len(texts), k))
-    e = cache.lookup([x for w in words for x in w])
-    wins = -(-n // window)
-    doc = np.repeat(np.arange(len(texts)), wins)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(wins) - wins, wins)
-    first = (np.cumsum(n) - n)[doc] + nth * window
-    lens = np.minimum(window, n[doc] - nth * window)
-    order = np.argsort(-lens, kind="stable")
-    doc, first, lens = doc[order], first[order], lens[order]
-    total = np.zeros((len(texts), k))
-    for lo in range(0, len(doc), 1024):
-        ln, f, d = lens[lo : lo + 1024], first[lo : lo + 1024], doc[lo : lo + 1024]
-        mask = np.arange(ln[0]) < ln[:, None]
-        pad = np.zeros((len(ln), ln[0], k))
-        pad[mask] = e[(f[:, None] + np.arange(ln[0]))[mask]]
-        gamma = posterior(pad, ln, model.trans, model.start)
-        gamma[~mask] = 0
-        for c in range(k):
-            total[:, c] += np.bincount(d, gamma[:, :, c].sum(axis=1), len(texts))
-    return total
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def posterior(e: np.ndarray, lens: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Word marginals by forward-backward, without the transition counts that training needs."""
-    p = np.exp(e - e.max(axis=2, keepdims=True))
-    tr, st = np.exp(trans - trans.max()), np.exp(start - start.max())
-    alive = np.searchsorted(-lens, -np.arange(1, e.shape[1] + 1), "right")
-    alpha = p
-    a = alpha[:, 0] * st
+def word_places(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what _WORDS finds in each text."""
+    w = _IN_WORD[buf]
+    inner = offsets[(offsets > 0) & (offsets < len(buf))]
+    first, last = w.copy(), w.copy()
+    first[1:] &= ~w[:-1]
+    last[:-1] &= ~w[1:]
+    first[inner], last[inner - 1] = w[inner], w[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def carried(p: np.ndarray, lens: np.ndarray, text: np.ndarray, nth: np.ndarray, tr: np.ndarray, st: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What windows nth of texts receive from both sides: weights of the first label, and messages behind the last word.
+
+    The matrix of a window, diag(p0) tr diag(p1) tr diag(p2) ..., is formed for all windows at
+    once; then the windows of a text are run through one by one.  lens falls.
+    """
+    n, _, k = p.shape
+    before, behind = np.tile(st, (n, 1)), np.ones((n, k))
+    more = np.bincount(text, minlength=1)[text] > 1
+    if not more.any():
+        return before, behind
+    own = np.flatnonzero(more)
+    q, ln = p[own], lens[own]
+    alive = np.searchsorted(-ln, -np.arange(1, int(ln[0]) + 1), "right")
+    m = np.zeros((len(own), k, k))
+    m[:, range(k), range(k)] = q[:, 0]
+    for t in range(1, int(ln[0])):
+        a = alive[t]
+        x = (m[:a].reshape(-1, k) @ tr).reshape(a, k, k) * q[:a, t][:, None, :]
+        m[:a] = x / x.max(axis=(1, 2), keepdims=True) if t % 8 == 0 else x
+    m /= np.maximum(m.max(axis=(1, 2), keepdims=True), 1e-300)
+    order = np.lexsort((nth[own], text[own]))
+    at = nth[own][order]
+    for w in range(1, int(at.max()) + 1):
+        i = np.flatnonzero(at == w)  # the window before stands just before it in this order
+        x = np.einsum("ni,nij->nj", before[own[order[i - 1]]], m[order[i - 1]]) @ tr
+        before[own[order[i]]] = x / x.sum(axis=1, keepdims=True)
+        i = np.flatnonzero(at == int(at.max()) + 1 - w)
+        x = np.einsum("nij,nj->ni", m[order[i]], behind[own[order[i]]]) @ tr.T
+        behind[own[order[i - 1]]] = x / x.sum(axis=1, keepdims=True)
+    return before, behind
+
+
+def posterior(p: np.ndarray, lens: np.ndarray, tr: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Word marginals of windows (by falling length) with what they receive from both sides; p is positive."""
+    alive = np.searchsorted(-lens, -np.arange(1, p.shape[1] + 1), "right")
+    alpha = np.zeros_like(p)
+    a = p[:, 0] * before
     alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
-    emit = p.copy()
-    for t in range(1, e.shape[1]):
+    for t in range(1, p.shape[1]):
         m = alive[t]
-        a = (alpha[:m, t - 1] @ tr) * emit[:m, t]
+        a = (alpha[:m, t - 1] @ tr) * p[:m, t]
         alpha[:m, t] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones((len(e), e.shape[2]))
-    for t in range(e.shape[1] - 1, 0, -1):
+    beta = behind.copy()
+    for t in range(p.shape[1] - 1, 0, -1):
         m = alive[t]
-        b = emit[:m, t] * beta[:m]
-        g = alpha[:m, t] * beta[:m]
-        alpha[:m, t] = g / g.sum(axis=1, keepdims=True)
+        b = p[:m, t] * beta[:m]
+        alpha[:m, t] *= beta[:m]
         b = b @ tr.T
         beta[:m] = b / b.sum(axis=1, keepdims=True)
-    g = alpha[:, 0] * beta
-    alpha[:, 0] = g / g.sum(axis=1, keepdims=True)
-    return alpha
+    alpha[:, 0] *= beta
+    return alpha / np.maximum(alpha.sum(axis=2, keepdims=True), 1e-300)
+
+
+def marginals(e: np.ndarray, n: np.ndarray, trans: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Marginals of every word of texts of n words each, whose scores follow each other in e."""
+    k = e.shape[1]
+    out = np.zeros((len(e), k))
+    tr, st = np.exp(trans - trans.max()), np.exp(start - start.max())
+    wins = -(-n // window)
+    text = np.repeat(np.arange(len(n)), wins)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(wins) - wins, wins)
+    first = (np.cumsum(n) - n)[text] + nth * window
+    lens = np.minimum(window, n[text] - nth * window)
+    scaled = np.exp(e - e.max(axis=1, keepdims=True)) if len(e) else e
+    # whole texts together, about 1024 windows a turn, more only for a text that alone has more
+    cut = np.searchsorted(np.cumsum(wins), np.arange(1024, int(wins.sum()) + 1024, 1024), "left") + 1
+    lo = 0
+    for hi in np.unique(np.minimum(cut, len(n))).tolist():
+        mine = np.flatnonzero((text >= lo) & (text < hi))
+        lo = hi
+        if not len(mine):
+            continue
+        mine = mine[np.argsort(-lens[mine], kind="stable")]
+        ln, f = lens[mine], first[mine]
+        mask = np.arange(ln[0]) < ln[:, None]
+        place = (f[:, None] + np.arange(ln[0]))[mask]
+        p = np.ones((len(ln), ln[0], k))
+        p[mask] = scaled[place]
+        before, behind = carried(p, ln, text[mine] - text[mine].min(), nth[mine], tr, st)
+        for i in range(0, len(ln), 1024):
+            part = slice(i, i + 1024)
+            width = int(ln[i])
+            out[place_of(mask, part, place)] = posterior(p[part, :width], ln[part], tr, before[part], behind[part])[mask[part, :width]]
+    return out
+
+
+def place_of(mask: np.ndarray, part: slice, place: np.ndarray) -> np.ndarray:
+    """The places of the words of some rows of ``mask``."""
+    count = np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
+    return place[count[part.start] : count[min(part.stop, len(mask))]]
 
 
 def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int, max_chars: int, max_langs: int) -> Model | None:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
+def train(docs: DataFrame, per_lang: int, max_chars: int, max_bytes: int, max_langs: int) -> Model | None:
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(max_langs + 1).collect()}
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
@@ -245,38 +301,72 @@ def train(docs: DataFrame, per_lang: int, max_chars: int, max_langs: int) -> Mod
         return None
     part = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        part = F.when(F.col("lang") == lang, F.lit(per_lang / n)).otherwise(part)
-    got = known.where((F.length("text") <= max_chars) & (unit_hash(F.concat_ws(" ", "doc_id", "text")) < part)).limit(2 * per_lang * len(counts)).collect()
-    samples = [(r[1], r[2].encode()) for r in sorted(got, key=lambda r: (r[1], r[0] or 0, r[2]))]
-    return fit(samples, sorted(counts))
+        part = F.when(F.col("lang") == lang, F.lit(2 * per_lang / n)).otherwise(part)
+    # the smallest hashes of each language; a wide enough share of them first, repeated rows once
+    hash_ = unit_hash(F.concat_ws(" ", "doc_id", "text"))
+    some = known.withColumn("h", hash_).where(F.col("h") < part).distinct()
+    by_hash = Window.partitionBy("lang").orderBy("h", F.col("doc_id").asc_nulls_first(), "text")
+    some = some.withColumn("nth", F.row_number().over(by_hash)).withColumn("bytes", F.sum(F.octet_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    got = some.where((F.col("nth") <= per_lang) & (F.col("bytes") <= max_bytes // len(counts))).select("lang", "nth", "text").collect()
+    return fit([(r[0], r[2].encode()) for r in sorted(got)], sorted(counts))
+
+
+_ROWS = "doc_id long, lang_pred string, score double, letter boolean, langs array<string>, starts array<long>, ends array<long>"
 
 
-def identify(docs: DataFrame, per_lang: int = 400, max_chars: int = 50_000, max_langs: int = 200, window: int = 128) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, lang, ...)``: doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, per_lang: int = 400, max_chars: int = 50_000, max_bytes: int = 64 << 20, max_langs: int = 200, window: int = 128) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text, lang, ...)``: doc_id, held_out, lang_pred, score, langs, starts, ends.
 
     Learned from text and non-null lang of rows whose crc32(doc_id as text) mod 4 is not
-    2, on about ``per_lang`` texts of each language (at most twice that in all), of at
-    most ``max_chars`` characters, chosen by hash.  Every whole text is labelled word by
-    word.  Null texts and texts without a letter are ``und`` with score 0, as are all
-    texts if nothing could be learned.  held_out is false for a null doc_id.  Repeated
-    rows are labelled each.  Other columns are ignored.
+    2, on the at most ``per_lang`` texts of each language with the smallest hashes, of at most
+    ``max_chars`` characters each and ``max_bytes`` bytes in all; of a text, four windows of
+    32 words are learned.  Every whole text is labelled word by word; ``langs``, ``starts``
+    and ``ends`` (in code points, end exclusive) are the runs of words with one most likely
+    language.  ``window`` only tells how many words numpy steps through, not the result.
+    Null texts and texts without a letter are ``und`` with score 0 and no spans, as are all
+    texts if nothing could be learned.  held_out is false for a null doc_id.  Repeated rows
+    are labelled each; an empty table gives an empty result.  Other columns are ignored,
+    whatever their names.
     """
-    model = train(docs, per_lang, max_chars, max_langs)
+    model = train(docs, per_lang, max_chars, max_bytes, max_langs)
 
     def run(batches):
         cache = Emissions(model) if model else None
         for batch in batches:
             for lo, hi, buf, off in pieces(batch.column(1), 1 << 20):
                 raw = buf.tobytes()
-                texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                total = marginal_sums(model, cache, texts, window) if model else np.zeros((len(texts), 1))
+                words = [_WORDS.findall(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)] if model else [[] for _ in range(hi - lo)]
+                n = np.array([len(w) for w in words], np.int64)
+                k = len(model.langs) if model else 1
+                gamma = marginals(cache.lookup([x for w in words for x in w]).astype(np.float64), n, model.trans, model.start, window) if n.sum() else np.zeros((0, k))
+                text = np.repeat(np.arange(len(n)), n)
+                total = np.stack([np.bincount(text, gamma[:, c], len(n)) for c in range(k)], 1)
                 best = total.argmax(axis=1)
-                mass = total.sum(axis=1)
-                score = np.where(mass > 0, total[np.arange(len(total)), best] / np.maximum(mass, 1e-9), 0.0)
-                lang = [model.langs[b] if model and m > 0 else "und" for b, m in zip(best, mass, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(np.minimum(score, 1.0)), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "lang_pred", "score", "letter"])
+                score = total[np.arange(len(n)), best] / np.maximum(total.sum(axis=1), 1e-9)
+                names = np.array(model.langs if model else ["und"], object)
+                label = gamma.argmax(axis=1)
+                new = np.ones(len(text), bool)
+                new[1:] = (label[1:] != label[:-1]) | (text[1:] != text[:-1])
+                head = np.flatnonzero(new)
+                char = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+                begin, end = word_places(buf, off) if len(text) else (np.zeros(0, np.int64),) * 2
+                base = char[off[text[head]]]
+                runs = np.searchsorted(text[head], np.arange(len(n) + 1)).astype(np.int32)
+                ends = char[end[np.append(head[1:], len(text))[: len(head)] - 1]] - base
+                lists = [pa.ListArray.from_arrays(pa.array(runs), x) for x in (pa.array(names[label[head]], pa.string()), pa.array(char[begin[head]] - base), pa.array(ends))]
+                lang = np.where(n > 0, names[best], "und")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(np.minimum(score, 1.0)), batch.column(2).slice(lo, hi - lo), *lists], names=["doc_id", "lang_pred", "score", "letter", "langs", "starts", "ends"])
 
     letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes"), letter.alias("letter"))
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, letter boolean")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"))
+    out = rows.mapInArrow(run, _ROWS)
+    own = lambda c, other: F.when(F.col("letter"), F.col(c)).otherwise(other).alias(c)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), own("lang_pred", F.lit("und")), own("score", F.lit(0.0)), own("langs", none("string")), own("starts", none("bigint")), own("ends", none("bigint")))
+
+
+def language_digest(docs: DataFrame) -> DataFrame:
+    """The rows of query op2, and behind them the language spans as lang:start:end."""
+    found = identify(docs)
+    spans = F.transform(F.arrays_zip("langs", "starts", "ends"), lambda x: F.concat_ws(":", x["langs"], x["starts"].cast("string"), x["ends"].cast("string")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join(spans, ",").alias("spans"))
