@@ -1,13 +1,15 @@
 """Secret scanning with one minimised automaton for all rules.
 
-Every rule has a *trigger*, the shortest text that can make it match.  The triggers of
-all rules are one NFA, made deterministic by subset construction over byte classes and
-minimised by partition refinement.  A batch of texts is cut at bytes that lead every
-state to the start state (so cutting changes nothing) and all cuts step through the
-transition array together: one pass over the bytes, whatever the number of rules.
-Where a trigger ends, the start is found by the reversed trigger's automaton and the
-end by the forward automaton of the whole rule; matches of one rule are taken from left
-to right without overlap.
+Rules are regular expressions that end in a run: a class of characters, as many as follow.
+They are parsed, put together to one NFA, made deterministic by subset construction over
+byte classes and minimised by partition refinement.  A state's mask tells for every rule
+whether its *trigger* (the head and the first characters of the run) is just complete and
+whether the run goes on.  A batch of texts is cut at bytes that lead every state to the
+start state (so cutting changes nothing) and all cuts step through the transition array
+together: one pass over the bytes, whatever the number of rules, gives all triggers and
+the ends of all matches.  Only where a trigger stands is the match's start looked for, by
+the automaton of the reversed trigger; matches of one rule are taken from left to right
+without overlap.
 """
 
 from __future__ import annotations
@@ -24,53 +26,142 @@ from helixframe.llm.common import pieces
 
 # --------------------------------------------------------------------------- rules
 
-#: A part is (set of bytes, least, most); most None is unbounded.  A sequence may also hold a list of alternatives.
-Part = tuple[frozenset, int, int | None]
-
-
-def _set(spec: str) -> frozenset:
-    out: set[int] = set()
-    i = 0
-    while i < len(spec):
-        if i + 2 < len(spec) and spec[i + 1] == "-":
-            out |= set(range(ord(spec[i]), ord(spec[i + 2]) + 1))
-            i += 3
-        else:
-            out.add(ord(spec[i]))
-            i += 1
-    return frozenset(out)
-
-
-def _text(s: str, fold: bool = False) -> list[Part]:
-    return [(frozenset({ord(c.lower()), ord(c.upper())} if fold else {ord(c)}), 1, 1) for c in s]
-
 
 @dataclass(frozen=True)
 class Rule:
-    """head, then characters of ``run``: as many as follow; the trigger is complete after ``first`` of them.
+    """A regular expression that ends in a run (a class with +).
 
-    Matches with fewer than ``least`` characters in the run are dropped, but still take their place.
+    Matches with fewer than ``least`` characters in the run are dropped, but still take their
+    place.  The trigger is complete after ``first`` characters of the run; more than one are
+    allowed only if the rule is nothing but a run, and ``least`` at most.
     """
 
     kind: str
-    head: tuple
-    run: frozenset
-    first: int
+    pattern: str
     least: int
+    first: int = 1
 
 
-_QUOTE, _SPACE, _SEP = _set("\"'"), _set(" "), _set(":=")
 #: Rules with fixed values: the three base rules, then provider formats.
 RULES = (
-    Rule("assign", ([_text("password", True), _text("passwd", True), _text("secret", True), _text("token", True), [*_text("api", True), (_set("_"), 0, 1), *_text("key", True)]], (_QUOTE, 0, 1), (_SPACE, 0, None), (_SEP, 1, 1), (_SPACE, 0, None), (_QUOTE, 0, 1)), _set("A-Za-z0-9+/_.=-"), 1, 6),
-    Rule("access", (*_text("AKIA"),), _set("A-Z0-9"), 1, 16),
-    Rule("hex", (), _set("0-9a-f"), 24, 24),
-    Rule("github", (*_text("gh"), (_set("pousr"), 1, 1), (_set("_"), 1, 1)), _set("A-Za-z0-9"), 1, 36),
-    Rule("slack", (*_text("xox"), (_set("baprs"), 1, 1), (_set("-"), 1, 1)), _set("A-Za-z0-9-"), 1, 10),
-    Rule("google", (*_text("AIza"),), _set("A-Za-z0-9_-"), 1, 35),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 16),
+    Rule("hex", r"[0-9a-f]+", 24, 24),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 36),
+    Rule("slack", r"xox[baprs]-[A-Za-z0-9-]+", 10),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 35),
 )
 BASE = ("assign", "access", "hex")
 
+# --------------------------------------------------------------------------- regular expressions
+
+
+@dataclass(frozen=True)
+class Part:
+    """A set of bytes or alternatives (sequences of parts), ``least`` to ``most`` times; most None is unbounded."""
+
+    body: frozenset | tuple
+    least: int = 1
+    most: int | None = 1
+
+
+class Parser:
+    """ASCII characters, \\xHH and escaped characters, classes, groups with |, (?i:...) and the quantifiers ? * + {m} {m,} {m,n}."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def parse(self) -> tuple:
+        out = self._alternatives(False)
+        if self.at < len(self.text):
+            raise ValueError(f"{self.text!r}: unexpected {self.text[self.at]!r} at {self.at}")
+        return out
+
+    def _take(self, token: str) -> bool:
+        if self.text.startswith(token, self.at):
+            self.at += len(token)
+            return True
+        return False
+
+    def _alternatives(self, fold: bool) -> tuple:
+        out = [[]]
+        while self.at < len(self.text) and self.text[self.at] != ")":
+            if self._take("|"):
+                out.append([])
+            else:
+                out[-1].append(self._quantified(fold))
+        return tuple(map(tuple, out))
+
+    def _quantified(self, fold: bool) -> Part:
+        if self._take("("):
+            body = self._alternatives(self._take("?i:") or fold)
+            if not self._take(")"):
+                raise ValueError(f"{self.text!r}: a group has no end")
+        elif self._take("["):
+            body = self._class(fold)
+        else:
+            body = self._folded({self._char()}, fold)
+        for token, least, most in (("?", 0, 1), ("*", 0, None), ("+", 1, None)):
+            if self._take(token):
+                return Part(body, least, most)
+        if self._take("{"):
+            low, comma, high = self.text[self.at : (end := self.text.index("}", self.at))].partition(",")
+            self.at = end + 1
+            return Part(body, int(low), int(high) if high else None if comma else int(low))
+        return Part(body)
+
+    def _char(self) -> int:
+        c = self.text[self.at]
+        self.at += 1
+        if c == "\\":
+            c = self.text[self.at]
+            self.at += 1
+            if c == "x":
+                self.at += 2
+                return int(self.text[self.at - 2 : self.at], 16)
+            if c.isalnum():
+                raise ValueError(f"{self.text!r}: \\{c} isn't supported")
+        elif c in ".^$?*+{":
+            raise ValueError(f"{self.text!r}: {c} isn't supported at {self.at - 1}")
+        return ord(c)
+
+    def _class(self, fold: bool) -> frozenset:
+        out: set[int] = set()
+        if self._take("^"):
+            raise ValueError(f"{self.text!r}: negated classes aren't supported")
+        while not self._take("]"):
+            low = high = self._member()
+            if self.text.startswith("-", self.at) and self.text[self.at + 1] != "]":
+                self.at += 1
+                high = self._member()
+            out |= set(range(low, high + 1))
+        return self._folded(out, fold)
+
+    def _member(self) -> int:
+        if self.text[self.at] == "\\":
+            return self._char()
+        self.at += 1
+        return ord(self.text[self.at - 1])
+
+    @staticmethod
+    def _folded(chars: set[int], fold: bool) -> frozenset:
+        if max(chars) > 127:
+            raise ValueError("rules are of ASCII characters")
+        return frozenset(ord(f(chr(c))) for c in chars for f in ((str.lower, str.upper) if fold else (str,)))
+
+
+def head_and_run(rule: Rule) -> tuple[tuple, frozenset]:
+    """The parts of a rule before its run, and the characters of the run."""
+    every = Parser(rule.pattern).parse()
+    *head, run = every[0] if len(every) == 1 and every[0] else [Part(())]
+    if not isinstance(run.body, frozenset) or (run.least, run.most) != (1, None) or not 1 <= rule.first <= rule.least or (head and rule.first > 1):
+        raise ValueError(f"{rule.kind}: a rule must end in a class with +")
+    return tuple(head), run.body
+
+
+def backwards(parts: tuple) -> tuple:
+    return tuple(Part(p.body if isinstance(p.body, frozenset) else tuple(map(backwards, p.body)), p.least, p.most) for p in reversed(parts))
+
 
 # --------------------------------------------------------------------------- automata
 
@@ -85,35 +176,34 @@ class Nfa:
         self.empty.append([])
         return len(self.move) - 1
 
-    def add(self, at: int, seq) -> int:
+    def add(self, at: int, parts: tuple) -> int:
         """Append a sequence after state ``at``; gives its last state."""
-        for part in seq:
-            if isinstance(part, list):
-                ends = [self.add(at, alt) for alt in part]
-                at = self.state()
-                for e in ends:
-                    self.empty[e].append(at)
-                continue
-            chars, least, most = part
-            for _ in range(least):
-                at = self._step(at, chars)
-            if most is None:
+        for p in parts:
+            for _ in range(p.least):
+                at = self._once(at, p.body)
+            if p.most is None:
                 loop = self.state()
                 self.empty[at].append(loop)
-                self.move[loop].append((chars, loop))
+                self.empty[self._once(loop, p.body)].append(loop)
                 at = loop
-            else:
+            elif p.most > p.least:
                 end = self.state()
-                for _ in range(most - least):
+                for _ in range(p.most - p.least):
                     self.empty[at].append(end)
-                    at = self._step(at, chars)
+                    at = self._once(at, p.body)
                 self.empty[at].append(end)
                 at = end
         return at
 
-    def _step(self, at: int, chars: frozenset) -> int:
+    def _once(self, at: int, body: frozenset | tuple) -> int:
+        if isinstance(body, frozenset):
+            new = self.state()
+            self.move[at].append((body, new))
+            return new
+        ends = [self.add(at, alternative) for alternative in body]
         new = self.state()
-        self.move[at].append((chars, new))
+        for e in ends:
+            self.empty[e].append(new)
         return new
 
     def closure(self, states) -> frozenset:
@@ -126,10 +216,6 @@ class Nfa:
         return frozenset(seen)
 
 
-def _reverse(seq) -> list:
-    return [[_reverse(a) for a in p] if isinstance(p, list) else p for p in reversed(list(seq))]
-
-
 @dataclass
 class Dfa:
     table: np.ndarray  # states x classes
@@ -183,11 +269,19 @@ class Scanner:
         self.rules = rules
         nfa = Nfa()
         start = nfa.state()
-        ends = {}
+        accepting, self.backward = {}, []
         for k, r in enumerate(rules):
-            ends[nfa.add(start, [*r.head, (r.run, r.first, r.first)])] = 1 << k
-        d = determinise(nfa, start, ends, True)
-        # Triggering states come last, so that a comparison tells them.
+            head, run = head_and_run(r)
+            trigger = (*head, Part(run, r.first, r.first))
+            at = nfa.add(start, trigger)
+            going = nfa.add(at, (Part(run, 1, None),))
+            accepting[at] = 1 << 2 * k
+            accepting[going] = 2 << 2 * k
+            one = Nfa()
+            s = one.state()
+            self.backward.append(determinise(one, s, {one.add(s, backwards(trigger)): 1}, False))
+        d = determinise(nfa, start, accepting, True)
+        # Accepting states come last, so that a comparison tells them.
         order = np.argsort(d.accept > 0, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -198,16 +292,9 @@ class Scanner:
         self.cls = d.cls.astype(np.uint8)
         resets = (self.table.reshape(-1, self.n_cls) == self.start).all(axis=0)
         self.reset = resets[self.cls]
-        self.backward, self.forward = [], []
-        for r in rules:
-            for seq, out in ((_reverse([*r.head, (r.run, r.first, r.first)]), self.backward), ([*r.head, (r.run, 1, None)], self.forward)):
-                one = Nfa()
-                s = one.state()
-                e = one.add(s, seq)
-                out.append(determinise(one, s, {e: 1}, False))
-
-    def triggers(self, buf: np.ndarray, offsets: np.ndarray, cut: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Positions after which a trigger is complete, and the masks of rules, by position."""
+
+    def accepted(self, buf: np.ndarray, offsets: np.ndarray, cut: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Positions after which a trigger is complete or a run goes on, and the masks of rules, by position."""
         n = len(buf)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -253,18 +340,24 @@ class Scanner:
                 break
         return best
 
-    def spans(self, text: bytes, triggers: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    def spans(self, text: bytes, pos: np.ndarray, mask: np.ndarray) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes, by start, then rule."""
         out = []
         for k, r in enumerate(self.rules):
+            at = pos[mask >> 2 * k & 1 > 0]
+            if not len(at):
+                continue
+            # a run lasts while every position is accepted by the rule
+            inside = pos[mask >> 2 * k & 3 > 0]
+            last = inside[np.append(np.flatnonzero(np.diff(inside) > 1), len(inside) - 1)]
+            end_of = last[np.searchsorted(last, at)]
             done = 0
-            for p, mask in triggers:
-                if not mask >> k & 1 or p - r.first < done:
+            for p, end in zip(at.tolist(), end_of.tolist(), strict=True):
+                if p - r.first < done:
                     continue
                 start = self._longest(self.backward[k], text, p, done, -1)
                 if start < 0:
                     continue
-                end = self._longest(self.forward[k], text, start, len(text), 1)
                 done = end
                 if end - p + r.first >= r.least:
                     out.append((start, end, k))
@@ -279,7 +372,8 @@ def scanner() -> Scanner:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, kinds, starts, ends (arrays of all spans, in code points, by start and rule).
 
-    Null and empty texts have no spans.  Repeated rows are scanned each.  Other columns are ignored.
+    Null and empty texts have no spans.  Repeated rows are scanned each, rows without an id
+    too; an empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
 
     def run(batches):
@@ -287,14 +381,14 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, buf, off in pieces(batch.column(1)):
-                pos, mask = scan.triggers(buf, off)
+                pos, mask = scan.accepted(buf, off)
                 doc = np.searchsorted(off, pos, "left") - 1
                 kinds, starts, ends = ([[] for _ in range(hi - lo)] for _ in range(3))
                 cut = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     i = int(doc[a])
                     part = buf[off[i] : off[i + 1]]
-                    found = scan.spans(part.tobytes(), list(zip((pos[a:b] - off[i]).tolist(), mask[a:b].tolist(), strict=True)))
+                    found = scan.spans(part.tobytes(), pos[a:b] - off[i], mask[a:b])
                     if found:
                         chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
                         kinds[i] = [scan.rules[k].kind for _, _, k in found]
