@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import in_file_order, ranked, ranked_in_file_order, words_col
+from helixframe.llm.common import in_file_order, materialize, ranked, ranked_in_file_order, words_col
 
 
 def best_boundaries(hist: dict[int, int], buckets: int) -> tuple[list[int], int]:
@@ -60,13 +60,16 @@ def pack(docs: DataFrame, buckets: int = 16, max_len: int = 2048, budget: int =
     within the budget; the last of a bucket may be smaller.  Repeated rows are packed
     each; ties of the hash order are rows alike in (doc_id, piece).  With ``keep_order``
     the batches of a bucket take its pieces in the order of the files that ``docs`` was
-    read from, so that a mixture that was written in order stays mixed.
+    read from, so that a mixture that was written in order stays mixed.  An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     if not 0 < max_len <= budget:
         raise ValueError("0 < max_len <= budget is needed")
     size = F.size(words_col(F.col("text"))) if length_col is None else F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0))
     at = ["_rank_chunk", "_rank_row"] if keep_order else []
     whole = (in_file_order(docs) if keep_order else docs).select(*at, F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"))
+    # written once: the steps below read lengths only, no texts
+    whole = materialize(whole, "pack-lengths")
     last = F.greatest(F.ceil(F.col("size") / max_len) - 1, F.lit(0))
     piece = whole.select(*at, "doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
     piece = piece.select(*at, "doc_id", "piece", (F.col("piece") * max_len).alias("start_token"), F.least(F.lit(max_len).cast("long"), F.col("size") - F.col("piece") * max_len).alias("n_tokens"))
