@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import PIECE, _IS_WS, _LOWER_TABLE, mix, pieces, prefix_hash, range_hash, unit_hash
+from helixframe.llm.common import PIECE, _IS_WS, _LOWER_TABLE, materialize, mix, pieces, prefix_hash, range_hash, unit_hash
 
 _U = np.uint64
 _BITS = 20
@@ -73,33 +73,49 @@ def held_out(doc_id, mod: int, rest: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == rest, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled texts of at most ``max_chars`` characters, chosen by hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int, max_bytes: int) -> list[tuple[str, int]]:
+    """The training sample: texts and labels of the ids with the smallest hashes, within both bounds, in that order.
+
+    An id has one text, the smallest if there are several, and its largest label.  The share
+    of ids that is looked at holds more than ``max_rows`` and far fewer than all.
+    """
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
-    lab = lab.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    n = lab.count()
-    lab = lab.where(unit_hash(F.col("label_id")) < max_rows / max(n, 1)).limit(max_rows)
-    got = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(lab), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic").limit(2 * max_rows)
-    rows = sorted(got.collect(), key=lambda r: (r[0], r[1]))
+    lab = lab.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", unit_hash(F.col("label_id")))
+    lab = materialize(lab.where(F.col("h") < 1.25 * max_rows / max(lab.count(), 1)), "toxic-labels")
+    got = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(lab), F.col("doc_id") == F.col("label_id"))
+    got = materialize(got.groupBy("h", "label_id", "toxic").agg(F.min("text").alias("text")), "toxic-texts")
+    sizes = sorted(map(tuple, got.select("h", "label_id", F.octet_length("text")).collect()))[:max_rows]
+    used = np.cumsum([x[2] for x in sizes]) <= max_bytes
+    last = int(used.sum()) - 1
+    if last < 0:
+        return []
+    inside = (F.col("h") < sizes[last][0]) | ((F.col("h") == sizes[last][0]) & (F.col("label_id") <= sizes[last][1]))
+    return [(r[2], int(r[3] > 0)) for r in sorted(got.where(inside).select("h", "label_id", "text", "toxic").collect())]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int, max_bytes: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit on the sample."""
     examples, y = [], []
-    for _, text, toxic in rows:
+    for text, toxic in sample(docs, labels, max_rows, max_chars, max_bytes):
         b = np.frombuffer(text.encode(), np.uint8)
         examples.append(np.unique(features(b, np.array([0, len(b)]))[1]).astype(np.int32))
-        y.append(int(toxic > 0))
+        y.append(toxic)
     return ftrl(examples, y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: int = 50_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: int = 50_000, max_bytes: int = 128 << 20) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, held_out, score, predicted.
 
     Trained on ``labels(doc_id, toxic)`` of rows whose crc32(doc_id as text) mod 5 is not
-    0, on a sample of at most ``max_rows`` labelled ids (their texts of at most
-    ``max_chars`` characters), chosen by the hash of the id.  Every whole text is scored;
-    null and empty texts get the score of the bias.  Several labels of one id count as
-    the largest; null labels are left out; without labels every score is 0.5 and
-    predicted 1.  held_out is false for a null doc_id.
+    0, on the at most ``max_rows`` labelled ids with the smallest hashes whose texts, of at
+    most ``max_chars`` characters each, have at most ``max_bytes`` bytes together, so that the
+    same tables always give the same scores.  Every whole text is scored; null and empty
+    texts get the score of the bias.  Several labels of one id count as the largest, several
+    texts as the smallest; null labels are left out; without labels every score is 0.5 and
+    predicted 1.  held_out is false for a null doc_id.  Repeated rows are scored each; an
+    empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
-    at, w, bias = train(docs, labels, max_rows, max_chars)
+    at, w, bias = train(docs, labels, max_rows, max_chars, max_bytes)
 
     def run(batches):
         table = np.zeros(1 << _BITS, np.float64)
