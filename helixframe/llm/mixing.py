@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import materialize, ranked
 
+MIX_COLUMNS = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_pos")
 _PLAN = "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long"
 
 
@@ -113,10 +114,11 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     A null source is a source of its own.  Every row is scheduled once, repeated rows and
     null ids too; ties of the hash order are rows alike in doc_id.  Sources are counted
     into one row each; more than ``max_sources`` stop the job.  An empty table gives an
-    empty result.
+    empty result.  Other columns stay, but for those with one of the five names above, which
+    are replaced.
     """
-    clash = [c for c in docs.columns if c.startswith("mix_")]
-    docs = docs.drop(*clash)
+    own = [c for c in docs.columns if c not in MIX_COLUMNS]
+    docs = docs.select(F.struct(*own).alias("document"), "doc_id", "source")
     counts = materialize(docs.groupBy("source").count(), "mix-counts")
     if counts.count() > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -125,4 +127,4 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     out = out.withColumn("mix_block", F.floor(F.col("mix_rank") / block)).withColumn("mix_pos", F.col("mix_rank") % block)
     # not hinted: the schedule grows with the rows, and is broadcast only while it is small
     out = out.join(plan, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_of")))
-    return out.select(*docs.columns, "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_pos")
+    return out.select(*[F.col("document")[c].alias(c) for c in own], *MIX_COLUMNS)
