@@ -1,7 +1,7 @@
 """Line-first quality rules, with DataFrame functions only.
 
-Each line with a word is judged by itself; lines that fail are removed; a document
-that loses too large a part of its word characters, or fails the document rules, is
+Each line with a word is judged by itself, by counts of its words; lines that fail are
+removed; a document that loses too large a part of its word characters, or fails the document rules, is
 rejected.  Everything is computed inside the row: no shuffle, no Python.
 """
 
@@ -12,47 +12,39 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import WORD, WS, words_col
 
-# Line rules; the patterns mean the same in Java and RE2.
+# Line rules; the patterns mean the same in Java and RE2, and none repeats a repetition of its
+# own kind of characters, so that a line is judged in time that grows with its length.
 #: Punctuation: a line of fewer than five words that doesn't end a sentence ...
-FIVE_WORDS = rf"({WORD}+{WS}+){{4}}{WORD}"
-ENDS = rf"[.!?:;\x22')\]…”’»]{WS}*$"
-#: ... or a line in which a symbol or a doubled mark follows word after word.
-MARKED = rf"({WORD}*([#*$%&|<>]|[!?][!?]){{1}}{WORD}*{WS}+){{3}}"
-#: Navigation: words set apart by bars, arrows or dots, or a known menu line.
-BARS = rf"(({WS}|^)[|>»›·•]({WS}|$).*){{3}}"
-MENU = rf"^{WS}*(home|menu|next|previous|back to top|log ?in|sign (in|up)|share|skip to|read more|contact us|about us|search){WORD}*({WS}+{WORD}+){{0,3}}{WS}*$"
-#: Boilerplate: legal and technical notices on a line of their own.
-NOTICE = r"(all rights reserved|copyright (\(c\)|©|[0-9])|privacy policy|terms of (use|service)|cookie (policy|settings)|uses cookies|enable javascript|spdx-license-identifier|licensed under|lorem ipsum)"
-
-
-#: A word with a mark, a bar standing alone; for judging a line by the share of its words that they are.
-MARK = rf"([#*$%&|<>]|[!?][!?])"
+ENDS = rf"[.!?:;\x22')\]…”’»]{WS}*\z"
+#: ... or a line in which many words hold a symbol or a doubled mark.
+MARK = r"[#*$%&|<>]|[!?][!?]"
+#: Navigation: words set apart by bars, arrows or dots standing alone, or a known menu line.
 BAR = r"^[|>»›·•]$"
-#: A notice's match and the words that belong to such a notice around it.
-NOTICE_WORDS = 10
+MENU = rf"^{WS}*(home|menu|next|previous|back to top|log ?in|sign (in|up)|share|skip to|read more|contact us|about us|search){WORD}*({WS}+{WORD}+){{0,3}}{WS}*\z"
+#: Boilerplate: legal and technical notices.
+NOTICE = r"(all rights reserved|copyright (\(c\)|©|[0-9])|privacy policy|terms of (use|service)|cookie (policy|settings)|uses cookies|enable javascript|spdx-license-identifier|licensed under|lorem ipsum)"
+#: Marks and bars fail a line from this many words on ...
+LEAST_MARKS = 3
+#: ... and marks, bars and notices only if they make up more than this part of the line's words: a bar
+#: counts with the word that it sets apart, a notice as ten words.
+DENSE_PERCENT, BAR_WORDS, NOTICE_WORDS = 30, 2, 10
 
 
-def bad_line(line: Column, most_percent: int | None = None) -> Column:
-    """Lines that fail; with ``most_percent`` a mark, bar or notice fails a line only if it makes up more than that part of its words."""
+def bad_line(line: Column) -> Column:
+    """Lines that fail: short without the end of a sentence, dense with marks or bars, a menu, or mostly a notice."""
     low = F.lower(line)
-    if most_percent is not None:
-        words = words_col(line)
-        dense = lambda n: 100 * n > most_percent * F.size(words)
-        count = lambda pattern: F.size(F.filter(words, lambda w: F.rlike(w, F.lit(pattern))))
-        # the cheap pattern first: a line without it isn't cut into words
-        return (
-            (~F.rlike(line, F.lit(FIVE_WORDS)) & ~F.rlike(line, F.lit(ENDS)))
-            | (F.rlike(line, F.lit(MARKED)) & dense(count(MARK)))
-            | (F.rlike(line, F.lit(BARS)) & dense(2 * count(BAR)))
-            | F.rlike(low, F.lit(MENU))
-            | (F.rlike(low, F.lit(NOTICE)) & dense(NOTICE_WORDS * F.regexp_count(low, F.lit(NOTICE))))
-        )
+    words = words_col(line)
+    count = lambda pattern: F.size(F.filter(words, lambda w: F.rlike(w, F.lit(pattern))))
+    dense = lambda n: 100 * n > DENSE_PERCENT * F.size(words)
+    # the anchored pattern takes words whole (possessive), so it ends at the first that is missing
+    five = F.rlike(line, F.lit(rf"^{WS}*+(?:{WORD}++{WS}++){{4}}{WORD}"))
+    # cheap patterns first: a line without them isn't cut into words
     return (
-        (~F.rlike(line, F.lit(FIVE_WORDS)) & ~F.rlike(line, F.lit(ENDS)))
-        | F.rlike(line, F.lit(MARKED))
-        | F.rlike(line, F.lit(BARS))
+        (~five & ~F.rlike(line, F.lit(ENDS)))
+        | (F.rlike(line, F.lit(MARK)) & (count(MARK) >= LEAST_MARKS) & dense(count(MARK)))
+        | (F.rlike(line, F.lit("[|>»›·•]")) & (count(BAR) >= LEAST_MARKS) & dense(BAR_WORDS * count(BAR)))
         | F.rlike(low, F.lit(MENU))
-        | F.rlike(low, F.lit(NOTICE))
+        | (F.rlike(low, F.lit(NOTICE)) & dense(NOTICE_WORDS * F.regexp_count(low, F.lit(NOTICE))))
     )
 
 
@@ -60,7 +52,7 @@ def _word_chars(text: Column) -> Column:
     return F.length(F.array_join(words_col(text), ""))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, most_lost_percent: int = 50, window: int = 8, dense_percent: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, most_lost_percent: int = 50, window: int = 8) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the columns n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, lost_chars, clean_text, kept behind the columns of ``docs``.
 
@@ -71,55 +63,60 @@ def quality_rules(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30
     hold at most ``most_lost_percent`` % of its word characters.  Repeated rows and ids
     are judged row by row.  Columns of ``docs`` with the names above are replaced.
 
-    A mark, bars or a notice anywhere in a line fail all of it, as in the query's SQL; with
-    ``dense_percent`` they do so only if they make up more than that part of its words
-    (a bar counts with the word it sets apart, a notice as NOTICE_WORDS words).
+    Every line is judged once, by ``bad_line``.  Columns of ``docs`` whose names begin with
+    ``_q_`` stop the job.
     """
+    clash = [c for c in docs.columns if c.startswith("_q_")]
+    if clash:
+        raise ValueError(f"names that begin with _q_ are taken: {clash}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_words", words_col(F.col("text")))
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    out = docs.withColumn("_q_words", words_col(F.col("text")))
+    out = out.withColumn("n_words", F.size("_q_words").cast("long")).withColumn("word_chars", F.length(F.array_join("_q_words", "")).cast("long"))
     out = out.withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"))
-    out = out.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD))))
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    out = out.withColumn("_q_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD))))
+    out = out.withColumn("n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
 
     # Windows: hashes of words, then of runs of them; positions are looked at only if some hash occurs twice.
-    out = out.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-    wins = F.transform(F.sequence(F.lit(1), F.size("_hash") - (window - 1)), lambda i: F.xxhash64(F.slice("_hash", i, window)))
-    out = out.withColumn("_win", F.when(F.size("_hash") >= window, wins).otherwise(F.array().cast("array<bigint>")))
-    twice = F.size(F.array_distinct("_win")) < F.size("_win")
-    out = out.withColumn("_pair", F.when(twice, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda e, j: F.coalesce(F.get("_pair", j)["h"] == e["h"], F.lit(False))
-    at = F.transform("_pair", lambda e, k: F.when(same(e, k - 1) | same(e, k + 1), e["i"]))
-    out = out.withColumn("_at", F.when(F.col("_pair").isNotNull(), F.sort_array(F.filter(at, lambda x: x.isNotNull()))))
+    out = out.withColumn("_q_hash", F.transform("_q_words", lambda w: F.xxhash64(w)))
+    wins = F.transform(F.sequence(F.lit(1), F.size("_q_hash") - (window - 1)), lambda i: F.xxhash64(F.slice("_q_hash", i, window)))
+    out = out.withColumn("_q_win", F.when(F.size("_q_hash") >= window, wins).otherwise(F.array().cast("array<bigint>")))
+    twice = F.size(F.array_distinct("_q_win")) < F.size("_q_win")
+    out = out.withColumn("_q_pair", F.when(twice, F.sort_array(F.transform("_q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda e, j: F.coalesce(F.get("_q_pair", j)["h"] == e["h"], F.lit(False))
+    at = F.transform("_q_pair", lambda e, k: F.when(same(e, k - 1) | same(e, k + 1), e["i"]))
+    out = out.withColumn("_q_at", F.when(F.col("_q_pair").isNotNull(), F.sort_array(F.filter(at, lambda x: x.isNotNull()))))
     covered = F.aggregate(
-        "_at",
+        "_q_at",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda s, p: F.struct((s["n"] + p + window - F.greatest(p, s["end"])).alias("n"), (p + window).alias("end")),
     )
     out = out.withColumn("n_repeat_words", F.coalesce(covered["n"], F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
 
-    out = out.withColumn("_bad", F.filter("_lines", lambda x: bad_line(x, dense_percent)))
-    lost = F.when(F.size("_bad") > 0, _word_chars(F.array_join("_bad", "\n"))).otherwise(0)
-    out = out.withColumn("lost_chars", lost.cast("long"))
-    clean = F.when(F.size("_bad") > 0, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_bad", x)), "\n")).otherwise(text)
-    out = out.withColumn("clean_text", clean)
+    judged = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), (F.rlike(x, F.lit(WORD)) & bad_line(x)).alias("bad")))
+    out = out.withColumn("_q_judged", judged)
+    out = out.withColumn("_q_lost", F.filter("_q_judged", lambda x: x["bad"]))
+    out = out.withColumn("lost_chars", F.when(F.size("_q_lost") > 0, _word_chars(F.array_join("_q_lost.line", "\n"))).otherwise(0).cast("long"))
+    clean = F.array_join(F.filter("_q_judged", lambda x: ~x["bad"])["line"], "\n")
+    out = out.withColumn("clean_text", F.when(F.size("_q_lost") > 0, clean).otherwise(text))
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= most_lost_percent * F.col("word_chars")))
-    return out.drop("_words", "_lines", "_hash", "_win", "_pair", "_at", "_bad")
+    return out.drop("_q_words", "_q_lines", "_q_hash", "_q_win", "_q_pair", "_q_at", "_q_judged", "_q_lost")
+
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The documents that quality_rules keeps, with their failing lines removed and n_chars (if there) counted again.
 
-def passing(docs: DataFrame, dense_percent: int = 30) -> DataFrame:
-    """The documents that quality_rules keeps, judging lines by density, with their failing lines removed and n_chars (if there) counted again.
+    Other columns stay as they are, whatever their names.  Null and empty texts go; repeated
+    rows are judged each; an empty table gives an empty one.
 
     The filter reads a column that isn't deterministic to the optimiser, so that it stays
     above the projections: pushed below them, each column of the rules would be put in
     for its name again and again, and the condition would grow without end.
     """
-    judged = quality_rules(docs, dense_percent=dense_percent).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    out = judged.withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("clean_text").cast("long"))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    judged = quality_rules(whole).withColumn("_q_row", F.monotonically_increasing_id()).where("kept and _q_row >= 0")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return judged.select(*[(new.get(c, F.col("document")[c])).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the query's rows.
@@ -129,12 +126,16 @@ w AS (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> ''
 win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM hit) GROUP BY rid),
-bad AS (SELECT *, list_filter(ls, lambda x: (NOT regexp_matches(x, '{FIVE_WORDS}') AND NOT regexp_matches(x, '{ENDS.replace("'", "''")}')) OR regexp_matches(x, '{MARKED}') OR regexp_matches(x, '{BARS}') OR regexp_matches(lower(x), '{MENU}') OR regexp_matches(lower(x), '{NOTICE}')) AS bs FROM w),
+lines AS (SELECT rid, x, list_filter(regexp_split_to_array(x, '{WS}+'), lambda y: y <> '') AS lw FROM (SELECT rid, unnest(ls) AS x FROM w)),
+seen AS (SELECT rid, x, len(lw) AS n, len(list_filter(lw, lambda y: regexp_matches(y, '{MARK}'))) AS marks, len(list_filter(lw, lambda y: regexp_matches(y, '{BAR}'))) AS bars, len(regexp_extract_all(lower(x), '{NOTICE}')) AS notices FROM lines),
+lost AS (SELECT rid, CAST(sum(length(regexp_replace(x, '{WS}+', '', 'g'))) AS BIGINT) AS lost_chars FROM seen
+  WHERE (n < 5 AND NOT regexp_matches(x, '{ENDS.replace("'", "''")}')) OR (marks >= {LEAST_MARKS} AND 100 * marks > {DENSE_PERCENT} * n) OR (bars >= {LEAST_MARKS} AND 100 * {BAR_WORDS} * bars > {DENSE_PERCENT} * n)
+  OR regexp_matches(lower(x), '{MENU}') OR 100 * {NOTICE_WORDS} * notices > {DENSE_PERCENT} * n GROUP BY rid),
 f AS (SELECT b.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{WS}+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-  CAST(length(regexp_replace(array_to_string(bs, ' '), '{WS}+', '', 'g')) AS BIGINT) AS lost_chars
-  FROM bad b LEFT JOIN rep ON b.rid = rep.rid),
+  coalesce(lost_chars, 0) AS lost_chars
+  FROM w b LEFT JOIN rep ON b.rid = rep.rid LEFT JOIN lost ON b.rid = lost.rid),
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, lost_chars FROM g
 """
