@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, langid, longmatch, mixing, near_dedup, packing, quality, secrets, toxicity, warc
-from helixframe.llm.common import materialize
+from helixframe.llm.common import join_counted, materialize
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(4)
@@ -83,6 +84,23 @@ def test_near_dedup_loose_copies(spark):
     assert [got[i] for i in range(len(texts))] == comp
 
 
+def test_near_dedup_of_colliding_words(spark):
+    """Words that every polynomial modulo 2^64 maps to one hash, and words beyond the table of places."""
+    tm = ["".join("ab"[x] for x in thue_morse(n)) for n in (1024, 4096)]
+    texts = [*tm, *("".join("ba"["ab".index(c)] for c in t) for t in tm), "x" * 200 + "y" + "x" * 5000, "x" * 5000 + "y" + "x" * 200, "q " * 30, "q " * 31, "Q q q q q q"]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_dedup(table(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (6, 1), 8: (6, 1)}
+
+
+def test_exact_links():
+    pairs = [(prose(RNG.randrange(0, 12)), None) for _ in range(200)]
+    pairs = [(a, a if RNG.random() < 0.2 else edited(a, 9) if RNG.random() < 0.5 else prose(RNG.randrange(0, 8)) + " " + a) for a, _ in pairs] + [("", ""), ("a", "a"), ("a b", "a b c"), ("A\tb", "a b")]
+    sets = lambda t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := t.lower().split()) > 4 else {tuple(w)} - {()}
+    got = near_dedup.exact_links([a.encode() for a, _ in pairs], [b.encode() for _, b in pairs], 75)
+    want = [bool(x & y) and 100 * len(x & y) >= 75 * len(x | y) for x, y in ((sets(a), sets(b)) for a, b in pairs)]
+    assert got.tolist() == want and 20 < sum(want) < 200
+
+
 def test_full_sketches_bound_the_difference(spark):
     rows = [prose(60), prose(60), "", "one two", prose(4000), prose(4000)]
     got = {r.doc_id: r for r in near_dedup.full_sketches(table(spark, [*rows, rows[0], rows[1], rows[2]], [*range(6), 0, 7, 7]).withColumn("text", F.col("text").cast("binary")), 2048).collect()}
@@ -116,19 +134,64 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 
 
+def plain_bad(line):
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n, low = len(words), line.lower()
+    marks = sum(any(c in "#*$%&|<>" for c in w) or any(x in "!?" and y in "!?" for x, y in itertools.pairwise(w)) for w in words)
+    bars = sum(w in list("|>»›·•") for w in words)
+    notices = len(re.findall(quality.NOTICE, low))
+    end = line.rstrip(" \t\n\x0b\x0c\r")[-1:] in list(".!?:;\"')]…”’»")
+    return (n < 5 and not end) or (marks >= 3 and 100 * marks > 30 * n) or (bars >= 3 and 200 * bars > 30 * n) or 1000 * notices > 30 * n or bool(re.search(quality.MENU.replace("\\z", "\\Z"), low))
+
+
+def plain_quality(text):
+    """(kept, clean text) by plain loops."""
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    hit = {k + j for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for j in range(8)}
+    bad = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x) and plain_bad(x)]
+    lost = sum(len(x) for x in re.findall(r"[^\x20\x09-\x0D]+", "\n".join(bad)))
+    failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+    return not failed and 100 * lost <= 50 * sum(map(len, w)), "\n".join(x for x in t.split("\n") if x not in bad), lost, len(hit)
+
+
 def test_quality(spark, texts):
     repeated = "a b c d e f g h " * 4
     rows = [*texts, repeated, "home\n" + prose(60) + ".\nAll rights reserved by us here today", "x | y | z | v | w\n" * 9]
+    bits = ["#", "a#b", "|", "»", "!?", "ok!", "word", "privacy policy", "home", "and", "so", "\t", "end.", "copyright 1", "(c)", "x\u2028"]
+    rows += ["\n".join(" ".join(RNG.choice(bits) for _ in range(RNG.randrange(12))) for _ in range(30)) + "\n" + prose(40) for _ in range(60)]
     got = {r.doc_id: r for r in quality.quality_rules(table(spark, rows)).collect()}
     for i, t in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
-        hit = {k + j for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for j in range(8)}
-        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
-        assert got[i].base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+        kept, clean, lost, hit = plain_quality(t)
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words, got[i].n_dup_lines) == (len(w), sum(map(len, w)), hit, len(lines) - len(set(lines)))
+        assert got[i].base_failed == (len(w) < 20 or 100 * hit > 30 * len(w))
+        assert (got[i].kept, got[i].clean_text, got[i].lost_chars) == (kept, clean, lost), t
     assert "home" not in got[len(texts) + 1].clean_text and "reserved" not in got[len(texts) + 1].clean_text and got[len(texts) + 1].kept
     assert not got[len(texts) + 2].kept
-    assert quality.passing(table(spark, rows)).columns == table(spark, []).columns
+    assert quality.quality_rules(table(spark, [])).count() == 0
+
+
+def test_quality_of_long_lines(spark):
+    """Time grows with the length of a line, whatever it is made of."""
+    million = 1 << 20
+    rows = ["x" * million, "#" * million, "." * million, "!" * million, " " * million + "a", "| " * (million // 2), "a#b " * (million // 4), "\n".join(f"line {i} has five words" for i in range(100_000)), "home " + "y" * million]
+    for i, t in enumerate(rows):
+        began = time.monotonic()
+        got = quality.quality_rules(table(spark, [t])).select("n_words", "lost_chars", "kept").first()
+        assert time.monotonic() - began < 60 and not (got.kept and i != 7), i
+    assert got.n_words == 2
+
+
+def test_quality_stage_keeps_other_columns(spark):
+    docs = table(spark, [prose(40) + ".", None, prose(40) + "."], [1, 2, None]).withColumn("n_words", F.lit("mine")).withColumn("document", F.lit(5)).withColumn("clean_text", F.lit(None).cast("int"))
+    got = quality.passing(docs).collect()
+    assert {r.doc_id for r in got} == {1, None} and all((r.n_words, r.document, r.kept, r.clean_text, r.n_chars) == ("mine", 5, "clash", None, len(r.text)) for r in got)
+    with pytest.raises(ValueError, match="_q_"):
+        quality.quality_rules(docs.withColumn("_q_words", F.lit(1)))
+    assert quality.passing(docs.limit(0)).count() == 0
 
 
 def test_quality_keeps_long_lines_with_a_mark(spark):
@@ -291,6 +354,60 @@ def test_mixing_follows_the_target_weights(spark):
         mixing.whole({"a": 1.0, "b": 0.0})
 
 
+def unsigned_rank(spark, rows, cols):
+    """Rows of ids in the order of their hash, as the operators number them."""
+    got = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols)).withColumn("h", F.xxhash64(*cols)).collect()
+    return [tuple(r)[:-1] for r in sorted(got, key=lambda r: ((r.h & (1 << 64) - 1) >> 1, r.h, tuple(-1 if x is None else x for x in tuple(r)[:-1])))]
+
+
+def test_mixing_against_plain_schedule(spark):
+    """The whole result against slots filled one by one with exact fractions."""
+    from fractions import Fraction
+
+    n = {"a": 90, "b": 37, None: 20, "c": 1}
+    rows = [(i, s) for i, s in enumerate(x for s, k in n.items() for x in [s] * k)]
+    weights = {"a": 5, "b": 2.5, "c": 0.5}
+    w = {s: Fraction(weights.get(s, n[s] ** 0.5)) for s in n}
+    w = {s: x / sum(w.values()) for s, x in w.items()}
+    blocks, slot, want = {s: -(-k // 8) for s, k in n.items()}, 0, {}
+    names, done = sorted(n, key=lambda s: (s is None, str(s))), Counter()
+    while len(want) < sum(blocks.values()):
+        free = [s for s in names if done[s] < blocks[s] and done[s] / w[s] // 1 <= slot]
+        if free:
+            s = min(free, key=lambda x: (-(-(done[x] + 1) / w[x] // 1), names.index(x), done[x]))
+            want[s, done[s]] = slot
+            done[s] += 1
+        slot += 1
+    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("document", F.lit("d")).withColumn("mix_slot", F.lit("old")).withColumn("mix_other", F.lit(3)).withColumn("_rank_chunk", F.lit(1))
+    got = mixing.mix_sources(docs, weights=weights, block=8).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows) and all((r.document, r.mix_other, r["_rank_chunk"]) == ("d", 3, 1) for r in got)
+    for s in n:
+        order = unsigned_rank(spark, [(i,) for i, x in rows if x == s], ["doc_id"])
+        assert [(r.doc_id,) for r in sorted((r for r in got if r.source == s), key=lambda r: (r.mix_block, r.mix_pos))] == order
+        assert all(r.mix_slot == want[s, r.mix_block] for r in got if r.source == s)
+
+
+def test_packing_against_plain_version(spark, texts):
+    """The whole result: pieces, best boundaries by trying all, batches by the order of hashes."""
+    ids = [*range(len(texts) - 1), None]
+    docs = table(spark, texts, ids).withColumn("size", F.lit("x")).withColumn("piece", F.lit("x")).withColumn("_rank_row", F.lit("x"))
+    pieces = []
+    for i, t in zip(ids, texts, strict=True):
+        size = len((t or "").encode().split())
+        pieces += [(i, p, 40 * p, min(40, size - 40 * p)) for p in range(max(1, -(-size // 40)))]
+    hist = Counter(p[3] for p in pieces)
+    pad = lambda b: sum(n * (min(x for x in b if x >= v) - v) for v, n in hist.items())
+    best = min(pad([*c, max(hist)]) for r in range(3) for c in itertools.combinations(sorted(hist)[:-1], r))
+    got = packing.pack(docs, buckets=3, max_len=40, budget=100).collect()
+    assert Counter((r.doc_id, r.piece, r.start_token, r.n_tokens) for r in got) == Counter(pieces)
+    bounds = sorted({r.bucket_len for r in got})
+    assert pad(bounds) == best and all(r.bucket_len == min(x for x in bounds if x >= r.n_tokens) and r.bucket == bounds.index(r.bucket_len) for r in got)
+    for k, size in enumerate(bounds):
+        order = unsigned_rank(spark, [(r.doc_id, r.piece) for r in got if r.bucket == k], ["doc_id", "piece"])
+        per = 100 // max(size, 1)
+        assert {(r.doc_id, r.piece): (r.batch, r.row_in_batch) for r in got if r.bucket == k} == {x: divmod(j, per) for j, x in enumerate(order)}
+
+
 def test_packing(spark, texts):
     hist = {1: 5, 2: 1, 4: 7, 7: 2, 9: 3, 10: 1}
     for k in (1, 2, 3, 6, 9):
@@ -319,19 +436,59 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(odd).collect()} == {"und"}
 
 
+def test_language_id_of_code_switched_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {}
+    for r in docs.where("lang is not null").orderBy("doc_id").collect():
+        words = re.findall(r"[A-Za-z\u0080-\U0010ffff]+", r.text)
+        if len(words) > 60 and not (zlib.crc32(str(r.doc_id).encode()) % 4 != 2):
+            whole.setdefault(r.lang, " ".join(words[:60]))
+    a, b = sorted(whole)[:2]
+    mixed = f"{whole[a]} {whole[b]} {whole[a]}"
+    odd = table(spark, [mixed, mixed, "12", None], [1_000_000, None, 1_000_001, 1_000_002]).select("doc_id", "text", "source", "n_chars", "digest", "kept").withColumn("lang", F.lit(None).cast("string")).withColumn("score", F.lit("x"))
+    got = langid.identify(docs.unionByName(odd, True).withColumn("letter", F.lit(1))).where("doc_id is null or doc_id >= 1000000").collect()
+    assert len(got) == 4
+    for r in got:
+        if r.doc_id in (1_000_001, 1_000_002):
+            assert (r.lang_pred, r.score, r.langs) == ("und", 0.0, [])
+        else:
+            spans = list(zip(r.langs, r.starts, r.ends))
+            n = len(whole[a]) + 1
+            right = sum(min(e, y) - max(s, x) for lang, s, e in spans for want, x, y in ((a, 0, n), (b, n, n + len(whole[b])), (a, n + len(whole[b]), len(mixed))) if lang == want and s < y and e > x)
+            assert right > 0.9 * len(mixed) and r.lang_pred == a and all(x[0] != y[0] and x[2] < y[1] for x, y in itertools.pairwise(spans))
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
 def test_forward_backward_against_enumeration():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    e, trans, start = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    lens = np.array([4, 2])
-    for gamma in (langid.forward_backward(e, lens, trans, start)[0], langid.posterior(e, lens, trans, start)):
-        for i, n in enumerate(lens):
-            p = np.zeros((n, 3))
-            for path in itertools.product(range(3), repeat=int(n)):
-                s = start[path[0]] + sum(e[i, t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path))
-                p[range(n), path] += np.exp(s)
-            assert np.allclose(gamma[i, :n], p / p.sum(axis=1, keepdims=True))
+    e, trans, start = rng.normal(size=(3, 7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    lens = np.array([7, 2, 1])
+    flat = np.concatenate([e[i, :n] for i, n in enumerate(lens)])
+    # windows don't matter: the whole chain is inferred
+    got = [langid.marginals(flat, lens, trans, start, w) for w in (1, 2, 3, 5, 128)]
+    trained = langid.forward_backward(e, lens, trans, start)[0]
+    at = 0
+    for i, n in enumerate(lens):
+        p = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            s = start[path[0]] + sum(e[i, t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path))
+            p[range(n), path] += np.exp(s)
+        p /= p.sum(axis=1, keepdims=True)
+        assert np.allclose(trained[i, :n], p) and all(np.allclose(g[at : at + n], p) for g in got)
+        at += n
+
+
+def test_language_id_windows_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = rng.integers(0, 400, 3000)
+    n[7] = 5000
+    e = rng.normal(size=(int(n.sum()), 4)) * 3
+    trans, start = rng.normal(size=(4, 4)), rng.normal(size=4)
+    assert np.allclose(langid.marginals(e, n, trans, start, 128), langid.marginals(e, n, trans, start, 6000))
 
 
 def test_toxicity(spark):
@@ -343,6 +500,93 @@ def test_toxicity(spark):
     assert held and all(r.predicted == (r.doc_id % 3 == 0) for r in held)
     assert got[300].score == got[301].score and {r.held_out for r in got.values()} == {True, False}
     assert toxicity.toxicity(table(spark, ["a"]), labels.limit(0)).first().score == 0.5
+    assert toxicity.toxicity(table(spark, []), labels).count() == 0
+    # bounds hold, and the sample doesn't depend on the order or repetition of rows
+    docs = table(spark, [*rows, *rows, "another text of this id"], [*range(302), *range(302), 4]).withColumn("toxic", F.lit("x")).withColumn("h", F.lit("x"))
+    one = toxicity.sample(docs.orderBy(F.desc("doc_id")), labels, 50, 10**6, 10**9)
+    two = toxicity.sample(docs.repartition(3), labels.union(labels), 50, 10**6, 10**9)
+    assert one == two and 40 < len(one) <= 50
+    few = toxicity.sample(docs, labels, 50, 10**6, 2000)
+    assert few == one[: len(few)] and 10 < len(few) < 25 and sum(len(t) for t, _ in few) <= 2000
+
+
+def test_ftrl_against_plain_loops():
+    import math
+
+    import numpy as np
+
+    examples = [np.array(sorted(RNG.sample(range(30), 5))) for _ in range(200)]
+    labels = [int(3 in x or 4 in x) for x in examples]
+    alpha, beta, l1, l2, epochs, positive, seed = 0.5, 1.0, 0.3, 0.1, 3, 2.0, 3
+    z, n, weights = {}, {}, lambda i: 0.0 if abs(z.get(i, 0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    rng, zb, nb = np.random.default_rng(seed), 0.0, 0.0
+    for _ in range(epochs):
+        for k in rng.permutation(len(examples)):
+            w = {i: weights(i) for i in examples[k].tolist()}
+            bias = -zb * alpha / (beta + math.sqrt(nb))
+            g = (1 / (1 + math.exp(-(sum(w.values()) + bias))) - labels[k]) * (positive if labels[k] else 1)
+            for i in w:
+                sigma = (math.sqrt(n.get(i, 0) + g * g) - math.sqrt(n.get(i, 0))) / alpha
+                z[i], n[i] = z.get(i, 0) + g - sigma * w[i], n.get(i, 0) + g * g
+            zb, nb = zb + g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * bias, nb + g * g
+    at, w, bias = toxicity.ftrl(examples, labels, alpha, beta, l1, l2, epochs, positive, seed)
+    want = {i: weights(i) for i in z if weights(i)}
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(want) and 0 < len(want) < 30 and bias == pytest.approx(-zb * alpha / (beta + math.sqrt(nb)))
+
+
+def test_join_counted(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 50}" if i % 7 else None) for i in range(6000)]
+    n = Counter(k for _, k in rows if k)
+    left = spark.createDataFrame(rows, "id long, k string")
+    right = spark.createDataFrame([(k, c, k.upper()) for k, c in n.items() if k != "k0"] + [("z", 5000, "Z")], "k string, c long, v string")
+    got = sorted(map(tuple, join_counted(left, right, ["k"], "c", 6000).select("id", "k", "c", "v").collect()))
+    assert got == sorted((i, k, n[k], k.upper()) for i, k in rows if k and k != "k0") and n["hot"] > 1000
+
+
+def test_pipeline_stages_with_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    one, two = prose(60) + ".", prose(60) + "."
+    rows = [(5, one), (5, one), (5, two), (3, edited(two, 60)), (None, one), (None, None), (None, ""), (7, prose(50) + "."), (7, prose(50) + ".")]
+    docs = spark.createDataFrame([(i, t, None, "s" if k % 2 else None, 1, 9, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, kept long, `_id` long")
+    docs = docs.withColumn("_sha", F.lit("x")).withColumn("mix_slot", F.lit("x")).withColumn("component_id", F.lit("x")).withColumn("document", F.lit("x")).withColumn("_rank_row", F.lit("x"))
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).count() == 0 and stage(spark, docs.limit(0), SF).columns == docs.columns, name
+        assert stage(spark, docs, SF).columns == docs.columns and all(r.kept == 9 for r in stage(spark, docs, SF).collect())
+    assert {r["_id"] for r in p.quality_stage(spark, docs, SF).collect()} == {0, 1, 2, 3, 4, 7, 8}
+    kept = p.exact_stage(spark, docs, SF).collect()
+    assert len(kept) == 6 and len({r.text or "" for r in kept}) == 6 and {2, 3, 7, 8} < {r["_id"] for r in kept}
+    kept = [r["_id"] for r in p.near_stage(spark, docs, SF).collect()]
+    # the row of id 5 with another text stays, as do texts without words
+    assert len({0, 1, 4} & set(kept)) == 1 and len({2, 3} & set(kept)) == 1 and {5, 6, 7, 8} < set(kept) and len(kept) == 6
+    assert sorted(r["_id"] for r in p.mixing_stage(spark, docs, SF).collect()) == list(range(9))
+    assert p.packing_stage(spark, docs, SF).count() == 9 and p.packing_stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_against_plain_version(spark, tmp_path):
+    """run() as a whole: which documents stay, with which text, by plain loops; their order by source; batches in that order."""
+    import corpus_pipeline as p
+
+    base = [prose(RNG.randrange(30, 90)) + "." for _ in range(12)]
+    rows = [*base, *base[:4], base[1].replace(" ", "  "), *(edited(base[k], 40) for k in (2, 3, 5, 5)), "home\n" + base[6], base[7] + "\nall rights reserved", "x | y | z | v | w\n" * 9, "", None, "too short."]
+    docs = [(100 + (k * 37) % 101, t, "en", "ab"[k % 3 == 0], len(t or "")) for k, t in enumerate(rows)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {i: plain_quality(t)[1] for i, t, *_ in docs if plain_quality(t)[0]}
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    texts = {i: t for i, t in texts.items() if i == min(j for j, x in texts.items() if norm(x) == norm(t))}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    want = {i: len(texts[i].split()) for i in sets if comp[i] == i}
+    got = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want) < len(rows) - 8
+    lens = sorted(set(want.values()))
+    bounds = sorted({r.bucket_len for r in got})
+    assert bounds == lens if len(lens) <= 16 else len(bounds) == 16
+    assert all(r.batch == 0 for r in got) and len({(r.bucket, r.row_in_batch) for r in got}) == len(got)
 
 
 def test_pipeline(spark, tmp_path):
