@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of ``documents``.  ``run`` writes each stage's result as Parquet in the
+the columns of ``documents``, and any others, whatever their names.  ``run`` writes each stage's result as Parquet in the
 shared folder and reads it back for the next.
 """
 
@@ -11,38 +11,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import materialize
-from helixframe.llm.exact_dedup import exact_dedup, normal_text
+from helixframe.llm.exact_dedup import exact_dedup
 from helixframe.llm.mixing import mix_sources
 from helixframe.llm.near_dedup import near_dedup
 from helixframe.llm.packing import pack
 from helixframe.llm.quality import passing
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """document (all columns), doc_id (LONG, of one row only) and text of each row.
+
+    That is the doc_id where ids are unique; if some repeat or are null, the table is written
+    with a number for every row instead, so that each row can be judged by itself.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = whole.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    return whole if n[0] == n[1] else materialize(whole.withColumn("doc_id", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def kept_rows(whole: DataFrame, kept: DataFrame) -> DataFrame:
+    return whole.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select("document.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines removed and n_chars counted again."""
+    """Documents that pass, with their failing lines removed and n_chars counted again.
+
+    Null and empty texts go.  Repeated rows are judged each.  An empty table gives an empty one.
+    """
     return passing(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    ids = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normal_text(F.col("text")), 256)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi").select(*docs.columns)
+    """One document of each group of equal texts: that with the smallest id.
+
+    Null and empty texts are one group.  Where ids repeat or are null, rows are numbered and
+    the first number stays, so one row stays of repeated rows, too.  An empty table gives an empty one.
+    """
+    whole = by_id(docs)
+    return kept_rows(whole, exact_dedup(whole).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest id, or number as in exact_stage.
+
+    Null and empty texts stay, as they are linked with nothing.  An empty table gives an empty one.
+    """
+    whole = by_id(docs)
+    return kept_rows(whole, near_dedup(whole).where("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: the files of the result, read in order, give it."""
-    return mix_sources(docs).orderBy("mix_slot", "mix_pos").select(*docs.columns)
+    """All documents in the order of the mixture: the files of the result, read in order, give it.
+
+    A null source is a source of its own.  Repeated rows and null ids stay.  An empty table gives an empty one.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", "source")
+    return mix_sources(rows).orderBy("mix_slot", "mix_pos").select("document.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their buckets and batches, which follow the order of the mixture."""
+    """The pieces of the documents with their buckets and batches, which follow the order of the mixture.
+
+    Null and empty texts are a piece of no tokens.  Repeated rows and null ids are packed each.
+    An empty table gives an empty one.
+    """
     return pack(docs, keep_order=True)
 
 
