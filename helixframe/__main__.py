@@ -1,12 +1,11 @@
-"""python -m helixframe CONFIG.toml: assemble by a configuration file."""
+"""python -m helixframe CONFIG.toml [LOG_FILE]: assemble by a configuration file."""
 
-import logging
 import sys
 
 from pyspark.sql import SparkSession
 
-from helixframe.plans.assembler import assemble
+from helixframe.plans.assembler import assemble, set_up_logging
 from helixframe.sources.readers import load_config
 
-logging.basicConfig(level=logging.INFO)
+set_up_logging(*sys.argv[2:3])
 assemble(SparkSession.builder.getOrCreate(), load_config(sys.argv[1]))

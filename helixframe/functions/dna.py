@@ -28,6 +28,21 @@ def windows(seq: Column, k: int) -> Column:
     return F.when(n >= 1, cut).otherwise(F.array().cast("array<string>"))
 
 
+def pieces(seq: Column, k: int, small: int = 256, large: int = 1 << 18) -> Column:
+    """Overlapping pieces of at most ``small`` windows each: array of (at, part); every window lies in one.
+
+    A window's place is found by counting from the start of its text, so windows of a long
+    sequence are cut from pieces, and those from large pieces.  A short sequence is one piece.
+    """
+    starts = lambda n, step: F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
+    windows_in = lambda text: F.length(text) - (k - 1)
+    cut = lambda text, at, size: F.substring(text, at + 1, F.lit(size + k - 1))
+    piece = lambda at, part: F.struct(at.alias("at"), part.alias("part"))
+    inner = lambda at, text: F.transform(starts(windows_in(text), small), lambda j: piece((at + j).cast("int"), cut(text, j, small)))
+    outer = F.flatten(F.transform(F.transform(starts(windows_in(seq), large), lambda i: piece(i, cut(seq, i, large))), lambda p: inner(p["at"], p["part"])))
+    return F.when(windows_in(seq) <= small, F.array(piece(F.lit(0), seq))).otherwise(outer)
+
+
 def source(label: Column, k: int) -> Column:
     return F.substring(label, 1, k - 1)
 

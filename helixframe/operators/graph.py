@@ -9,7 +9,7 @@ Nodes are their strings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
@@ -48,7 +48,8 @@ def kmer_rows(reads: DataFrame, k: int, reverse_complement: bool = False, on_sho
     strands = F.array(F.col("seq"), dna.reverse_complement(F.col("seq"))) if reverse_complement else F.array("seq")
     first = _first_id(F.col("read_id").cast("long"), F.col("n_ids"), F.length("seq") - (k - 1))
     rows = rows.select(first.alias("first"), "n_ids", F.posexplode(strands).alias("strand", "s"))
-    rows = rows.select((F.col("first") + F.shiftleft(F.col("n_ids"), readers.POSITIONS) * F.col("strand")).alias("first"), F.posexplode(dna.windows(F.col("s"), k)).alias("pos", "kmer"))
+    rows = rows.select((F.col("first") + F.shiftleft(F.col("n_ids"), readers.POSITIONS) * F.col("strand")).alias("first"), F.explode(dna.pieces(F.col("s"), k)).alias("piece"))
+    rows = rows.select((F.col("first") + F.col("piece.at")).alias("first"), F.posexplode(dna.windows(F.col("piece.part"), k)).alias("pos", "kmer"))
     return rows.select("kmer", (F.col("first") + F.col("pos")).alias("edge_id"))
 
 
@@ -72,6 +73,16 @@ def weighted_graph(kmers: DataFrame, k: int, reverse_complement: bool = False) -
     return as_edges(rows.withColumn("edge_id", F.col("first") + F.shiftleft(F.col("strand").cast("long"), readers.POSITIONS)), k)
 
 
+def edge_count(edges: DataFrame) -> Column:
+    """How many edges a row stands for: one, but for contracted paths."""
+    return F.col("n") if "n" in edges.columns else F.lit(1).cast("long")
+
+
+def edge_total(edges: DataFrame) -> Column:
+    """The summed weight of the edges that a row stands for."""
+    return F.col("total") if "total" in edges.columns else F.col("weight")
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -140,16 +151,21 @@ def remove_weak_edges(edges: DataFrame, threshold: int) -> DataFrame:
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """One row: counts, weights and degrees; averages of an empty graph are null."""
+    """One row: counts, weights and degrees; averages of an empty graph are null.
+
+    Contracted paths count as the edges and inner nodes that they stand for.
+    """
     d = degrees(edges).agg(
-        F.count(F.lit(1)).alias("node_count"),
+        F.count(F.lit(1)).alias("ends"),
         F.coalesce(F.max("in_degree"), F.lit(0)).alias("max_in_degree"),
         F.coalesce(F.max("out_degree"), F.lit(0)).alias("max_out_degree"),
         F.coalesce(F.sum((F.col("in_degree") == 0).cast("long")), F.lit(0)).alias("incoming_vert_count"),
         F.coalesce(F.sum((F.col("out_degree") == 0).cast("long")), F.lit(0)).alias("outgoing_vert_count"),
     )
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.coalesce(F.max("weight"), F.lit(0)).alias("max_edge_weight"), F.avg("weight").alias("avg_edge_weight"))
-    return d.crossJoin(F.broadcast(e)).select("node_count", "edge_count", "max_edge_weight", "avg_edge_weight", "max_in_degree", "max_out_degree", F.expr("try_divide(edge_count, node_count)").alias("avg_out_degree"), "incoming_vert_count", "outgoing_vert_count")
+    most = F.col("most" if "most" in edges.columns else "weight")
+    n = F.coalesce(F.sum(edge_count(edges)), F.lit(0))
+    e = edges.agg(n.alias("edge_count"), (n - F.count(F.lit(1))).alias("inner"), F.coalesce(F.max(most), F.lit(0)).alias("max_edge_weight"), (F.sum(edge_total(edges)) / F.sum(edge_count(edges))).alias("avg_edge_weight"))
+    return d.crossJoin(F.broadcast(e)).withColumn("node_count", F.col("ends") + F.col("inner")).select("node_count", "edge_count", "max_edge_weight", "avg_edge_weight", "max_in_degree", "max_out_degree", F.expr("try_divide(edge_count, node_count)").alias("avg_out_degree"), "incoming_vert_count", "outgoing_vert_count")
 
 
 def adjacency_stats(adj: DataFrame) -> DataFrame:

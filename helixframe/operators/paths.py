@@ -2,18 +2,27 @@
 
 Walks are never followed edge by edge.  Pointer doubling brings every edge to the head
 of its path in as many rounds as the logarithm of the longest path; a round is one
-equi-join on LONG ids of the edges that haven't arrived, and is written to the shared
+equi-join of the edges that haven't arrived, on LONG ids, and is written to the shared
 folder to cut lineage.
+
+An edge may stand for a whole unbranched path of ``n`` edges with ``total`` weight; those
+columns are 1 and the weight where they are missing.  ``contract`` makes such tables, on which
+pruning and averaging need no more work than there are branches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
-from helixframe.operators.graph import degrees
-from helixframe.storage import materialize
+from helixframe.operators.graph import degrees, edge_count, edge_total
+from helixframe.storage import materialize, release
+
+#: Rows of a table that is broadcast: some 40 bytes each.
+_FEW = 200_000
+#: k-mers whose last bases are put together in one row before a label is.
+_LABEL_CHUNK = 4096
 
 
 def _through(edges: DataFrame) -> DataFrame:
@@ -21,60 +30,99 @@ def _through(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("in_degree = 1 and out_degree = 1").select("node")
 
 
-def unitigs(edges: DataFrame) -> DataFrame:
-    """edge_id, unitig_id, dist, cyclic: the head edge of the maximal unbranched path an edge lies on, and its place.
+def _doubled(here: DataFrame, name: str, rounds_of: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pointer doubling of here(edge_id, ptr, dist, low, done) until all are done or no more become so: (done, not done).
 
-    A cycle of such nodes only has no head: its edge with the smallest id is made one,
-    and the path is marked cyclic.
+    Rows that are done are written once and stay as targets; only the others are joined, as
+    a broadcast once they are few.  What is left when a round brings none home lies on
+    cycles; there ``low`` has seen all of the cycle after as many rounds as that takes.
     """
-    t = edges.join(_through(edges), F.col("src") == F.col("node"), "left_semi").select("edge_id", F.col("src").alias("at"))
-    prev = edges.select(F.col("edge_id").alias("prev"), F.col("dst").alias("at"))
-    step = t.join(prev, "at").select("edge_id", "prev")
-    start = edges.select("edge_id").join(step, "edge_id", "left").select("edge_id", F.coalesce("prev", "edge_id").alias("ptr"), F.col("prev").isNotNull().cast("long").alias("dist"), F.coalesce("prev", "edge_id").alias("low"))
-    start = start.withColumn("low", F.least("low", "edge_id"))
-    heads = start.where("dist = 0").select("edge_id")
-    done = start.where("dist = 0").select("edge_id", "ptr", "dist")
-    here = materialize(start, "unitig")
-    n = here.count()
-    head_ids = materialize(heads, "unitig-heads")
-    rounds = 0
+    tables = [materialize(here, name)]
+    before, rounds = None, 0
     while True:
-        active = here.join(head_ids.select(F.col("edge_id").alias("ptr")), "ptr", "left_anti")
-        left = active.count()
-        if not left or 1 << rounds > n:
+        left = tables[-1].where("not done")
+        count = left.count()
+        stuck = count == before
+        if not count or (stuck and 1 << rounds >= 2 * count):
             break
-        far = here.select(F.col("edge_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"))
-        # heads point to themselves with distance 0, so joining every edge is harmless; cycles keep turning until the bound
-        here = materialize(here.join(far, "ptr").select("edge_id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low")), "unitig")
+        before = count
+        arrived = tables[0].where("done")
+        for t in tables[1:]:
+            arrived = arrived.union(t.where("done"))
+        far = (left if stuck else arrived.union(left)).select(F.col("edge_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        near = left.drop("done")
+        near = F.broadcast(near) if count <= _FEW else near
+        step = far.join(near, "ptr").select("edge_id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"))
+        tables.append(materialize(step, name))
         rounds += 1
-    del done
-    arrived = here.join(head_ids.select(F.col("edge_id").alias("ptr")), "ptr", "left_semi").select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(False).alias("cyclic"))
-    if not left:
-        return materialize(arrived, "unitigs")
+    arrived = tables[0].where("done")
+    for t in tables[1:]:
+        arrived = arrived.union(t.where("done"))
+    return arrived, tables[-1].where("not done")
+
+
+def unitigs(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
+    """edge_id, unitig_id, dist, cyclic: the head edge of the maximal unbranched path an edge lies on, and its place there, in edges.
+
+    ``through(node)`` restricts the nodes that a path may run through.  A cycle of such
+    nodes only has no head: its edge with the smallest id is made one, and the path is
+    marked cyclic.
+    """
+    nodes = _through(edges)
+    if through is not None:
+        nodes = nodes.join(through.select("node"), "node", "left_semi")
+    t = edges.join(nodes, F.col("src") == F.col("node"), "left_semi").select("edge_id", F.col("src").alias("at"))
+    prev = edges.select(F.col("edge_id").alias("prev"), F.col("dst").alias("at"), edge_count(edges).alias("size"))
+    step = materialize(t.join(prev, "at").select("edge_id", "prev", "size"), "unitig-steps")
+    heads = edges.select("edge_id").join(step, "edge_id", "left_anti")
+    heads = heads.select("edge_id", F.col("edge_id").alias("ptr"), F.lit(0).cast("long").alias("dist"), F.col("edge_id").alias("low"), F.lit(True).alias("done"))
+    rest = step.select("edge_id", F.col("prev").alias("ptr"), F.col("size").cast("long").alias("dist"), F.least("edge_id", "prev").alias("low"), F.lit(False).alias("done"))
+    arrived, ring = _doubled(heads.union(rest), "unitig")
+    out = arrived.select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(False).alias("cyclic"))
+    if ring.isEmpty():
+        return materialize(out, "unitigs")
     # Cycles: every edge knows the smallest id of its cycle by now; cut there and walk once more.
-    ring = here.join(head_ids.select(F.col("edge_id").alias("ptr")), "ptr", "left_anti").select("edge_id", "low")
-    cut = materialize(ring.join(step, "edge_id").select("edge_id", "low", "prev"), "rings")
-    at = cut.select("edge_id", "low", F.when(F.col("edge_id") == F.col("low"), F.col("edge_id")).otherwise(F.col("prev")).alias("ptr"), (F.col("edge_id") != F.col("low")).cast("long").alias("dist"))
-    at = materialize(at, "rings")
-    while at.where("ptr <> low").limit(1).count():
-        far = at.select(F.col("edge_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
-        at = materialize(at.join(far, "ptr").select("edge_id", "low", F.col("ptr2").alias("ptr"), (F.col("dist") + F.col("dist2")).alias("dist")), "rings")
-    return materialize(arrived.unionByName(at.select("edge_id", F.col("low").alias("unitig_id"), "dist", F.lit(True).alias("cyclic"))), "unitigs")
+    cut = ring.select("edge_id", "low").join(step, "edge_id")
+    first = F.col("edge_id") == F.col("low")
+    again = cut.select("edge_id", F.when(first, F.col("edge_id")).otherwise(F.col("prev")).alias("ptr"), F.when(first, F.lit(0).cast("long")).otherwise(F.col("size").cast("long")).alias("dist"), "low", first.alias("done"))
+    arrived, _ = _doubled(again, "rings")
+    return materialize(out.unionByName(arrived.select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(True).alias("cyclic"))), "unitigs")
+
+
+def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges that stand for unbranched paths, place(edge_id, path_id, dist) of every edge).
+
+    Columns: edge_id (the path's first), last_id, src, dst, weight (of the first edge),
+    n, total, most (the largest weight).  Edges of pure cycles stay edges of their own.
+    """
+    u = unitigs(edges)
+    place = u.select("edge_id", F.when(F.col("cyclic"), F.col("edge_id")).otherwise(F.col("unitig_id")).alias("path_id"), F.when(F.col("cyclic"), F.lit(0)).otherwise(F.col("dist")).cast("long").alias("dist"))
+    rows = edges.select("edge_id", "src", "dst", "weight", edge_count(edges).alias("n"), edge_total(edges).alias("total")).join(place, "edge_id")
+    ends = rows.groupBy("path_id").agg(F.max_by(F.struct("edge_id", "dst"), "dist").alias("last"), F.min_by(F.struct("src", "weight"), "dist").alias("first"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("weight").alias("most"))
+    out = ends.select(F.col("path_id").alias("edge_id"), F.col("last.edge_id").alias("last_id"), "first.src", "last.dst", "first.weight", "n", "total", "most")
+    return materialize(out, "contracted"), place
+
+
+def _reweighted(edges: DataFrame, weight: Column) -> list[Column]:
+    """The columns of ``edges`` with a new weight, the same for all edges that one stands for."""
+    new = {"weight": weight, "total": weight * edge_count(edges), "most": weight}
+    return [new[c].alias(c) if c in new else F.col(c) for c in edges.columns]
 
 
 def standardize_contigs(edges: DataFrame) -> DataFrame:
     """Every edge of an unbranched path gets the path's mean weight, rounded half up; pure cycles keep theirs."""
     u = unitigs(edges)
-    mean = edges.join(u, "edge_id").where("not cyclic").groupBy("unitig_id").agg(F.round(F.avg("weight")).cast("long").alias("mean"))
-    out = edges.join(u.select("edge_id", "unitig_id", "cyclic"), "edge_id").join(mean, "unitig_id", "left")
-    return out.select("edge_id", "src", "dst", "label", F.when(F.col("cyclic"), F.col("weight")).otherwise(F.col("mean")).alias("weight"))
+    rows = edges.join(u.select("edge_id", "unitig_id", "cyclic"), "edge_id")
+    mean = rows.where("not cyclic").groupBy("unitig_id").agg(F.round(F.sum(edge_total(edges)) / F.sum(edge_count(edges))).cast("long").alias("mean"))
+    out = rows.join(mean, "unitig_id", "left")
+    return out.select(*_reweighted(edges, F.when(F.col("cyclic"), F.col("weight")).otherwise(F.col("mean"))))
 
 
 def standardization_ratio(edges: DataFrame, genome: int, k: int, threshold: int) -> DataFrame:
     """One row: p = (genome - k) / (sum of weights - sum of weights under the threshold)."""
     if genome < k:
         raise ValueError(f"the genome, {genome}, is shorter than k, {k}")
-    s = edges.agg(F.sum("weight").alias("s"), F.coalesce(F.sum(F.when(F.col("weight") < threshold, F.col("weight"))), F.lit(0)).alias("light"))
+    s = edges.agg(F.sum(edge_total(edges)).alias("s"), F.coalesce(F.sum(F.when(F.col("weight") < threshold, edge_total(edges))), F.lit(0)).alias("light"))
     return s.select(F.expr(f"try_divide(double({genome - k}), s - light)").alias("p"))
 
 
@@ -83,44 +131,52 @@ def standardize_edges(edges: DataFrame, genome: int, k: int, threshold: int) ->
     p = standardization_ratio(edges, genome, k, threshold)
     scaled = F.round(F.col("weight") * F.col("p")).cast("long")
     w = F.when((scaled == 0) & (F.col("weight") >= threshold), F.lit(1).cast("long")).otherwise(scaled)
-    return edges.crossJoin(F.broadcast(p)).withColumn("weight", w).where("weight >= 1").drop("p")
+    return edges.crossJoin(F.broadcast(p)).select(*_reweighted(edges, w)).where("weight >= 1")
+
+
+def merged_labels(parts: DataFrame) -> DataFrame:
+    """(path_id, label) of parts(path_id, dist, label, head): the head's label and the last bases of the others in order.
+
+    They are put together in chunks of neighbours first, so that no list is longer than a
+    chunk or than the label has chunks.
+    """
+    chunk = F.floor(F.col("dist") / _LABEL_CHUNK).alias("chunk")
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), "")
+    pieces = parts.groupBy("path_id", chunk).agg(joined("dist", "label").alias("label"))
+    return pieces.groupBy("path_id").agg(joined("chunk", "label").alias("label"))
 
 
 def shrink(edges: DataFrame, k: int, through: DataFrame | None = None) -> DataFrame:
     """Every unbranched path becomes one edge: labels merged, weight of the first edge.
 
-    ``through(node)`` restricts the nodes that are merged over.  A label is put together
-    from its path's last bases in order; the list is as long as the label itself.
+    ``through(node)`` restricts the nodes that are merged over.
     """
-    if through is not None:
-        kept = edges.join(through, F.col("src") == F.col("node"), "left_semi").select("edge_id")
-        heads = edges.join(kept, "edge_id", "left_anti").select("edge_id")
-        u = unitigs(edges)
-        marks = u.join(heads.withColumn("head", F.lit(1)), "edge_id", "left")
-        part = F.expr("max(case when head = 1 or dist = 0 then dist end) over (partition by unitig_id order by dist)")
-        u = marks.withColumn("part", part).select("edge_id", F.concat_ws(":", "unitig_id", "part").alias("unitig_id"), (F.col("dist") - F.col("part")).alias("dist"))
-    else:
-        u = unitigs(edges).select("edge_id", F.col("unitig_id").cast("string").alias("unitig_id"), "dist")
+    u = unitigs(edges, through)
     e = edges.join(u, "edge_id")
     tail = F.when(F.col("dist") == 0, F.col("label")).otherwise(dna.remainder(F.col("label"), k))
-    parts = F.array_sort(F.collect_list(F.struct("dist", tail.alias("tail"))))
-    out = e.groupBy("unitig_id").agg(F.min_by("edge_id", "dist").alias("edge_id"), F.min_by("src", "dist").alias("src"), F.max_by("dst", "dist").alias("dst"), F.array_join(F.transform(parts, lambda x: x["tail"]), "").alias("label"), F.min_by("weight", "dist").alias("weight"))
-    return out.select("edge_id", "src", "dst", "label", "weight")
+    labels = merged_labels(e.select(F.col("unitig_id").alias("path_id"), "dist", tail.alias("label")))
+    ends = e.groupBy("unitig_id").agg(F.min_by(F.struct("src", "weight"), "dist").alias("first"), F.max_by("dst", "dist").alias("dst"))
+    return ends.join(labels, F.col("unitig_id") == F.col("path_id")).select(F.col("unitig_id").alias("edge_id"), "first.src", "dst", "label", "first.weight")
 
 
-def dead_path_edges(edges: DataFrame, k: int, junction_degree: int = 3) -> DataFrame:
+def dead_path_edges(edges: DataFrame, k: int, junction_degree: int = 3, backwards: bool = False) -> DataFrame:
     """edge_id of one round's dead paths.
 
     From each node without incoming edges the walk takes the newest outgoing edge and
     ends at a node without outgoing edges or with ``junction_degree`` incoming ones.  It
     is dead with at most 2k-2 edges up to a sink, or 2k-1 up to such a junction.
+    ``backwards`` walks against the edges, from nodes without outgoing ones.
     """
-    d = degrees(edges)
-    first = edges.groupBy("src").agg(F.max("edge_id").alias("first")).withColumnRenamed("src", "node")
-    info = d.join(first, "node", "left")
-    e = edges.select("edge_id", "dst").join(info, F.col("dst") == F.col("node"))
+    if backwards:
+        newest = F.col("last_id" if "last_id" in edges.columns else "edge_id")
+        edges = edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), edge_count(edges).alias("n"), newest.alias("age"))
+    else:
+        edges = edges.select("edge_id", "src", "dst", edge_count(edges).alias("n"), F.col("edge_id").alias("age"))
+    info = degrees(edges).join(edges.groupBy("src").agg(F.max_by("edge_id", "age").alias("first")).withColumnRenamed("src", "node"), "node", "left")
+    info = materialize(info, "tips")
+    e = edges.select("edge_id", "dst", "n").join(info, F.col("dst") == F.col("node"))
     junction = F.col("in_degree") >= junction_degree
-    jump = e.select("edge_id", F.when(~junction, F.col("first")).alias("to"), F.lit(1).cast("long").alias("n"), (junction & F.col("first").isNotNull()).alias("junction"))
+    jump = e.select("edge_id", F.when(~junction, F.col("first")).alias("to"), F.col("n").cast("long").alias("n"), (junction & F.col("first").isNotNull()).alias("junction"))
     heads = info.where("in_degree = 0 and first is not null").select(F.col("first").alias("edge_id"))
     tables = [materialize(jump, "jump")]
     while 1 << (len(tables) - 1) < 2 * k:
@@ -132,16 +188,25 @@ def dead_path_edges(edges: DataFrame, k: int, junction_degree: int = 3) -> DataF
     reached = heads.join(end.select("edge_id"), "edge_id", "left_semi").distinct()
     for j in tables[:-1]:
         reached = materialize(reached.union(reached.join(j, "edge_id").where("to is not null").select("to")).distinct(), "dead")
+    release(info, *tables[1:-1])
     return reached
 
 
 def remove_dead_paths(edges: DataFrame, k: int, prune_output_tips: bool = False, junction_degree: int = 3) -> DataFrame:
-    """Rounds of dead_path_edges until one finds none; ``prune_output_tips`` does the same backwards too."""
+    """Rounds of dead_path_edges until one finds none; ``prune_output_tips`` does the same backwards too.
+
+    A plain graph is contracted first, so that rounds work on its branches only.
+    """
+    if "n" not in edges.columns:
+        short, place = contract(edges)
+        left = remove_dead_paths(short, k, prune_output_tips, junction_degree)
+        if left is short:
+            return edges
+        return materialize(edges.join(place.join(left.select(F.col("edge_id").alias("path_id")), "path_id", "left_semi").select("edge_id"), "edge_id", "left_semi"), "pruned")
     while True:
         dead = dead_path_edges(edges, k, junction_degree)
         if prune_output_tips:
-            turned = edges.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "weight")
-            dead = dead.union(dead_path_edges(turned, k, junction_degree)).distinct()
+            dead = dead.union(dead_path_edges(edges, k, junction_degree, True)).distinct()
         if dead.isEmpty():
             return edges
         edges = materialize(edges.join(dead, "edge_id", "left_anti"), "pruned")
@@ -177,9 +242,16 @@ def collapse(edges: DataFrame, k: int) -> DataFrame:
     A has weight 1 or there is no A; the other copies of A and B stand alone.  If B leads
     to another such node, that contig runs on.  A loop over two nodes, b to c and back,
     with one more edge into b and the way back lighter than the way there, gives one
-    contig A, there, back, there.  Ids count by falling length, then sequence.
+    contig A, there, back, there.  Loops that lead to each other in a ring have no first
+    one: the contig starts at the ring's smallest node, and ends there after one turn.  Ids
+    count by falling length, then sequence.
     """
-    e = materialize(shrink(edges, k), "compact")
+    return collapse_compact(shrink(edges, k), k)
+
+
+def collapse_compact(compact: DataFrame, k: int) -> DataFrame:
+    """``collapse`` of a graph whose unbranched paths are edges already."""
+    e = materialize(compact, "compact")
     d = materialize(degrees(e), "degrees")
     loops = e.where("src = dst").select(F.col("src").alias("node"), F.col("edge_id").alias("s_id"), F.col("label").alias("s_label"), F.col("weight").alias("s"))
     one = d.where("in_degree <= 2 and out_degree <= 2").select("node")
@@ -204,30 +276,49 @@ def collapse(edges: DataFrame, k: int) -> DataFrame:
         ring = F.repeat(dna.remainder(F.col("s_label"), k), F.col("s").cast("int"))
         body = F.when(F.col("a_label").isNotNull(), F.concat("a_label", ring)).otherwise(F.concat(F.left("s_label", F.lit(k - 1)), ring))
         on = F.when(F.col("glue"), dna.remainder(F.col("b_label"), k)).otherwise("")
-        chain = x.join(entered, "node", "left_anti").select(F.concat(body, on).alias("seq"), F.when(F.col("glue"), F.col("b_dst")).alias("at"), F.array("node").alias("seen"))
-        more = x.select(F.col("node").alias("at"), F.concat(ring, on).alias("tail"), F.when(F.col("glue"), F.col("b_dst")).alias("next"))
-        seen = x.join(entered, "node", "left_anti").select("node")
-        while True:
-            chain = materialize(chain, "chains")
-            step = chain.join(more, "at")
-            if step.isEmpty():
-                break
-            seen = seen.union(step.select("at"))
-            chain = step.select(F.concat("seq", "tail").alias("seq"), F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen")).union(chain.join(more, "at", "left_anti"))
-        # rings of loop nodes have no first one: each stands for itself
-        alone = x.join(materialize(seen, "seen"), "node", "left_anti")
-        glued = glued.union(chain.select("seq")).union(alone.select(body.alias("seq")))
+        start = x.join(entered, "node", "left_anti")
+        next_ = F.when(F.col("glue"), F.col("b_dst"))
+        more = x.select(F.col("node").alias("at"), F.concat(ring, on).alias("tail"), next_.alias("next"))
+        chain, seen = _chains(start.select(F.concat(body, on).alias("seq"), next_.alias("at"), F.lit(None).cast("string").alias("stop")), more)
+        glued = glued.union(chain)
+        alone = materialize(x.join(start.select("node").union(seen), "node", "left_anti"), "rings")
+        if not alone.isEmpty():
+            turn = _ring_starts(alone.select("node", F.col("b_dst").alias("next")))
+            first = alone.join(turn, "node").select(F.concat(F.left("s_label", F.lit(k - 1)), ring, on).alias("seq"), F.col("b_dst").alias("at"), F.col("node").alias("stop"))
+            glued = glued.union(_chains(first, more)[0])
     taken = used.groupBy("edge_id").agg(F.count(F.lit(1)).alias("taken"))
     rest = e.join(taken, "edge_id", "left").select("label", (F.col("weight") - F.coalesce("taken", F.lit(0))).alias("n")).where("n > 0")
     seqs = rest.select(F.explode(F.expr("array_repeat(label, int(n))")).alias("seq")).union(glued)
     return number_contigs(seqs)
 
 
+def _chains(chain: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq of the chains(seq, at, stop), nodes passed): each runs on over more(at, tail, next) until there is no next, or ``stop`` is."""
+    seen = chain.select(F.lit(None).cast("string").alias("node")).limit(0)
+    chain = materialize(chain, "chains")
+    while True:
+        step = chain.where("stop is null or at <> stop").join(more, "at")
+        if step.isEmpty():
+            return chain.select("seq"), seen
+        seen = seen.union(step.select("at"))
+        ended = chain.where("stop is null or at is null or at <> stop").join(more, "at", "left_anti").union(chain.where("stop is not null and at = stop").select("at", "seq", "stop"))
+        chain = materialize(step.select(F.concat("seq", "tail").alias("seq"), F.col("next").alias("at"), "stop").union(ended.select("seq", "at", "stop")), "chains")
+
+
+def _ring_starts(ring: DataFrame) -> DataFrame:
+    """The smallest node of each ring(node, next)."""
+    ring = materialize(ring.withColumn("low", F.least("node", "next")), "ring")
+    n, steps = ring.count(), 1
+    while steps < n:
+        far = ring.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("low").alias("low2"))
+        ring = materialize(ring.join(far, "next").select("node", F.col("next2").alias("next"), F.least("low", "low2").alias("low")), "ring")
+        steps *= 2
+    return ring.where("node = low").select("node")
+
+
 def number_contigs(seqs: DataFrame) -> DataFrame:
     """contig_id by falling length, then sequence, without a window over all rows: ranges are sorted and numbered apart."""
     s = materialize(seqs.select(F.length("seq").cast("long").alias("len"), "seq").orderBy(F.desc("len"), "seq").withColumn("at", F.monotonically_increasing_id()), "contigs")
-    from pyspark.sql import Window
-
     parts = s.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))

@@ -8,15 +8,16 @@ base (tips and bubbles), some a letter that isn't a base.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna
 from helixframe.operators import contig_stats as cstats
 from helixframe.operators import graph, paths
 from helixframe.plans import oracles
-from helixframe.plans.assembler import assemble_graph
-from helixframe.sources import sinks
+from helixframe.plans.assembler import assemble_graph, build
+from helixframe.sources import readers, sinks
+from helixframe.storage import new_folder
 
 K, READ, THRESHOLD = 21, 60, 3
 #: Edges under this weight go to break the well-covered graph into many fragments, short ones among them.
@@ -96,10 +97,60 @@ def _pipeline(spark, d):
     return assemble_graph(_edges(spark, d), K, _genome(spark, d), THRESHOLD).contigs
 
 
+def _codec_padded(spark, d):
+    """Reads of 57 to 60 bases, so that every number of padding bases comes up."""
+    r = graph.accepted(raw_reads(spark, d)).select("read_id", F.left("seq", (F.col("read_id") % 4 + 57).cast("int")).alias("seq"))
+    r = r.select("read_id", "seq", dna.pack_edge(F.col("seq")).alias("e"))
+    return r.select("read_id", F.lower(F.hex("e")).alias("edge"), (dna.unpack_edge(F.col("e")) == F.col("seq")).alias("same"))
+
+
+def _files(spark, lines: DataFrame, name: str) -> list[str]:
+    """Text files of lines(value), in the folder that all executors share."""
+    folder = new_folder(spark, name)
+    lines.write.text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(x.getPath().toString() for x in found if x.getPath().getName().startswith("part-"))
+
+
+def _fastq(spark, d) -> list[str]:
+    value = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id")), "seq", F.lit("+"), F.repeat(F.lit("@"), F.length("seq")))
+    return _files(spark, raw_reads(spark, d).select(value.alias("value")), "fastq")
+
+
+def _fasta(spark, d) -> list[str]:
+    value = F.concat_ws("\n", F.concat(F.lit(">"), F.col("read_id"), F.lit(" a read")), F.left("seq", F.lit(25)), F.substring("seq", 26, 35))
+    return _files(spark, raw_reads(spark, d).select(value.alias("value")), "fasta")
+
+
+def _table_files(spark, d) -> list[str]:
+    return _files(spark, weighted_kmers(spark, d).select(F.concat_ws("\t", "kmer", F.col("weight").cast("string"), F.lit("more")).alias("value")), "kmers")
+
+
+def _config(spark, d, files: list[str], kind: str, **more) -> readers.Config:
+    return readers.Config(tuple(files), readers.InputFileType(kind), "", _genome(spark, d), THRESHOLD, K, **more)
+
+
+def _written_fasta(spark, d):
+    """Records as they are read back from one file that was written."""
+    path = f"{new_folder(spark, 'contigs')}.fasta"
+    sinks.write_fasta_file(graph.accepted(raw_reads(spark, d)).select(F.col("read_id").alias("contig_id"), "seq"), path)
+    back = readers.read_fasta(spark, [path])
+    return back.select(F.row_number().over(Window.orderBy("read_id")).alias("nth"), "seq")
+
+
+def _edits(spark, d):
+    """An edge put behind the outgoing edges of a node, and their first one taken away."""
+    adj = graph.adjacency(_edges(spark, d))
+    text = lambda x: F.array_join(F.transform(x, lambda e: F.concat_ws(":", e["dst"], e["weight"].cast("string"))), ",")
+    more = graph.add_edge(F.col("outgoing"), F.lit("NEW"), F.lit(7).cast("long"), F.lit("W"), F.lit(-1).cast("long"))
+    return adj.select("node", text(more).alias("more"), text(graph.drop_edge_at(F.col("outgoing"), 0)).alias("fewer"))
+
+
 QUERIES = {
     "graph_stats": lambda s, d: graph.graph_stats(_edges(s, d)),
     "read_filter": lambda s, d: graph.accepted(raw_reads(s, d)),
-    "read_filter_documents": lambda s, d: graph.accepted(table(s, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))),
+    "read_filter_documents": lambda s, d: graph.accepted(table(s, d, "documents").select(F.col("doc_id").alias("read_id"), F.regexp_replace(F.upper("text"), "[^ACGTX]", "").alias("seq"))),
     "read_bytes": lambda s, d: graph.accepted_bytes(raw_reads(s, d)),
     "kmer_windows": lambda s, d: graph.kmer_rows(raw_reads(s, d), K).groupBy("kmer").agg(F.min("edge_id").alias("first_seen"), F.max("edge_id").alias("last_seen")),
     "kmer_count": lambda s, d: _edges(s, d).select(F.col("label").alias("kmer"), "weight"),
@@ -141,6 +192,18 @@ QUERIES = {
     "dead_paths_fragments": lambda s, d: _plain(paths.remove_dead_paths(_fragments(s, d), K)),
     "wcc_fragments": lambda s, d: paths.weak_components(_fragments(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).groupBy("nodes").agg(F.count(F.lit(1)).alias("components")),
     "collapse_fragments": lambda s, d: paths.collapse(paths.standardize_contigs(_fragments(s, d)), K),
+    "full_pipeline_fragments": lambda s, d: assemble_graph(_edges(s, d), K, _genome(s, d), FRAGMENTS).contigs,
+    "shrink_through": lambda s, d: _plain(paths.shrink(_edges(s, d), K, graph.nodes(_edges(s, d)).where("not endswith(node, 'T')"))),
+    "encode_2bit_padded": _codec_padded,
+    "adjacency_edits": _edits,
+    "fastq_scan": lambda s, d: readers.read_fastq(s, _fastq(s, d)).select("seq"),
+    "fasta_scan": lambda s, d: readers.read_fasta(s, _fasta(s, d)).select("seq"),
+    "bfcounter_scan": lambda s, d: readers.read_bfcounter(s, _table_files(s, d), 25, K).select("kmer", "weight"),
+    "fasta_written": _written_fasta,
+    "fastq_graph": lambda s, d: _plain(build(s, _config(s, d, _fastq(s, d), "FastQ"))),
+    "fastq_graph_via_adjacency": lambda s, d: _plain(build(s, _config(s, d, _fastq(s, d), "fastq"), via_adjacency=True)),
+    "fasta_graph_rc": lambda s, d: build(s, _config(s, d, _fasta(s, d), "fasta", reverse_complement=True)).select(F.col("label").alias("kmer"), "weight"),
+    "bfcounter_graph_rc": lambda s, d: build(s, _config(s, d, _table_files(s, d), "bfcounter", reverse_complement=True)).groupBy("label").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")),
 }
 
 _BLOCK = "translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -172,7 +235,7 @@ _BROKEN = f"{_BUILT}, {oracles.weak_edges('edges', 'f', FRAGMENTS)}"
 ORACLE_SQL = {
     "graph_stats": _with(f"{_EDGES}, {_DEG}", "SELECT (SELECT count(*) FROM deg) AS node_count, count(*) AS edge_count, coalesce(max(weight), 0) AS max_edge_weight, avg(weight) AS avg_edge_weight, (SELECT coalesce(max(in_degree), 0) FROM deg) AS max_in_degree, (SELECT coalesce(max(out_degree), 0) FROM deg) AS max_out_degree, count(*) / CAST((SELECT count(*) FROM deg) AS DOUBLE) AS avg_out_degree, (SELECT count(*) FROM deg WHERE in_degree = 0) AS incoming_vert_count, (SELECT count(*) FROM deg WHERE out_degree = 0) AS outgoing_vert_count FROM edges"),
     "read_filter": _with(_READS, "SELECT read_id, seq FROM reads"),
-    "read_filter_documents": "SELECT doc_id AS read_id, text AS seq FROM documents WHERE regexp_full_match(text, '[ACGT]*')",
+    "read_filter_documents": "SELECT * FROM (SELECT doc_id AS read_id, regexp_replace(upper(text), '[^ACGTX]', '', 'g') AS seq FROM documents) WHERE regexp_full_match(seq, '[ACGT]*')",
     "read_bytes": _with(_READS, "SELECT CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS bytes FROM reads"),
     "kmer_windows": _with(f"{_READS}, {_WINDOWS}", "SELECT kmer, min(edge_id) AS first_seen, max(edge_id) AS last_seen FROM win GROUP BY kmer"),
     "kmer_count": _with(_EDGES, "SELECT label AS kmer, weight FROM edges"),
@@ -217,4 +280,22 @@ ORACLE_SQL = {
     "dead_paths_fragments": _with(f"{_BROKEN}, {oracles.remove_dead_paths('f', 'd', K)}", "SELECT src, dst, label, weight FROM d"),
     "wcc_fragments": _with(f"{_BROKEN}, {oracles.shrink('f', 'c', K)}, {oracles.weak_components('c', 'w')}", f"SELECT nodes, count(*) AS components FROM (SELECT component, CAST(sum(nodes) AS BIGINT) AS nodes FROM (SELECT component, count(*) AS nodes FROM w GROUP BY component UNION ALL SELECT component, length(label) - {K} FROM c JOIN w ON src = node) GROUP BY component) GROUP BY nodes"),
     "collapse_fragments": _with(f"{_BROKEN}, {oracles.standardize_contigs('f', 's')}, {oracles.collapse('s', 'c', K)}", "SELECT contig_id, seq, len FROM c"),
+    "full_pipeline_fragments": _with(f"{_BUILT}, {oracles.assembly('edges', 'a', _GENOME, K, FRAGMENTS)}", "SELECT contig_id, seq, len FROM a"),
+    "shrink_through": _with(f"{_BUILT}, {oracles.shrink('edges', 'c', K, 'NOT ends_with(d.node, ' + chr(39) + 'T' + chr(39) + ')')}", "SELECT src, dst, label, weight FROM c"),
+    "encode_2bit_padded": _with(
+        f"{_READS}, cut AS (SELECT read_id, left(seq, CAST(57 + read_id % 4 AS INT)) AS s FROM reads), even AS (SELECT read_id, (4 - length(s) % 4) % 4 AS pad, {_DIGITS.format('s')} || repeat('0', (4 - length(s) % 4) % 4) AS d FROM cut)",
+        f"SELECT read_id, '0' || any_value(pad) || {_PACKED} AS edge, true AS same FROM (SELECT read_id, pad, d, unnest(range(1, length(d), 2)) AS i FROM even) GROUP BY read_id",
+    ),
+    "adjacency_edits": _with(
+        f"{_EDGES}, {_NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, weight) AS nth FROM edges)",
+        "SELECT node, coalesce(string_agg(dst || ':' || weight, ',' ORDER BY nth) || ',', '') || 'NEW:7' AS more, coalesce(string_agg(dst || ':' || weight, ',' ORDER BY nth) FILTER (WHERE nth > 1), '') AS fewer FROM nodes LEFT JOIN o ON node = src GROUP BY node",
+    ),
+    "fastq_scan": _with(_READS, "SELECT seq FROM raw"),
+    "fasta_scan": _with(_READS, "SELECT seq FROM raw"),
+    "bfcounter_scan": _with(_BFC, "SELECT kmer, weight FROM bfc WHERE weight >= 25"),
+    "fasta_written": _with(_READS, "SELECT CAST(row_number() OVER (ORDER BY read_id) AS INT) AS nth, seq FROM reads"),
+    "fastq_graph": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
+    "fastq_graph_via_adjacency": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
+    "fasta_graph_rc": _with(f"{_READS}, {_WINDOWS}", f"SELECT kmer, count(*) AS weight FROM (SELECT kmer FROM win UNION ALL SELECT {_RC.format('kmer')} FROM win) GROUP BY kmer"),
+    "bfcounter_graph_rc": _with(_BFC, f"SELECT label, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT kmer AS label, weight FROM bfc WHERE weight >= {THRESHOLD} UNION ALL SELECT {_RC.format('kmer')}, weight FROM bfc WHERE weight >= {THRESHOLD}) GROUP BY label"),
 }

@@ -24,10 +24,13 @@ def _doubled(e: str, step: str, out: str) -> str:
 {out} AS MATERIALIZED (SELECT edge_id, ptr, dist, low FROM {out}_all WHERE r = {ROUNDS})"""
 
 
-def unitigs(e: str, out: str) -> str:
-    """``out``(edge_id, unitig_id, dist, cyclic); a cycle is cut before its edge with the smallest id, and walked again."""
+def unitigs(e: str, out: str, through: str = "true") -> str:
+    """``out``(edge_id, unitig_id, dist, cyclic); a cycle is cut before its edge with the smallest id, and walked again.
+
+    Paths run through nodes d.node for which ``through`` is true.
+    """
     return f"""{degrees(e, f"{out}_deg")},
-{out}_step AS MATERIALIZED (SELECT t.edge_id, p.edge_id AS prev FROM {e} t JOIN {out}_deg d ON t.src = d.node AND ins = 1 AND outs = 1 JOIN {e} p ON p.dst = t.src),
+{out}_step AS MATERIALIZED (SELECT t.edge_id, p.edge_id AS prev FROM {e} t JOIN {out}_deg d ON t.src = d.node AND ins = 1 AND outs = 1 AND {through} JOIN {e} p ON p.dst = t.src),
 {_doubled(e, f"{out}_step", f"{out}_one")},
 {out}_ring AS MATERIALIZED (SELECT edge_id, low FROM {out}_one WHERE ptr IN (SELECT edge_id FROM {out}_step)),
 {out}_cut AS MATERIALIZED (SELECT * FROM {out}_step WHERE edge_id NOT IN (SELECT low FROM {out}_ring)),
@@ -49,8 +52,8 @@ def weak_edges(e: str, out: str, threshold: int) -> str:
     return f"{out} AS MATERIALIZED (SELECT * FROM {e} WHERE weight >= {threshold})"
 
 
-def shrink(e: str, out: str, k: int) -> str:
-    return f"""{unitigs(e, f"{out}_u")},
+def shrink(e: str, out: str, k: int, through: str = "true") -> str:
+    return f"""{unitigs(e, f"{out}_u", through)},
 {out} AS MATERIALIZED (SELECT unitig_id AS edge_id, arg_min(src, dist) AS src, arg_max(dst, dist) AS dst, string_agg(CASE WHEN dist = 0 THEN label ELSE substring(label, {k}) END, '' ORDER BY dist) AS label, arg_min(weight, dist) AS weight FROM {e} JOIN {out}_u USING (edge_id) GROUP BY unitig_id)"""
 
 

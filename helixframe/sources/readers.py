@@ -114,14 +114,19 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _with_ids(rec.select("file", "n", F.regexp_replace(F.substring("value", F.length(body) + 1, F.length("value")), r"\s+", "").alias("seq")))
 
 
-def read_bfcounter(spark: SparkSession, paths: list[str], min_weight: int = 0, k: int | None = None) -> DataFrame:
-    """read_id, kmer, weight of a table kmer<TAB>count; lighter rows go, other letters go, a count that is no number or a wrong length is an error."""
+def read_bfcounter(spark: SparkSession, paths: list[str], min_weight: int = 0, k: int | None = None, only_dna: bool = False) -> DataFrame:
+    """read_id, kmer, weight of a table kmer<TAB>count: lighter rows go, a count that is no number or a wrong length is an error.
+
+    k-mers are taken as they are; ``only_dna`` drops those with other letters than A, C, G and T.
+    """
     raw = _numbered(spark.read.text(check_files(spark, paths)))
     cell = F.split("value", "\t")
     rows = raw.where(F.length("value") > 0).select("file", "n", cell[0].alias("kmer"), F.trim(F.get(cell, F.lit(1))).alias("count"))
     bad = F.raise_error(F.concat(F.lit("not a count: "), F.coalesce("count", F.lit("")))).cast("long")
     rows = rows.select("file", "n", "kmer", F.when(F.coalesce(F.rlike("count", F.lit("^[0-9]{1,18}$")), F.lit(False)), F.expr("try_cast(count as bigint)")).otherwise(bad).alias("weight"))
-    rows = rows.where(F.col("weight") >= min_weight).where(is_dna(F.col("kmer")))
+    rows = rows.where(F.col("weight") >= min_weight)
+    if only_dna:
+        rows = rows.where(is_dna(F.col("kmer")))
     if k is not None:
         rows = rows.withColumn("kmer", F.when(F.length("kmer") == k, F.col("kmer")).otherwise(F.raise_error(F.concat(F.lit("k-mer of another length: "), "kmer"))))
     return _with_ids(rows).select("read_id", "file", "kmer", "weight")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import nodes
+
 log = logging.getLogger("helixframe")
 
 
@@ -20,16 +23,43 @@ def write_fasta(contigs: DataFrame, path: str, prefix: str = "contig") -> None:
     fasta_lines(contigs, prefix).orderBy("contig_id").select("value").write.mode("overwrite").text(path)
 
 
+def write_fasta_file(contigs: DataFrame, path: str, prefix: str = "contig") -> None:
+    """One FASTA file in the order of contig_id, in place of any that is there.
+
+    The parts are written by all executors; the driver's file system only appends them to
+    each other, as bytes, in their order.
+    """
+    spark = contigs.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    write_fasta(contigs, parts, prefix)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, to = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(conf)
+    names = sorted(x.getPath().getName() for x in store.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    out = store.create(to, True)
+    for name in names:
+        src = store.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(src, out, 1 << 16, False)
+        src.close()
+    out.close()
+    store.delete(folder, True)
+
+
+def dot_node_lines(edges: DataFrame) -> DataFrame:
+    """One DOT statement for each node."""
+    return nodes(edges).select(F.format_string('    "%s"', "node").alias("value"))
+
+
 def dot_lines(edges: DataFrame) -> DataFrame:
     """One DOT statement for each edge."""
     return edges.select(F.format_string('    "%s" -> "%s" [ label = "%s (%d)" ]', "src", "dst", "label", "weight").alias("value"))
 
 
 def write_dot(edges: DataFrame, path: str) -> None:
+    """A folder of part files that make a DOT graph when read in order: the head, nodes, edges, the tail; without sorting."""
     spark = edges.sparkSession
-    head, tail = (spark.createDataFrame([(x,)], "value string") for x in ("digraph {", "}"))
-    rows = head.withColumn("o", F.lit(0)).union(dot_lines(edges).withColumn("o", F.lit(1))).union(tail.withColumn("o", F.lit(2)))
-    rows.orderBy("o", "value").select("value").write.mode("overwrite").text(path)
+    head, tail = (spark.createDataFrame([(x,)], "value string").coalesce(1) for x in ("digraph {", "}"))
+    head.union(dot_node_lines(edges)).union(dot_lines(edges)).union(tail).write.mode("overwrite").text(path)
 
 
 def dump(edges: DataFrame) -> DataFrame:
@@ -47,8 +77,8 @@ def describe(stats: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def log_stats(stats: DataFrame) -> None:
-    log.debug("%s", describe(stats))
+def log_stats(stats: DataFrame, level: int = logging.DEBUG) -> None:
+    log.log(level, "%s", describe(stats))
 
 
 def print_stats(stats: DataFrame) -> None:

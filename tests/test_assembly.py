@@ -128,6 +128,7 @@ L = [NAME[i : i + K] for i in range(4)] + ["A" * (K - 1) + "G"]
         ([("w", "x", 1), ("x", "y", 1), ("y", "z", 1), ("z", "x", 1)], L[:4], [NAME]),
         ([("w", "x", 1), ("x", "y", 2), ("y", "x", 2)], L[:3], [L[0] + "GCGC"]),
         ([("w", "x", 1), ("x", "y", 2), ("y", "x", 2), ("x", "z", 1)], L[:4], [L[0] + "GCGCT"]),
+        ([("w", "x", 1), ("x", "y", 2), ("y", "x", 2), ("x", "z", 1), ("w", "k", 1), ("k", "w", 1)], [*L[:4], L[4], L[4]], [NAME[: K - 1] + "GGTGCGCT"]),
     ],
 )
 def test_collapse(spark, rows, labels, want):
@@ -135,6 +136,114 @@ def test_collapse(spark, rows, labels, want):
     assert sorted(got) == sorted(want)
 
 
+def test_collapse_two_node_loop(spark):
+    """b to c and back: with a way in, the way there, the way back and the way there again; what is left stands alone."""
+    a, f, r, o = "AAC", "ACG", "CGA" + "C", "CGT"  # a: ..AC, f: AC to CG, r: CG to AC, o: CG to GT
+    e = edges_of(spark, [("AA", "AC", 1), ("AC", "CG", 2), ("CG", "AC", 1), ("CG", "GT", 1)], [a, f, r, o])
+    got = sorted(r.seq for r in paths.collapse(e, 3).collect())
+    assert got == sorted([a + "G" + "AC" + "G", o])
+
+
+def test_collapse_ring_of_loops(spark):
+    """Two nodes with a loop each that lead to each other: one contig from the smaller node on, all weight is used."""
+    e = edges_of(spark, [("b", "b", 2), ("b", "c", 1), ("c", "c", 1), ("c", "b", 1)], ["bX", "bc", "cY", "cb"])
+    got = [r.seq for r in paths.collapse(e, 2).collect()]
+    assert got == ["b" + "XX" + "c" + "Y" + "b"]
+
+
+BUBBLE = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (7, 9), (9, 10), (3, 11), (11, 12), (12, 13), (13, 5)]
+
+
+def test_standardize_examples(spark):
+    bubble = lambda ws: edges_of(spark, [(str(a), str(b), w) for (a, b), w in zip(BUBBLE, ws, strict=True)])
+    got = {r.edge_id: r.weight for r in paths.standardize_edges(bubble([8, 8, 8, 16, 16, 9, 9, 1, 4, 4, 8, 8, 8, 8]), 17, 3, 3).collect()}
+    assert got == {i: 2 if i in (3, 4) else 1 for i in range(14) if i != 7}
+    got = weights(paths.standardize_contigs(bubble([3, 2, 3, 1, 3, 5, 5, 3, 4, 6, 1, 2, 2, 2])))
+    assert got == [3 if i in (0, 1, 2, 7) else 5 if i in (5, 6, 8, 9) else 2 for i in range(14)]
+
+
+def test_shrink_through(spark):
+    e = edges_of(spark, [(f"n{i}", f"n{i + 1}", i + 1) for i in range(6)], [f"{i}{i + 1}" for i in range(6)])
+    some = spark.createDataFrame([("n1",), ("n2",), ("n4",), ("n0",)], "node string")
+    got = [tuple(r) for r in paths.shrink(e, 2, some).orderBy("edge_id").collect()]
+    assert got == [(0, "n0", "n3", "0123", 1), (3, "n3", "n5", "345", 4), (5, "n5", "n6", "56", 6)]
+    ring = edges_of(spark, [("a", "b", 1), ("b", "c", 2), ("c", "a", 3)], ["ab", "bc", "ca"])
+    got = [tuple(r) for r in paths.shrink(ring, 2, spark.createDataFrame([("a",), ("c",)], "node string")).collect()]
+    assert got == [(1, "b", "b", "bcab", 2)]
+
+
+def test_labels_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(paths, "_LABEL_CHUNK", 7)
+    e = graph.kmer_graph(reads_of(spark, [READ]), 10)
+    assert [r.label for r in paths.shrink(e, 10).collect()] == [READ]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_contracted_graphs_give_the_same(spark, monkeypatch, few):
+    """Pruning, averaging, scaling and statistics of contracted random graphs against the plain ones."""
+    monkeypatch.setattr(paths, "_FEW", few)
+    rng, rows = random.Random(11), []
+    for g in range(40):
+        n = rng.randint(2, 14)
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, n + 2))} | {(i, i + 1) for i in range(rng.randint(0, n))}
+        rows += [(f"{g}.{a}", f"{g}.{b}", rng.randint(1, 9)) for a, b in sorted(pairs)]
+    rows += [(f"r.{i}", f"r.{(i + 1) % 9}", i + 1) for i in range(9)]
+    rng.shuffle(rows)
+    e = edges_of(spark, rows)
+    short, place = paths.contract(e)
+    assert short.count() < e.count() and graph.graph_stats(short).collect() == graph.graph_stats(e).collect()
+    at = {r.edge_id: r.path_id for r in place.collect()}
+    spread = lambda df: {i: got[at[i]] for got in [{r.edge_id: r.weight for r in df.collect()}] for i in at if at[i] in got}
+    plain = lambda df: {r.edge_id: r.weight for r in df.collect()}
+    even = paths.standardize_contigs(short)
+    assert spread(even) == plain(paths.standardize_contigs(e))
+    scaled = paths.standardize_edges(even, 500, 3, 3)
+    assert spread(scaled) == plain(paths.standardize_edges(paths.standardize_contigs(e), 500, 3, 3))
+    assert graph.graph_stats(even).collect() == graph.graph_stats(paths.standardize_contigs(e)).collect()
+
+
+def prune(rows, k, tips, junction=3):
+    """Dead paths by plain walks; rows of (edge_id, src, dst)."""
+
+    def dead(rows):
+        ins, outs = {}, {}
+        for i, a, b in rows:
+            ins.setdefault(b, []).append(i)
+            outs.setdefault(a, []).append((i, b))
+        gone = set()
+        for node in outs:
+            if node in ins:
+                continue
+            walk, at = [], node
+            while len(walk) < 2 * k + 1 and at in outs and not (walk and len(ins.get(at, ())) >= junction):
+                i, at = max(outs[at])
+                walk.append(i)
+            over = at in outs and len(ins.get(at, ())) < junction
+            if not over and len(walk) <= (2 * k - 1 if at in outs else 2 * k - 2):
+                gone |= set(walk)
+        return gone
+
+    while True:
+        gone = dead(rows)
+        if tips:
+            gone |= dead([(i, b, a) for i, a, b in rows])
+        if not gone:
+            return {i for i, *_ in rows}
+        rows = [r for r in rows if r[0] not in gone]
+
+
+@pytest.mark.parametrize(("tips", "junction"), [(False, 3), (True, 3), (False, 2)])
+def test_dead_paths_against_plain_walks(spark, tips, junction):
+    rng, rows = random.Random(13), []
+    for g in range(60):
+        n = rng.randint(2, 14)
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, n + 2))} | {(i, i + 1) for i in range(rng.randint(0, n))}
+        rows += [(f"{g}.{a}", f"{g}.{b}", 1) for a, b in sorted(pairs)]
+    rng.shuffle(rows)
+    got = {r.edge_id for r in paths.remove_dead_paths(edges_of(spark, rows), 3, tips, junction).collect()}
+    assert got == prune([(i, a, b) for i, (a, b, _) in enumerate(rows)], 3, tips, junction) and 0 < len(got) < len(rows)
+
+
 def test_dead_paths_bounds(spark):
     k = 3
     line = lambda n: edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}", 1) for i in range(n)])
@@ -211,10 +320,60 @@ def test_files(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.startswith(">contig_0\n")
     sinks.write_dot(graph.kmer_graph(reads_of(spark, ["ACGTT"]), 4), str(tmp_path / "dot"))
-    assert "digraph {" in "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*")))
+    dot = "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*"))).splitlines()
+    assert (dot[0], dot[-1]) == ("digraph {", "}") and sorted(dot[1:4]) == ['    "ACG"', '    "CGT"', '    "GTT"']
+    assert sorted(dot[4:-1]) == ['    "ACG" -> "CGT" [ label = "ACGT (1)" ]', '    "CGT" -> "GTT" [ label = "CGTT (1)" ]']
     assert "??" in sinks.describe(graph.adjacency_stats(graph.adjacency(graph.kmer_graph(reads_of(spark, ["ACGTT"]), 4))))
 
 
+def test_one_fasta_file_and_public_names(spark, tmp_path, caplog):
+    import logging
+
+    import helixframe
+    from helixframe.plans.assembler import set_up_logging
+
+    fq, cfg, out, logged = (tmp_path / x for x in ("a.fastq", "c.toml", "out.fasta", "log/run.log"))
+    fq.write_text("".join(f"@{i}\n{READ[a:b]}\n+\n{'I' * (b - a)}\n" for i, (a, b) in enumerate([(0, 60), (20, 100), (0, 100)])))
+    cfg.write_text(f'input_files = ["{fq}"]\ninput_file_type = "FASTQ"\noutput_file = "{out}"\noriginal_genome_length = 100\nminimal_weight_threshold = 1\nk_mer_size = 10\nreverse_complement = false\n')
+    set_up_logging(str(logged))
+    try:
+        one = helixframe.BasicAsm.assemble(spark, helixframe.load_config(str(cfg)))
+        text = out.read_text()
+        two = helixframe.BasicAsm.assemble_with_adjacency(spark, helixframe.load_config(str(cfg)))
+    finally:
+        for h in [*logging.getLogger("helixframe").handlers]:
+            logging.getLogger("helixframe").removeHandler(h)
+        logging.getLogger("helixframe").setLevel(logging.NOTSET)
+    assert sorted(map(tuple, one.contigs.collect())) == sorted(map(tuple, two.contigs.collect())) and out.read_text() == text
+    assert text == "".join(f">contig_{r.contig_id}\n{r.seq}\n" for r in one.contigs.orderBy("contig_id").collect())
+    said = logged.read_text()
+    assert "node_count" in said and "n50" in said and "DEBUG" in said and "packed_bytes" in said
+    with pytest.raises(ValueError, match="adjacency"):
+        helixframe.BasicAsm.assemble_with_adjacency(spark, helixframe.Config((str(fq),), helixframe.InputFileType.BFCOUNTER, "", 100, 1, 10))
+
+
+def test_bfcounter_takes_letters_as_they_are(spark, tmp_path):
+    p = tmp_path / "k.tsv"
+    p.write_text("ACGT\t3\nACNT\t4\nACGA\t1\n")
+    got = lambda **kw: sorted((r.kmer, r.weight) for r in readers.read_bfcounter(spark, [str(p)], 2, 4, **kw).collect())
+    assert got() == [("ACGT", 3), ("ACNT", 4)] and got(only_dna=True) == [("ACGT", 3)]
+    p.write_text("ACGT\tx\n")
+    with pytest.raises(Exception, match="not a count"):
+        got()
+
+
+def test_long_sequences_are_cut_into_pieces(spark):
+    rng = random.Random(3)
+    for n, small, large in ((0, 4, 16), (4, 4, 16), (5, 4, 16), (100, 4, 16), (101, 7, 21), (333, 8, 512)):
+        seq = "".join(rng.choice("ACGT") for _ in range(n))
+        rows = spark.createDataFrame([(seq,)], "s string").select(F.explode(dna.pieces(F.col("s"), 5, small, large)).alias("p")).select("p.at", F.posexplode(dna.windows(F.col("p.part"), 5)).alias("i", "w")).collect()
+        assert sorted((r["at"] + r.i, r.w) for r in rows) == [(i, seq[i : i + 5]) for i in range(n - 4)]
+    seq = "".join(rng.choice("ACGT") for _ in range(3_000_000))
+    reads = spark.createDataFrame([(0, 3, seq)], "read_id long, n_ids long, seq string")
+    got = graph.kmer_rows(reads, 31).agg(F.count(F.lit(1)), F.min("edge_id"), F.max("edge_id"), F.countDistinct("edge_id")).first()
+    assert tuple(got) == (2_999_970, 0, 2_999_969, 2_999_970)
+
+
 def test_records_of_all_files_stay(spark):
     n = 100_003
     records = spark.range(n).select(F.format_string("f%06d", "id").alias("file"), F.lit(0).alias("n"))
