@@ -161,9 +161,10 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
         return left.join(right.hint("merge"), keys)
     on = lambda side: [F.col(k) == F.col(f"_{side}_{k}") for k in keys]
     out = left.join(F.broadcast(heavy), on("heavy"), "left").drop(*[f"_heavy_{k}" for k in keys])
-    # rows that are done go to any task, under a number that no row of the other side has
+    # rows that are done go to any task, under a number that no row of the other side has (there it is -1, but
+    # not a literal, which the optimiser would take out of the join's keys)
     out = out.withColumn("_spread", F.when(F.col("_heavy").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
-    light = right.where(F.col(count) <= most).select(*[F.col(k).alias(f"_light_{k}") for k in keys], F.lit(-1).cast("long").alias("_none"), F.struct(*values).alias("_light"))
+    light = right.where(F.col(count) <= most).select(*[F.col(k).alias(f"_light_{k}") for k in keys], (-F.signum(count)).cast("long").alias("_none"), F.struct(*values).alias("_light"))
     out = out.join(light.hint("merge"), [*on("light"), F.col("_spread") == F.col("_none")], "left").withColumn("_met", F.coalesce("_heavy", "_light")).where("_met is not null")
     return out.select(*left.columns, *[F.col("_met")[c].alias(c) for c in values])
 

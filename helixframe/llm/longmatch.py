@@ -16,7 +16,7 @@ piece around the anchor, its *core*.
    Streaming the collection's positions against them gives the longest match of each with
    its neighbours in suffix order, hence every window that occurs twice.
 4. A core with more than ``max_group`` different contents isn't gathered: its segments are
-   cut into halves by the anchor's offset, which have longer cores, and are grouped anew, as
+   cut into parts by the anchor's offset, which have longer cores, and are grouped anew, as
    often as needed.  At the end a segment is one window, and its core all of it.  So any
    number of contents is resolved exactly, in groups of bounded size.
 
@@ -271,8 +271,8 @@ def index_cores(contents: DataFrame, unit: str, length: int, chunk: int) -> Data
     return rows.mapInArrow(run, _MARK)
 
 
-def halve(contents: DataFrame, unit: str, length: int) -> DataFrame:
-    """The segments of contents(doc_id, th, lo, n, at, cnt, o1, o2, content) cut into halves of the anchor's offsets o1..o2, with the cores of those."""
+def cut_again(contents: DataFrame, unit: str, length: int, parts: int = 8) -> DataFrame:
+    """The segments of contents(doc_id, th, lo, n, at, cnt, o1, o2, content) cut into parts of the anchor's offsets o1..o2, with the cores of those."""
     width = 1 if unit == "byte" else 8
     names = ["doc_id", "th", "lo", "n", "at", "cnt", "o1", "o2", "core", "s1", "s2", "content"]
     types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] + [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()]
@@ -281,8 +281,8 @@ def halve(contents: DataFrame, unit: str, length: int) -> DataFrame:
         for batch in batches:
             out, size = [], 0
             for doc, th, lo, n, at, cnt, o1, o2, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mid = (o1 + o2) // 2
-                for a, b in ((o1, mid), (mid + 1, o2)):
+                edge = [o1 + (o2 - o1 + 1) * k // parts for k in range(parts + 1)]
+                for a, b in ((x, y - 1) for x, y in zip(edge[:-1], edge[1:], strict=True) if x < y):
                     # the windows with the anchor at a..b: from at - b to at - a behind the first
                     w1, w2 = max(0, at - b), min(n - 1, at - a)
                     if w1 > w2:
@@ -366,9 +366,9 @@ def repeats(rows: DataFrame, unit: str, length: int, q: int, parts: int, chunk:
     big = big.withColumn("o1", F.floor(part * spread / parts).cast("int")).withColumn("o2", (F.floor((part + 1) * spread / parts) - 1).cast("int"))
     done, cuts = [marks], []
     while not big.isEmpty():
-        cut = materialize(halve(big, unit, length), f"{unit}-halves")
+        cut = materialize(cut_again(big, unit, length), f"{unit}-parts")
         kinds = cut.groupBy("core", "s1", "s2").agg(F.sum("cnt").alias("cnt"), F.first(F.struct("doc_id", "th", "lo", "n", "at", "o1", "o2", "content")).alias("r"))
-        kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-half-contents")
+        kinds = materialize(kinds.select("core", "s1", "s2", "cnt", "r.*"), f"{unit}-part-contents")
         single = cut.where("cnt = 1").select("core", "s1", "s2", "doc_id", "th", "lo", "n")
         same = join_counted(single, kinds.where("cnt > 1").select("core", "s1", "s2", "cnt"), ["core", "s1", "s2"], "cnt", cut.count()).select(*mark)
         next_ = materialize(_open(kinds), f"{unit}-open")
@@ -454,3 +454,27 @@ def long_match_digest(docs: DataFrame) -> DataFrame:
     out = long_matches(docs, words=51)
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", "n_bytes", _total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed_spans"), _total("passages").alias("n_passage_words"))
+
+
+def _oracle_marks(name: str, windows: str, length: int) -> str:
+    """CTEs that end with ``name``_span(doc_id, s, e), the united windows of ``windows``(doc_id, i, key) whose key occurs twice."""
+    return f"""{name}_rep AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT *, count(*) OVER (PARTITION BY key) AS times FROM {windows}) WHERE times > 1),
+{name}_isle AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM {name}_rep),
+{name}_span AS MATERIALIZED (SELECT doc_id, min(i) AS s, max(i) + {length} AS e FROM {name}_isle GROUP BY doc_id, isle)"""
+
+
+#: DuckDB SQL for the query's rows: every window of every text, so for small tables only.
+ORACLE = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+byte_win AS (SELECT doc_id, i, md5(substring(h, CAST(2 * i + 1 AS INT), 800)) AS key FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+word_win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 51), ' ')) AS key FROM (SELECT doc_id, w, unnest(range(0, len(w) - 50)) AS i FROM d)),
+{_oracle_marks("byte", "byte_win", 400)},
+{_oracle_marks("word", "word_win", 51)},
+gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM byte_span),
+gone AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(s || ':' || e, ',' ORDER BY s) AS removed_spans, max(e) AS last,
+  string_agg(substring(h, CAST(2 * before + 1 AS INT), CAST(2 * (s - before) AS INT)), '' ORDER BY s) AS front FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+said AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_passage_words FROM word_span GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front || substring(h, CAST(2 * last + 1 AS INT)), h))) AS kept_sha256, coalesce(removed_spans, '') AS removed_spans, coalesce(n_passage_words, 0) AS n_passage_words
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN said USING (doc_id)
+"""

@@ -67,4 +67,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 #: The other operators are tested against brute force (tests/llm).
-ORACLE_SQL: dict[str, str] = {"op3_warc": warc.ORACLE, "op5_quality": quality.ORACLE, "op7_exact_dedup": _EXACT}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op4_secrets": secrets.ORACLE,
+    "op5_quality": quality.ORACLE,
+    "op6_long_matches": longmatch.ORACLE,
+    "op7_exact_dedup": _EXACT,
+}

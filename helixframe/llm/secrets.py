@@ -408,3 +408,29 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
     base = F.filter("all", lambda x: F.substring_index(x, ":", 1).isin(*BASE))
     n = lambda kind: F.size(F.filter("kinds", lambda x: x == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(k) for k in BASE], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("all", ",").alias("spans"))
+
+
+#: The rules once more for SQL: kind, what stands before the run, the run, its least length.
+_SQL_RULES = (
+    ("assign", r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?", "[A-Za-z0-9+/_.=-]+", 6),
+    ("access", "AKIA", "[A-Z0-9]+", 16),
+    ("hex", "", "[0-9a-f]+", 24),
+    ("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
+    ("slack", "xox[baprs]-", "[A-Za-z0-9-]+", 10),
+    ("google", "AIza", "[A-Za-z0-9_-]+", 35),
+)
+_SQL_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS rule, '{kind}' AS kind, unnest(range(len(m))) AS j, unnest(m) AS m, unnest(list_slice(string_split_regex(t, '{head}{run}'), 1, len(m))) AS p, length(regexp_extract(unnest(m), '^{head}({run})$', 1)) >= {least} AS long_enough FROM (SELECT doc_id, t, regexp_extract_all(t, '{head}{run}') AS m FROM d)"
+    for k, (kind, head, run, least) in enumerate(_SQL_RULES)
+)
+
+#: DuckDB SQL for the query's rows: the pieces between the matches give their places.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_SQL_MATCHES}),
+placed AS (SELECT doc_id, rule, kind, m, long_enough, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, rule ORDER BY j) AS BIGINT) AS e FROM found),
+span AS (SELECT doc_id, rule, kind, e - length(m) AS s, kind || ':' || (e - length(m)) || ':' || e AS x FROM placed WHERE long_enough),
+agg AS (SELECT doc_id, count(*) FILTER (WHERE rule = 0) AS n_assign, count(*) FILTER (WHERE rule = 1) AS n_access, count(*) FILTER (WHERE rule = 2) AS n_hex,
+  coalesce(string_agg(x, ',' ORDER BY s, rule) FILTER (WHERE rule < 3), '') AS base, string_agg(x, ',' ORDER BY s, rule) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (doc_id)
+"""
