@@ -103,7 +103,7 @@ def schedule(counts: DataFrame, weights: dict | None, alpha: float, block: int,
     return counts.select(F.col("source").cast("string"), "count").repartition(1).mapInArrow(run, _PLAN)
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block: int = 64, period: int | None = None, max_sources: int = 1000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, block: int = 64, period: int | None = None, max_sources: int = 1_000_000) -> DataFrame:
     """The rows of ``docs(doc_id, source, ...)`` with mix_block, mix_slot, mix_release, mix_deadline, mix_pos.
 
     Reading by (mix_slot, mix_pos) gives the mixture.  ``weights`` maps sources to target
@@ -113,7 +113,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     ``period`` is given, the weights are first rounded to whole slots of it, one at least.
     A null source is a source of its own.  Every row is scheduled once, repeated rows and
     null ids too; ties of the hash order are rows alike in doc_id.  Sources are counted
-    into one row each; more than ``max_sources`` stop the job.  An empty table gives an
+    into one row each, and the one task that makes the schedule holds a row a source; more
+    than ``max_sources`` stop the job.  An empty table gives an
     empty result.  Other columns stay, but for those with one of the five names above, which
     are replaced.
     """

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import PIECE, buffers, join_counted, materialize, mix, pieces, word_hashes
+from helixframe.storage import release
 
 _U = np.uint64
 _SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
@@ -224,9 +225,11 @@ def components(links: DataFrame) -> DataFrame:
     any number of neighbours is never gathered.  Rounds stop when a round changes nothing.
     """
     e = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    before, old = None, None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if old is not None:
+            release(*old)
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         before = now
@@ -236,6 +239,7 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         met = large.join(low, F.col("u") == F.col("x"))
+        old = (e, large)
         e = materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("x", "m")).distinct(), "small-star")
 
 
@@ -264,12 +268,12 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
 
     def likely(pairs: DataFrame) -> DataFrame:
         oa, ob = (sketch.select(F.col("doc_id").alias(k), F.col("odd").alias(f"odd_{k}")) for k in "ab")
-        return pairs.join(oa, "a").join(ob, "b").where(estimate("odd_a", "odd_b", bands * rows, bits) >= min_estimate).select("a", "b").distinct()
+        return pairs.join(oa.hint("merge"), "a").join(ob.hint("merge"), "b").where(estimate("odd_a", "odd_b", bands * rows, bits) >= min_estimate).select("a", "b").distinct()
 
     star = materialize(likely(shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()), "stars")
     nodes_in_buckets = star.select(F.col("a").alias("doc_id")).union(star.select("b")).union(shared.select("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = materialize(texts.join(nodes_in_buckets, "doc_id", "left_semi"), "texts")
+    texts = materialize(texts.join(nodes_in_buckets.hint("merge"), "doc_id", "left_semi"), "texts")
     links = materialize(confirm(star, texts, percent), "star-links")
     label = components(links)
 
@@ -279,7 +283,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     mixed = tagged.groupBy("key").agg(F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.max(F.when(F.col("doc_id") == F.col("pivot"), F.col("c"))).alias("c_pivot"), F.count(F.lit(1)).alias("n")).where("c_min <> c_max and n > 2")
     tagged = materialize(tagged.join(mixed.select("key", "c_pivot"), "key").where("doc_id <> pivot"), "mixed-buckets")
     met = tagged.select("doc_id").distinct()
-    met_texts = materialize(texts.join(met, "doc_id", "left_semi"), "met-texts")
+    met_texts = materialize(texts.join(met.hint("merge"), "doc_id", "left_semi"), "met-texts")
     lone = lone_shingles(met_texts)
     size = full.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows")).join(lone, "doc_id")
     size = size.select("doc_id", "n", (F.col("n") - F.when(F.col("rows") == 1, F.col("lone")).otherwise(0)).alias("common"))
@@ -291,7 +295,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     own = own.select("doc_id", *[F.when(F.col("sets") == 1, F.col(c)).alias(c) for c in ("bands", "odd")])
     whole = full_sketches(met_texts.join(size.select("doc_id"), "doc_id", "left_semi"), full_bits)
     own = materialize(own.join(whole.withColumnRenamed("n", "set_size"), "doc_id"), "met-sketches")
-    tagged = tagged.join(size, "doc_id").join(own, "doc_id")
+    tagged = tagged.join(size.hint("merge"), "doc_id").join(own.hint("merge"), "doc_id")
     out = tagged.where("c <> c_pivot").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("common").alias("mx"), *[F.col(k).alias(f"{k}_x") for k in ("bands", "odd", "set_size", "parity")])
     rest = out.join(tagged.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"), "c_pivot", F.col("n").alias("ny"), F.col("common").alias("my"), *[F.col(k).alias(f"{k}_y") for k in ("bands", "odd", "set_size", "parity")]), "key")
     most = F.least("mx", "my")

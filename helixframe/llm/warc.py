@@ -27,6 +27,9 @@ from helixframe.llm.common import materialize, new_folder
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = b"\r\n\r\n"
 _GZIP = 31
+#: What is inflated at once, and what records are held for a batch.
+_STEP = 4 << 20
+_ROWS = 64
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -55,14 +58,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The raw records of a gzip stream of one or more members, holding one record at a time."""
+    """The raw records of a gzip stream of one or more members, holding one record and ``_STEP`` bytes more at a time."""
     d = zlib.decompressobj(_GZIP)
     held = bytearray()
     need = -1
     for data in chunks:
         while data:
-            held += d.decompress(data)
-            data = d.unused_data if d.eof else b""
+            held += d.decompress(data, _STEP)
+            data = d.unused_data if d.eof else d.unconsumed_tail
             if d.eof:
                 d = zlib.decompressobj(_GZIP)
             at = 0
@@ -92,7 +95,7 @@ def write_monolithic(rows: DataFrame, folder: str, max_bytes: int = 256 << 20, l
         out = None
         names, counts = [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in (r for i in range(0, batch.num_rows, _ROWS) for r in zip(*(c.to_pylist() for c in batch.slice(i, _ROWS).columns), strict=True)):
                 if out is None:
                     name = f"{path}/{uuid.uuid4().hex}.warc.gz"
                     out, pack, size, n = files.open_output_stream(name, compression=None), zlib.compressobj(level, zlib.DEFLATED, _GZIP), 0, 0
@@ -140,19 +143,25 @@ def normalise(files: DataFrame, folder: str, level: int = 3) -> DataFrame:
     return files.select("file").mapInArrow(run, "file string, at long, length long")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records of an index: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for a revisit).
+def read_records(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+    """The records of an index: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for a revisit, and if not asked for).
 
-    Digest and length of a response are taken from the payload that is read; one that
+    Batches hold a few MB of payloads, or one that is larger.  Digest and length of a response are taken from the payload that is read; one that
     differs from its header stops the job.
     """
     number = lambda s: int(s[10:-1]) if s and len(s) > 11 else None
 
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+
+    def rows_of(out):
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+
     def run(batches):
         store, _ = pafs.FileSystem.from_uri(folder)
         name = src = None
         for batch in batches:
-            out = []
+            out, size = [], 0
             for file, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != name:
                     if src is not None:
@@ -161,15 +170,18 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 src.seek(at)
                 fields, block = parse(zlib.decompress(src.read(length), _GZIP))
                 kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                payload = None
+                body = None
                 if kind == "response":
-                    payload = block[len(_HTTP) :]
-                    if hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"]):
+                    body = block[len(_HTTP) :]
+                    if hashlib.sha1(body).hexdigest() != digest or len(body) != int(fields["X-Payload-Length"]):
                         raise ValueError(f"{file} at {at}: the payload doesn't match its digest")
-                out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, number(fields.get("WARC-Refers-To")), digest, int(fields["X-Payload-Length"]), payload))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+                body = body if payload else None
+                out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, number(fields.get("WARC-Refers-To")), digest, int(fields["X-Payload-Length"]), body))
+                size += len(body or b"")
+                if size > _STEP:
+                    yield rows_of(out)
+                    out, size = [], 0
+            yield rows_of(out)
         if src is not None:
             src.close()
 
@@ -180,15 +192,15 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """pages(page_id, url, html, ...) as record rows: page_id, url, payload, digest, kind, refers_to.
 
     Of equal payloads of at least ``least`` bytes the one with the largest page_id is the
-    response, the others revisit it.  Only groups of two or more are joined back, on
-    (digest, size); the aggregate holds ids and counts only.
+    response, the others revisit it.  Payloads are equal if their SHA-256 digests and sizes
+    are.  Only groups of two or more are joined back; the aggregate holds ids and counts only.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    heads = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select(F.col("digest").alias("hd"), F.col("size").alias("hs"), "head")
-    out = rows.join(heads, (F.col("digest") == F.col("hd")) & (F.col("size") == F.col("hs")), "left")
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload")).withColumn("same", F.sha2("payload", 256))
+    heads = rows.where(F.col("size") >= least).groupBy("same", "size").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = heads.select(F.col("same").alias("hd"), F.col("size").alias("hs"), "head")
+    out = rows.join(heads, (F.col("same") == F.col("hd")) & (F.col("size") == F.col("hs")), "left")
     again = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     return out.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("head")).alias("refers_to"))
 
@@ -210,7 +222,7 @@ def archive(pages: DataFrame) -> tuple[DataFrame, str]:
 def warc_digest(pages: DataFrame) -> DataFrame:
     """The rows of query op3, as read back from the archives."""
     index, folder = archive(pages)
-    return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(index, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB SQL for the query's rows.
