@@ -30,8 +30,8 @@ def _through(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("in_degree = 1 and out_degree = 1").select("node")
 
 
-def _doubled(here: DataFrame, name: str, rounds_of: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pointer doubling of here(edge_id, ptr, dist, low, done) until all are done or no more become so: (done, not done).
+def _doubled(here: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pointer doubling of here(edge_id, ptr, dist, low, done) until all are done or no more become so: (done, not done, written tables).
 
     Rows that are done are written once and stay as targets; only the others are joined, as
     a broadcast once they are few.  What is left when a round brings none home lies on
@@ -58,7 +58,7 @@ def _doubled(here: DataFrame, name: str, rounds_of: int | None = None) -> tuple[
     arrived = tables[0].where("done")
     for t in tables[1:]:
         arrived = arrived.union(t.where("done"))
-    return arrived, tables[-1].where("not done")
+    return arrived, tables[-1].where("not done"), tables
 
 
 def unitigs(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
@@ -77,16 +77,20 @@ def unitigs(edges: DataFrame, through: DataFrame | None = None) -> DataFrame:
     heads = edges.select("edge_id").join(step, "edge_id", "left_anti")
     heads = heads.select("edge_id", F.col("edge_id").alias("ptr"), F.lit(0).cast("long").alias("dist"), F.col("edge_id").alias("low"), F.lit(True).alias("done"))
     rest = step.select("edge_id", F.col("prev").alias("ptr"), F.col("size").cast("long").alias("dist"), F.least("edge_id", "prev").alias("low"), F.lit(False).alias("done"))
-    arrived, ring = _doubled(heads.union(rest), "unitig")
+    arrived, ring, tables = _doubled(heads.union(rest), "unitig")
     out = arrived.select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(False).alias("cyclic"))
     if ring.isEmpty():
-        return materialize(out, "unitigs")
+        out = materialize(out, "unitigs")
+        release(step, *tables)
+        return out
     # Cycles: every edge knows the smallest id of its cycle by now; cut there and walk once more.
     cut = ring.select("edge_id", "low").join(step, "edge_id")
     first = F.col("edge_id") == F.col("low")
     again = cut.select("edge_id", F.when(first, F.col("edge_id")).otherwise(F.col("prev")).alias("ptr"), F.when(first, F.lit(0).cast("long")).otherwise(F.col("size").cast("long")).alias("dist"), "low", first.alias("done"))
-    arrived, _ = _doubled(again, "rings")
-    return materialize(out.unionByName(arrived.select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(True).alias("cyclic"))), "unitigs")
+    arrived, _, more = _doubled(again, "rings")
+    out = materialize(out.unionByName(arrived.select("edge_id", F.col("ptr").alias("unitig_id"), "dist", F.lit(True).alias("cyclic"))), "unitigs")
+    release(step, *tables, *more)
+    return out
 
 
 def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ base (tips and bubbles), some a letter that isn't a base.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,12 @@ def _config(spark, d, files: list[str], kind: str, **more) -> readers.Config:
     return readers.Config(tuple(files), readers.InputFileType(kind), "", _genome(spark, d), THRESHOLD, K, **more)
 
 
+def _toml_graph(spark, d):
+    """The graph that a configuration as text asks for."""
+    text = f'input_files = {json.dumps(_fastq(spark, d))}\ninput_file_type = "Fastq"\noutput_file = "none"\noriginal_genome_length = {_genome(spark, d)}\nminimal_weight_threshold = {THRESHOLD}\nk_mer_size = {K}\nreverse_complement = true\n'
+    return _plain(graph.remove_weak_edges(build(spark, readers.parse_config(text)), THRESHOLD))
+
+
 def _written_fasta(spark, d):
     """Records as they are read back from one file that was written."""
     path = f"{new_folder(spark, 'contigs')}.fasta"
@@ -202,6 +210,8 @@ QUERIES = {
     "fasta_written": _written_fasta,
     "fastq_graph": lambda s, d: _plain(build(s, _config(s, d, _fastq(s, d), "FastQ"))),
     "fastq_graph_via_adjacency": lambda s, d: _plain(build(s, _config(s, d, _fastq(s, d), "fastq"), via_adjacency=True)),
+    "toml_graph_rc": _toml_graph,
+    "contig_stats_empty": lambda s, d: cstats.contig_stats(_lengths(s, d).where("len < 0"), 1_000_000),
     "fasta_graph_rc": lambda s, d: build(s, _config(s, d, _fasta(s, d), "fasta", reverse_complement=True)).select(F.col("label").alias("kmer"), "weight"),
     "bfcounter_graph_rc": lambda s, d: build(s, _config(s, d, _table_files(s, d), "bfcounter", reverse_complement=True)).groupBy("label").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")),
 }
@@ -296,6 +306,8 @@ ORACLE_SQL = {
     "fasta_written": _with(_READS, "SELECT CAST(row_number() OVER (ORDER BY read_id) AS INT) AS nth, seq FROM reads"),
     "fastq_graph": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
     "fastq_graph_via_adjacency": _with(_EDGES, "SELECT src, dst, label, weight FROM edges"),
+    "toml_graph_rc": _with(f"{_READS}, {_WINDOWS}", f"SELECT left(kmer, {K - 1}) AS src, right(kmer, {K - 1}) AS dst, kmer AS label, count(*) AS weight FROM (SELECT kmer FROM win UNION ALL SELECT {_RC.format('kmer')} FROM win) GROUP BY kmer HAVING count(*) >= {THRESHOLD}"),
+    "contig_stats_empty": "SELECT CAST(0 AS BIGINT) AS n50, CAST(0 AS BIGINT) AS l50, CAST(0 AS BIGINT) AS n90, CAST(0 AS BIGINT) AS ng50",
     "fasta_graph_rc": _with(f"{_READS}, {_WINDOWS}", f"SELECT kmer, count(*) AS weight FROM (SELECT kmer FROM win UNION ALL SELECT {_RC.format('kmer')} FROM win) GROUP BY kmer"),
     "bfcounter_graph_rc": _with(_BFC, f"SELECT label, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT kmer AS label, weight FROM bfc WHERE weight >= {THRESHOLD} UNION ALL SELECT {_RC.format('kmer')}, weight FROM bfc WHERE weight >= {THRESHOLD}) GROUP BY label"),
 }

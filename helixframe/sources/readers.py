@@ -53,9 +53,13 @@ def check_k(k: int) -> int:
 
 
 def load_config(path: str) -> Config:
-    """A TOML file with the keys of Config; a missing file, key or unknown format is an error."""
-    with Path(path).open("rb") as f:
-        got = tomllib.load(f)
+    """The configuration in a TOML file; a missing file is an error."""
+    return parse_config(Path(path).read_text(encoding="utf-8"))
+
+
+def parse_config(text: str) -> Config:
+    """TOML with the keys of Config; a missing key or an unknown format is an error, other keys are ignored."""
+    got = tomllib.loads(text)
     got = {k: v for k, v in got.items() if k in {x.name for x in fields(Config)}}
     got["input_files"] = tuple(got["input_files"])
     got["input_file_type"] = InputFileType(got["input_file_type"])
