@@ -153,19 +153,28 @@ def remove_weak_edges(edges: DataFrame, threshold: int) -> DataFrame:
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row: counts, weights and degrees; averages of an empty graph are null.
 
+    Edges are looked at once: their weights go with their source into the degrees' aggregation.
     Contracted paths count as the edges and inner nodes that they stand for.
     """
-    d = degrees(edges).agg(
+    most = F.col("most" if "most" in edges.columns else "weight")
+    none = F.lit(None).cast("long")
+    end = lambda node, i, o, n, total, top: F.struct(F.col(node).alias("node"), F.lit(i).alias("i"), F.lit(o).alias("o"), n.alias("n"), total.alias("total"), top.alias("most"))
+    ends = edges.select(F.explode(F.array(end("src", 0, 1, edge_count(edges), edge_total(edges), most), end("dst", 1, 0, none, none, none))).alias("e"))
+    d = ends.groupBy("e.node").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"), F.sum("e.n").alias("n"), F.sum("e.total").alias("total"), F.max("e.most").alias("most"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    one = d.agg(
         F.count(F.lit(1)).alias("ends"),
-        F.coalesce(F.max("in_degree"), F.lit(0)).alias("max_in_degree"),
-        F.coalesce(F.max("out_degree"), F.lit(0)).alias("max_out_degree"),
-        F.coalesce(F.sum((F.col("in_degree") == 0).cast("long")), F.lit(0)).alias("incoming_vert_count"),
-        F.coalesce(F.sum((F.col("out_degree") == 0).cast("long")), F.lit(0)).alias("outgoing_vert_count"),
+        zero(F.sum("o")).alias("rows"),
+        zero(F.sum("n")).alias("edge_count"),
+        zero(F.max("most")).alias("max_edge_weight"),
+        (F.sum("total") / F.sum("n")).alias("avg_edge_weight"),
+        zero(F.max("i")).alias("max_in_degree"),
+        zero(F.max("o")).alias("max_out_degree"),
+        zero(F.sum((F.col("i") == 0).cast("long"))).alias("incoming_vert_count"),
+        zero(F.sum((F.col("o") == 0).cast("long"))).alias("outgoing_vert_count"),
     )
-    most = F.col("most" if "most" in edges.columns else "weight")
-    n = F.coalesce(F.sum(edge_count(edges)), F.lit(0))
-    e = edges.agg(n.alias("edge_count"), (n - F.count(F.lit(1))).alias("inner"), F.coalesce(F.max(most), F.lit(0)).alias("max_edge_weight"), (F.sum(edge_total(edges)) / F.sum(edge_count(edges))).alias("avg_edge_weight"))
-    return d.crossJoin(F.broadcast(e)).withColumn("node_count", F.col("ends") + F.col("inner")).select("node_count", "edge_count", "max_edge_weight", "avg_edge_weight", "max_in_degree", "max_out_degree", F.expr("try_divide(edge_count, node_count)").alias("avg_out_degree"), "incoming_vert_count", "outgoing_vert_count")
+    one = one.withColumn("node_count", F.col("ends") + F.col("edge_count") - F.col("rows"))
+    return one.select("node_count", "edge_count", "max_edge_weight", "avg_edge_weight", "max_in_degree", "max_out_degree", F.expr("try_divide(edge_count, node_count)").alias("avg_out_degree"), "incoming_vert_count", "outgoing_vert_count")
 
 
 def adjacency_stats(adj: DataFrame) -> DataFrame:
