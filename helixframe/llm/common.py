@@ -169,22 +169,19 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return out.select(*left.columns, *[F.col("_met")[c].alias(c) for c in values])
 
 
-def ranked(df: DataFrame, group: list[str], rank: str, key: list[str], rows_per_chunk: int = 200_000) -> DataFrame:
-    """Add ``rank``: the 0-based rank in each group by (hash of key, key).
+def ranked(df: DataFrame, group: list[str], rank: str, key: list[str], rows_per_chunk: int = 10_000) -> DataFrame:
+    """Add ``rank``: the 0-based rank in each group by (MD5 of the key, joined by colons; key).
 
     A group may hold any part of all rows.  Rows are cut into equal ranges of the
     hash, numbered inside (group, range), and shifted by the counts of the ranges
     before; the cut doesn't change the result.  Only the table of counts (rows /
     rows_per_chunk per group at least) meets in a window over a group.
     """
-    n = df.count()
-    chunks = 1
-    while chunks * rows_per_chunk < n:
-        chunks *= 2
-    bits = max(chunks.bit_length() - 1, 4)
-    df = df.withColumn("_rank_hash", F.xxhash64(*key)).withColumn("_rank_chunk", F.shiftrightunsigned("_rank_hash", 64 - bits))
-    order = [F.shiftrightunsigned("_rank_hash", 1), F.col("_rank_hash"), *[F.col(k).asc_nulls_first() for k in key]]
-    return _numbered(df, group, rank, order).drop("_rank_hash")
+    bits = min(max((df.count() // rows_per_chunk).bit_length(), 6), 28)
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in key])
+    df = df.withColumn("_rank_hash", F.unhex(F.md5(text.cast("binary"))))
+    df = df.withColumn("_rank_chunk", F.shiftright(F.conv(F.hex(F.substring("_rank_hash", 1, 4)), 16, 10).cast("long"), 32 - bits))
+    return _numbered(df, group, rank, [F.col("_rank_hash"), *[F.col(k).asc_nulls_first() for k in key]]).drop("_rank_hash")
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:

@@ -48,3 +48,13 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+
+
+#: SQL: the normal text.
+SQL_TEXT = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
+#: DuckDB SQL for the query's rows.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {SQL_TEXT} AS t FROM documents),
+g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are dealt into blocks of ``block`` rows, in hash order.  Weights
+Documents of a source are dealt into blocks of ``block`` rows, in the order of the hashes of their ids.  Weights
 are exact fractions w_s that sum to 1.  Block j of source s (from 0) may not run before
 slot floor(j / w_s) and must have run by slot ceil((j+1) / w_s); earliest deadline first
 among released blocks meets all windows, hence after every slot each source that still
@@ -129,3 +129,28 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5
     # not hinted: the schedule grows with the rows, and is broadcast only while it is small
     out = out.join(plan, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_block") == F.col("mix_of")))
     return out.select(*[F.col("document")[c].alias(c) for c in own], *MIX_COLUMNS)
+
+
+def ctes(docs: str, out: str, block: int = 64) -> str:
+    """SQL: CTEs that end with ``out``, the rows of ``docs``(doc_id, source, ...) with their mix columns; default weights.
+
+    One step of the recursion fills a slot.  The square roots are whole numbers after a
+    multiplication by 2^52, so windows are exact; for counts under four million.
+    """
+    return f"""{out}_n AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
+{out}_src AS (SELECT list(source ORDER BY source NULLS LAST) AS names, list(CAST(pow(n, 0.5) * 4503599627370496 AS HUGEINT) ORDER BY source NULLS LAST) AS q, list((n + {block - 1}) // {block} ORDER BY source NULLS LAST) AS b, sum(CAST(pow(n, 0.5) * 4503599627370496 AS HUGEINT)) AS total FROM {out}_n),
+{out}_edf AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS j, CAST(0 AS HUGEINT) AS released, CAST(0 AS HUGEINT) AS due, list_transform(b, lambda x: CAST(0 AS BIGINT)) AS done FROM {out}_src
+  UNION ALL
+  SELECT now_, pick, done[pick], rel[pick], dl[pick], list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END) FROM (
+    SELECT *, CAST(list_min(list_transform(range(1, len(done) + 1), lambda i: CASE WHEN rel[i] <= now_ THEN dl[i] * 1000000 + i END)) % 1000000 AS BIGINT) AS pick FROM (
+      SELECT *, CAST(greatest(slot + 1, list_min(rel)) AS BIGINT) AS now_ FROM (
+        SELECT slot, done, list_transform(range(1, len(done) + 1), lambda i: CASE WHEN done[i] < b[i] THEN (done[i] * total) // q[i] END) AS rel, list_transform(range(1, len(done) + 1), lambda i: ((done[i] + 1) * total + q[i] - 1) // q[i]) AS dl FROM {out}_edf, {out}_src)
+      WHERE list_min(rel) IS NOT NULL))),
+{out}_plan AS MATERIALIZED (SELECT names[k] AS source, j, slot, released, due FROM {out}_edf, {out}_src WHERE slot >= 0),
+{out}_rank AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS nth FROM {docs}),
+{out} AS MATERIALIZED (SELECT r.*, j AS mix_block, slot AS mix_slot, CAST(released AS BIGINT) AS mix_release, CAST(due AS BIGINT) AS mix_deadline, nth % {block} AS mix_pos FROM {out}_rank r JOIN {out}_plan p ON r.source IS NOT DISTINCT FROM p.source AND nth // {block} = j)"""
+
+
+#: DuckDB SQL for the query's rows.
+ORACLE = f"WITH RECURSIVE {ctes('documents', 'mixed')} SELECT doc_id, source, mix_block, mix_slot, mix_release, mix_deadline, mix_pos FROM mixed"

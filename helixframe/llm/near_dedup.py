@@ -314,16 +314,18 @@ def near_dedup(docs: DataFrame, percent: int = 75, bands: int = 32, rows: int =
     return named.union(single).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-#: DuckDB SQL for the query's rows: all pairs that share a shingle, so for small tables only.
-ORACLE = r"""
-WITH RECURSIVE
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM (
-  SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
-  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
-links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
-reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT b, root FROM reach JOIN links ON a = doc_id)
-SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
-"""
+def ctes(docs: str, out: str) -> str:
+    """SQL: CTEs that end with ``out``(doc_id, n_shingles, component_id, kept) of ``docs``: all pairs that share a shingle, so for small tables only."""
+    return rf"""{out}_w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {docs}),
+{out}_s AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM {out}_w)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM {out}_w WHERE len(w) BETWEEN 1 AND 4)),
+{out}_n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM {out}_s GROUP BY doc_id),
+{out}_pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM {out}_s x JOIN {out}_s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+{out}_links AS MATERIALIZED (SELECT a, b FROM {out}_pairs JOIN {out}_n x ON x.doc_id = a JOIN {out}_n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+{out}_reach AS (SELECT doc_id, doc_id AS root FROM {docs} UNION SELECT b, root FROM {out}_reach JOIN {out}_links ON a = doc_id),
+{out} AS MATERIALIZED (SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM {out}_reach r LEFT JOIN {out}_n n ON n.doc_id = r.doc_id GROUP BY r.doc_id)"""
+
+
+#: DuckDB SQL for the query's rows.
+ORACLE = f"WITH RECURSIVE {ctes('documents', 'near')} SELECT * FROM near"

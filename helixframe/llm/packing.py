@@ -82,3 +82,31 @@ def pack(docs: DataFrame, buckets: int = 16, max_len: int = 2048, budget: int =
     out = number(out, ["bucket"], "_rank", ["doc_id", "piece"])
     per = F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))
     return out.select("doc_id", "piece", "start_token", "n_tokens", "bucket", "bucket_len", F.floor(F.col("_rank") / per).alias("batch"), (F.col("_rank") % per).alias("row_in_batch"))
+
+
+def ctes(docs: str, out: str, order: str, buckets: int = 16, max_len: int = 2048, budget: int = 65536) -> str:
+    """SQL: CTEs that end with ``out``, the pieces of ``docs``(doc_id, text, ...); ``order`` is what numbers the pieces of a bucket.
+
+    The dynamic program is a recursion over the number of buckets: of equal costs the one
+    with fewer buckets, then the earlier boundary is taken.
+    """
+    return f"""{out}_size AS (SELECT *, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size FROM {docs}),
+{out}_piece AS MATERIALIZED (SELECT *, least({max_len}, size - {max_len} * piece) AS n_tokens FROM (SELECT *, unnest(range(0, greatest((size + {max_len - 1}) // {max_len}, 1))) AS piece FROM {out}_size)),
+{out}_len AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n_tokens) - 1 AS j, n_tokens AS len, CAST(sum(count(*)) OVER (ORDER BY n_tokens) AS BIGINT) AS r, CAST(sum(count(*) * n_tokens) OVER (ORDER BY n_tokens) AS BIGINT) AS t FROM {out}_piece GROUP BY n_tokens),
+{out}_dp AS (
+  SELECT CAST(1 AS BIGINT) AS k, j, {{'c': len * r - t, 'i': CAST(-1 AS BIGINT)}} AS best FROM {out}_len
+  UNION ALL
+  SELECT d.k + 1, b.j, min(CASE WHEN d.j = b.j THEN {{'c': d.best.c, 'i': CAST(-1 AS BIGINT)}} ELSE {{'c': d.best.c + b.len * (b.r - a.r) - (b.t - a.t), 'i': d.j}} END)
+  FROM {out}_dp d JOIN {out}_len a ON a.j = d.j JOIN {out}_len b ON d.j <= b.j WHERE d.k < least({buckets}, (SELECT count(*) FROM {out}_len)) GROUP BY d.k, b.j),
+{out}_back AS (
+  SELECT max(k) AS k, max(j) AS j FROM {out}_dp
+  UNION ALL
+  SELECT b.k - 1, CASE WHEN d.best.i >= 0 THEN d.best.i ELSE b.j END FROM {out}_back b JOIN {out}_dp d ON d.k = b.k AND d.j = b.j WHERE b.k > 1),
+{out}_bound AS (SELECT list(DISTINCT len ORDER BY len) AS bounds FROM {out}_back JOIN {out}_len USING (j)),
+{out}_in AS (SELECT p.*, len(list_filter(bounds, lambda x: x < n_tokens)) AS bucket, bounds FROM {out}_piece p, {out}_bound),
+{out}_at AS (SELECT *, bounds[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY {order}) - 1 AS {out}_row FROM {out}_in),
+{out} AS (SELECT doc_id, piece, piece * {max_len} AS start_token, n_tokens, CAST(bucket AS INT) AS bucket, bucket_len, {out}_row // ({budget} // greatest(bucket_len, 1)) AS batch, {out}_row % ({budget} // greatest(bucket_len, 1)) AS row_in_batch FROM {out}_at)"""
+
+
+#: DuckDB SQL for the query's rows.
+ORACLE = f"WITH RECURSIVE {ctes('documents', 'packed', 'md5(concat_ws(chr(58), doc_id, piece)), doc_id NULLS FIRST, piece')} SELECT * FROM packed"

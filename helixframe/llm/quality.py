@@ -119,23 +119,25 @@ def passing(docs: DataFrame) -> DataFrame:
     return judged.select(*[(new.get(c, F.col("document")[c])).alias(c) for c in docs.columns])
 
 
+def ctes(docs: str, out: str) -> str:
+    """SQL: CTEs that end with ``out``, the rows of ``docs``(doc_id, text, ...) with the counts, lost_chars, clean_text and the verdicts."""
+    ends = ENDS.replace("'", "''")
+    count = lambda pattern: f"len(list_filter(lw, lambda y: regexp_matches(y, '{pattern}')))"
+    return rf"""{out}_w AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda x: x <> '') AS ws FROM {docs}),
+{out}_win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM {out}_w)),
+{out}_hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM {out}_win) WHERE n > 1),
+{out}_rep AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM {out}_hit) GROUP BY rid),
+{out}_line AS (SELECT rid, j, x, list_filter(regexp_split_to_array(x, '{WS}+'), lambda y: y <> '') AS lw FROM (SELECT rid, unnest(range(len(string_split(t, chr(10))))) AS j, unnest(string_split(t, chr(10))) AS x FROM {out}_w)),
+{out}_seen AS (SELECT rid, j, x, len(lw) AS n, {count(MARK)} AS marks, {count(BAR)} AS bars, len(regexp_extract_all(lower(x), '{NOTICE}')) AS notices FROM {out}_line),
+{out}_judged AS (SELECT *, n > 0 AND ((n < 5 AND NOT regexp_matches(x, '{ends}')) OR (marks >= {LEAST_MARKS} AND 100 * marks > {DENSE_PERCENT} * n) OR (bars >= {LEAST_MARKS} AND 100 * {BAR_WORDS} * bars > {DENSE_PERCENT} * n)
+  OR regexp_matches(lower(x), '{MENU}') OR 100 * {NOTICE_WORDS} * notices > {DENSE_PERCENT} * n) AS bad FROM {out}_seen),
+{out}_text AS (SELECT rid, CAST(coalesce(sum(length(regexp_replace(x, '{WS}+', '', 'g'))) FILTER (WHERE bad), 0) AS BIGINT) AS lost_chars, count(*) FILTER (WHERE n > 0) - count(DISTINCT x) FILTER (WHERE n > 0) AS n_dup_lines, coalesce(string_agg(x, chr(10) ORDER BY j) FILTER (WHERE NOT bad), '') AS clean_text FROM {out}_judged GROUP BY rid),
+{out}_count AS (SELECT b.*, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{WS}+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, lost_chars, clean_text
+  FROM {out}_w b LEFT JOIN {out}_rep rep ON b.rid = rep.rid JOIN {out}_text l ON b.rid = l.rid),
+{out}_base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM {out}_count),
+{out} AS (SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM {out}_base)"""
+
+
 #: DuckDB SQL for the query's rows.
-ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
-win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
-hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
-rep AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM hit) GROUP BY rid),
-lines AS (SELECT rid, x, list_filter(regexp_split_to_array(x, '{WS}+'), lambda y: y <> '') AS lw FROM (SELECT rid, unnest(ls) AS x FROM w)),
-seen AS (SELECT rid, x, len(lw) AS n, len(list_filter(lw, lambda y: regexp_matches(y, '{MARK}'))) AS marks, len(list_filter(lw, lambda y: regexp_matches(y, '{BAR}'))) AS bars, len(regexp_extract_all(lower(x), '{NOTICE}')) AS notices FROM lines),
-lost AS (SELECT rid, CAST(sum(length(regexp_replace(x, '{WS}+', '', 'g'))) AS BIGINT) AS lost_chars FROM seen
-  WHERE (n < 5 AND NOT regexp_matches(x, '{ENDS.replace("'", "''")}')) OR (marks >= {LEAST_MARKS} AND 100 * marks > {DENSE_PERCENT} * n) OR (bars >= {LEAST_MARKS} AND 100 * {BAR_WORDS} * bars > {DENSE_PERCENT} * n)
-  OR regexp_matches(lower(x), '{MENU}') OR 100 * {NOTICE_WORDS} * notices > {DENSE_PERCENT} * n GROUP BY rid),
-f AS (SELECT b.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{WS}+', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-  coalesce(lost_chars, 0) AS lost_chars
-  FROM w b LEFT JOIN rep ON b.rid = rep.rid LEFT JOIN lost ON b.rid = lost.rid),
-g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, lost_chars FROM g
-"""
+ORACLE = f"WITH {ctes('documents', 'quality')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars FROM quality"

@@ -60,12 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_near_dedup, op2_language_id, op3_warc, op4_secrets, op5_quality, op6_long_matches, op7_exact_dedup, op8_mixing, op9_packing, op10_toxicity)
 }
 
-_EXACT = r"""
-WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
-g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
-"""
-
 #: The other operators are tested against brute force (tests/llm).
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": near_dedup.ORACLE,
@@ -73,5 +67,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secrets": secrets.ORACLE,
     "op5_quality": quality.ORACLE,
     "op6_long_matches": longmatch.ORACLE,
-    "op7_exact_dedup": _EXACT,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op9_packing": packing.ORACLE,
 }

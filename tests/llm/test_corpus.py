@@ -354,10 +354,9 @@ def test_mixing_follows_the_target_weights(spark):
         mixing.whole({"a": 1.0, "b": 0.0})
 
 
-def unsigned_rank(spark, rows, cols):
+def by_hash(rows):
     """Rows of ids in the order of their hash, as the operators number them."""
-    got = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols)).withColumn("h", F.xxhash64(*cols)).collect()
-    return [tuple(r)[:-1] for r in sorted(got, key=lambda r: ((r.h & (1 << 64) - 1) >> 1, r.h, tuple(-1 if x is None else x for x in tuple(r)[:-1])))]
+    return sorted(rows, key=lambda r: (hashlib.md5(":".join(str(x) for x in r if x is not None).encode()).digest(), tuple(-1 if x is None else x for x in r)))
 
 
 def test_mixing_against_plain_schedule(spark):
@@ -382,7 +381,7 @@ def test_mixing_against_plain_schedule(spark):
     got = mixing.mix_sources(docs, weights=weights, block=8).collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter(rows) and all((r.document, r.mix_other, r["_rank_chunk"]) == ("d", 3, 1) for r in got)
     for s in n:
-        order = unsigned_rank(spark, [(i,) for i, x in rows if x == s], ["doc_id"])
+        order = by_hash([(i,) for i, x in rows if x == s])
         assert [(r.doc_id,) for r in sorted((r for r in got if r.source == s), key=lambda r: (r.mix_block, r.mix_pos))] == order
         assert all(r.mix_slot == want[s, r.mix_block] for r in got if r.source == s)
 
@@ -403,7 +402,7 @@ def test_packing_against_plain_version(spark, texts):
     bounds = sorted({r.bucket_len for r in got})
     assert pad(bounds) == best and all(r.bucket_len == min(x for x in bounds if x >= r.n_tokens) and r.bucket == bounds.index(r.bucket_len) for r in got)
     for k, size in enumerate(bounds):
-        order = unsigned_rank(spark, [(r.doc_id, r.piece) for r in got if r.bucket == k], ["doc_id", "piece"])
+        order = by_hash([(r.doc_id, r.piece) for r in got if r.bucket == k])
         per = 100 // max(size, 1)
         assert {(r.doc_id, r.piece): (r.batch, r.row_in_batch) for r in got if r.bucket == k} == {x: divmod(j, per) for j, x in enumerate(order)}
 
