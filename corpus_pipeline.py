@@ -10,12 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm import exact_dedup, mixing, near_dedup, packing, quality
 from helixframe.llm.common import materialize
-from helixframe.llm.exact_dedup import exact_dedup
-from helixframe.llm.mixing import mix_sources
-from helixframe.llm.near_dedup import near_dedup
-from helixframe.llm.packing import pack
-from helixframe.llm.quality import passing
 
 
 def by_id(docs: DataFrame) -> DataFrame:
@@ -38,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts go.  Repeated rows are judged each.  An empty table gives an empty one.
     """
-    return passing(docs)
+    return quality.passing(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the first number stays, so one row stays of repeated rows, too.  An empty table gives an empty one.
     """
     whole = by_id(docs)
-    return kept_rows(whole, exact_dedup(whole).where("kept"))
+    return kept_rows(whole, exact_dedup.exact_dedup(whole).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +53,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay, as they are linked with nothing.  An empty table gives an empty one.
     """
     whole = by_id(docs)
-    return kept_rows(whole, near_dedup(whole).where("kept"))
+    return kept_rows(whole, near_dedup.near_dedup(whole).where("kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null source is a source of its own.  Repeated rows and null ids stay.  An empty table gives an empty one.
     """
     rows = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", "source")
-    return mix_sources(rows).orderBy("mix_slot", "mix_pos").select("document.*")
+    return mixing.mix_sources(rows).orderBy("mix_slot", "mix_pos").select("document.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,13 +71,22 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are a piece of no tokens.  Repeated rows and null ids are packed each.
     An empty table gives an empty one.
     """
-    return pack(docs, keep_order=True)
+    return packing.pack(docs, keep_order=True)
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: MinHash candidates, the schedule and the dynamic program have no SQL form; tests compare with brute force.
-ORACLE_SQL = None
+#: DuckDB SQL for the rows of ``run``, stage by stage, for small tables; ids are unique there.
+ORACLE_SQL = f"""
+WITH RECURSIVE {quality.ctes("documents", "judged")},
+clean AS MATERIALIZED (SELECT doc_id, source, clean_text AS text FROM judged WHERE kept),
+single AS MATERIALIZED (SELECT * FROM clean QUALIFY doc_id = min(doc_id) OVER (PARTITION BY {exact_dedup.SQL_TEXT})),
+{near_dedup.ctes("single", "near")},
+apart AS MATERIALIZED (SELECT * FROM single WHERE doc_id IN (SELECT doc_id FROM near WHERE kept)),
+{mixing.ctes("apart", "mixed")},
+{packing.ctes("mixed", "packed", "mix_slot, mix_pos, piece")}
+SELECT * FROM packed
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
