@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, min(1 << n.bit_length(), PIECE + 1))
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, b, _U)
             p[0] = 1
@@ -91,6 +91,15 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def white_space(buf: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that holds white space, or the end."""
+    for k in range(at, len(buf), 1 << 16):
+        found = np.flatnonzero(_IS_WS[buf[k : k + (1 << 16)]])
+        if len(found):
+            return k + int(found[0])
+    return len(buf)
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words with A-Z lowered, and for each text the index of its first word (and the total).
 

@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import join_counted, materialize, pieces, prefix_hash, range_hash, word_hashes
+from helixframe.llm.common import join_counted, materialize, pieces, prefix_hash, range_hash, white_space, word_hashes
 from helixframe.storage import release
 
 _U = np.uint64
 _POS = _U((1 << 23) - 1)
-_SLICE = 4 << 20
+#: Bytes of rows, or symbols of one text, that are looked at together: a dozen arrays of 8 bytes a symbol are held for them.
+_PIECE = 1 << 18
 _LISTED = "doc_id long, th long, lo int, n int, at int, core long, s1 long, s2 long"
 
 
@@ -89,7 +90,18 @@ def segments_of(sym: np.ndarray, offsets: np.ndarray, length: int, q: int, parts
 
 def symbols(unit: str, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of texts and their offsets in them: the bytes, or 64-bit hashes of the words."""
-    return (buf, offsets) if unit == "byte" else word_hashes(buf, offsets)
+    if unit == "byte":
+        return buf, offsets
+    if len(offsets) > 2 or len(buf) <= _PIECE:
+        return word_hashes(buf, offsets)
+    # a long text goes by parts that end in front of white space
+    out, at = [], 0
+    while at < len(buf):
+        end = white_space(buf, at + _PIECE)
+        out.append(word_hashes(buf[at:end], np.array([0, end - at]))[0])
+        at = end
+    sym = np.concatenate(out)
+    return sym, np.array([0, len(sym)])
 
 
 def digest(content: bytes) -> tuple[int, int]:
@@ -103,13 +115,15 @@ def digests(contents: list) -> np.ndarray:
 
 
 def list_segments(rows: DataFrame, unit: str, length: int, q: int, parts: int) -> DataFrame:
+    slice_ = max(_PIECE, 4 * length)
+
     def run(batches):
         for batch in batches:
-            for first, _, buf, off in pieces(batch.column(2)):
+            for first, _, buf, off in pieces(batch.column(2), _PIECE):
                 sym, off = symbols(unit, buf, off)
                 # a text beyond the slice size is cut with an overlap, so that each window lies in one slice
-                for s in range(0, max(1, len(sym) - length + 1), _SLICE - length + 1) if len(off) == 2 else [0]:
-                    part, o = (sym, off) if len(off) > 2 else (sym[s : s + _SLICE], np.array([0, min(_SLICE, len(sym) - s)]))
+                for s in range(0, max(1, len(sym) - length + 1), slice_ - length + 1) if len(off) == 2 else [0]:
+                    part, o = (sym, off) if len(off) > 2 else (sym[s : s + slice_], np.array([0, min(slice_, len(sym) - s)]))
                     text, lo, n, at, core = segments_of(part, o, length, q, parts)
                     if len(text):
                         raw, width = memoryview(np.ascontiguousarray(part).view(np.uint8)), part.itemsize
@@ -143,31 +157,41 @@ def suffix_order(s: np.ndarray, stop: np.ndarray, bits: int) -> tuple[np.ndarray
         key[: n - j] |= np.where(stop[: n - j] > j, s[j:], 0).astype(_U)
     low = _U((1 << place) - 1)
     if per * bits + place <= 64:
-        order = np.sort(key << _U(place) | np.arange(n, dtype=_U))
-        sa, key = (order & low).astype(np.int64), order >> _U(place)
+        key <<= _U(place)
+        key |= np.arange(n, dtype=_U)
+        key.sort()
+        sa = (key & low).astype(np.int32)
+        key >>= _U(place)
     else:
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key, kind="stable").astype(np.int32)
         key = key[sa]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     new = np.ones(n, bool)
     new[1:] = (key[1:] != key[:-1]) | (stop[sa[1:]] < per)
-    head = np.flatnonzero(new)
+    del key
+    head = np.flatnonzero(new).astype(np.int32)
     rank[sa] = np.repeat(head, np.diff(np.append(head, n)))
-    levels, k = [(per, rank.astype(np.int32))], per
+    levels, k = [(per, rank.copy())], per
     alone = new & np.append(new[1:], True)
-    open_ = np.flatnonzero(~alone)
+    open_ = np.flatnonzero(~alone).astype(np.int32)
     while len(open_):
         at = sa[open_]
-        order = np.sort((rank[at].astype(_U) << _U(place) | rank[at + k].astype(_U)) << _U(place) | at.astype(_U))
-        sa[open_] = at = (order & low).astype(np.int64)
-        pair = order >> _U(place)
+        order = rank[at].astype(_U)
+        order <<= _U(place)
+        order |= rank[at + k].astype(_U)
+        order <<= _U(place)
+        order |= at.astype(_U)
+        order.sort()
+        sa[open_] = at = (order & low).astype(np.int32)
+        order >>= _U(place)
         new = np.ones(len(at), bool)
-        new[1:] = pair[1:] != pair[:-1]
+        new[1:] = order[1:] != order[:-1]
+        del order
         head = np.flatnonzero(new)
         rank[at] = np.repeat(open_[head], np.diff(np.append(head, len(at))))
         open_ = open_[~(new & np.append(new[1:], True))]
         k *= 2
-        levels.append((k, rank.astype(np.int32)))
+        levels.append((k, rank.copy()))
     return sa, levels
 
 
@@ -179,16 +203,17 @@ class RunIndex:
         self.starts = np.concatenate([[0], np.cumsum(size + 1)])
         ends = self.starts[1:] - 1
         n = int(self.starts[-1])
-        s = np.zeros(n, np.int64)
+        s = np.zeros(n, np.int32)
         inside = np.ones(n, bool)
         inside[ends] = False
         all_ = np.concatenate(texts)
         if all_.dtype == np.uint8:
-            s[inside], top = all_.astype(np.int64) + 1, 256
+            s[inside], top = all_.astype(np.int32) + 1, 256
         else:
             s[inside] = np.unique(all_, return_inverse=True)[1].reshape(-1) + 1
             top = int(s.max())
-        self.stop = np.repeat(ends, size + 1) - np.arange(n)
+        del inside, all_
+        self.stop = np.repeat(ends.astype(np.int32), size + 1) - np.arange(n, dtype=np.int32)
         sa, levels = suffix_order(s, self.stop, top.bit_length())
         bwt = s[sa - 1]
         # a separator differs from every other, so it is a run of its own
@@ -215,17 +240,15 @@ class RunIndex:
         """For each position whether the ``length`` symbols from there occur elsewhere in the collection.
 
         From the first position of a run to the next sample the predecessor in suffix order
-        moves along with the position and the match shortens by one, so the matching
-        statistics come in one pass.
+        moves along with the position and the match shortens by one, so the positions of a
+        sample that are repeated are the first ones, as are those of its predecessor.
         """
-        i = np.arange(self.n)
-        j = np.searchsorted(self.sample, i, "right") - 1
-        ahead = i - self.sample[j]
-        long = self.lcp[j] - ahead >= length
-        out = np.zeros(self.n, bool)
-        out[long] = True
-        out[(self.phi[j] + ahead)[long]] = True
-        return out
+        ahead = np.minimum(np.diff(np.append(self.sample, self.n)), self.lcp - length + 1)
+        long = ahead > 0
+        begin = np.concatenate([self.sample[long], self.phi[long]])
+        edge = np.bincount(begin, minlength=self.n + 1)
+        edge -= np.bincount(begin + np.tile(ahead[long], 2), minlength=self.n + 1)
+        return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,15 +278,17 @@ def index_cores(contents: DataFrame, unit: str, length: int, chunk: int) -> Data
         return pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(s + lo), pa.array(e + lo - 1 + length)], names=["doc_id", "th", "s", "e"])
 
     def run(batches):
-        held, size, last = [], 0, None
+        # whole cores until the next one would go beyond the chunk; a larger core is a collection of its own
+        held, size, last, begin, before = [], 0, None, 0, 0
         for batch in batches:
             for core, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if core != last and size >= chunk:
-                    yield flush(held)
-                    held, size = [], 0
-                last = core
+                if core != last:
+                    last, begin, before = core, len(held), size
                 held.append(row)
                 size += len(row[4]) // np.dtype(kind).itemsize
+                if size > chunk and begin:
+                    yield flush(held[:begin])
+                    held, size, begin, before = held[begin:], size - before, 0, 0
         if held:
             yield flush(held)
 
@@ -313,7 +338,7 @@ def fetch(rows: DataFrame, wanted: DataFrame, unit: str, length: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for first, end, buf, off in pieces(batch.column(2)):
+            for first, end, buf, off in pieces(batch.column(2), _PIECE):
                 sym, off = symbols(unit, buf, off)
                 raw = memoryview(sym.view(np.uint8))
                 part = batch.column(3).slice(first, end - first)
@@ -392,8 +417,10 @@ def unite(marks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             starts, ends = [], []
-            for s, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, e = np.array(s, np.int64), np.array(e, np.int64)
+            # both lists of a text are as long, as no mark has a null
+            flat = [batch.column(k).flatten().to_numpy() for k in (2, 3)]
+            edge = np.cumsum(batch.column(2).value_lengths().to_numpy())
+            for s, e in zip(*(np.split(x, edge)[: batch.num_rows] for x in flat), strict=True):
                 o = np.argsort(s, kind="stable")
                 s, top = s[o], np.maximum.accumulate(e[o])
                 new = np.concatenate([[True], s[1:] > top[:-1]])

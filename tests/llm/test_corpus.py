@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -281,6 +282,64 @@ def test_run_index_against_brute_force():
                     assert rep[index.starts[k] : index.starts[k] + len(t)].tolist() == want
 
 
+class Batches:
+    """A table of one task: mapInArrow gives the function's batches at once."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, f, _):  # noqa: N802
+        return f(iter(self.batches))
+
+
+def peak_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_matches_memory_of_a_worker(monkeypatch):
+    """What a Python worker holds depends neither on the batch nor on a text's length, and cores go to an index whole, up to the chunk."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [prose(800).encode() for _ in range(1000)]
+    for rows in (texts, [b" ".join(texts)]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)))] * 2 + [pa.array(rows, pa.binary())], names=["doc_id", "th", "bytes"])
+        for unit, length, q, parts in (("byte", 400, 64, 2), ("word", 51, 8, 1)):
+            most = peak_mb(lambda: [b.num_rows and None for b in longmatch.list_segments(Batches(batch), unit, length, q, parts)])  # noqa: B023
+            assert most < 48, (unit, len(rows), most)
+    raw = np.frombuffer(RNG.randbytes(1 << 19), np.uint8)
+    assert peak_mb(lambda: longmatch.RunIndex(np.split(raw, 1024)).repeated(400)) < 80 * len(raw) / 1e6
+
+    sizes, index = [], longmatch.RunIndex
+    monkeypatch.setattr(longmatch, "RunIndex", lambda x: sizes.append(sum(map(len, x))) or index(x))
+    core = np.repeat(range(6), [5, 5, 30, 1, 4, 4])
+    n, content = len(core), [bytes(raw[k : k + 10]) for k in range(0, 10 * len(core), 10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(core), *[pa.array(range(n))] * 2, pa.array([0] * n, pa.int32()), pa.array([1] * n), pa.array(content, pa.binary())], names=["core", "doc_id", "th", "lo", "cnt", "content"])
+    list(longmatch.index_cores(Batches(batch.slice(0, 7), batch.slice(7)), "byte", 5, 100))
+    assert sizes == [100, 300, 90]
+
+
+def test_words_of_a_long_text():
+    import numpy as np
+
+    from helixframe.llm.common import word_hashes
+
+    for text in (prose(200_000), " " + "x" * 600_000 + " y  " + "z" * 300_000, "a" * (1 << 18) + " b", "a " * (1 << 17) + "b \n"):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        whole, part = (f(buf, np.array([0, len(buf)])) for f in (word_hashes, lambda *x: longmatch.symbols("word", *x)))
+        assert whole[0].tolist() == part[0].tolist() and whole[1].tolist() == part[1].tolist()
+
+
 def test_secrets(spark, texts):
     find = [
         ("assign", re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A), lambda m: len(m[2]) >= 6),
