@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import dna
 from helixframe.operators import graph, paths
 from helixframe.operators.contig_stats import contig_stats
+from helixframe.operators.segments import edge_rows, segments
 from helixframe.sources import readers, sinks
 from helixframe.storage import materialize
 
@@ -45,7 +46,8 @@ def assemble_graph(edges: DataFrame, k: int, genome: int, threshold: int, stages
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         log.info("%s", name)
-        stages[name] = df = materialize(df, name)
+        # a k-mer graph needs no table of its own: its paths come from its reads
+        stages[name] = df = df if graph.kmers_of(df) else materialize(df, name)
         if log.isEnabledFor(logging.DEBUG):
             sinks.log_stats(graph.graph_stats(df))
         return df
@@ -64,6 +66,10 @@ def assemble_graph(edges: DataFrame, k: int, genome: int, threshold: int, stages
 def _compact(built: DataFrame, place: DataFrame, left: DataFrame, k: int) -> DataFrame:
     """The paths of what is left as edges with labels, put together from the edges that were built."""
     u = paths.unitigs(left).withColumnRenamed("edge_id", "path_id").withColumnRenamed("dist", "before")
+    if (pieces := segments(built)) is not None:
+        rings = edge_rows(pieces.where("cyclic"), k).select(F.col("edge_id").alias("path_id"), F.lit(0).cast("long").alias("dist"), F.col("label").alias("seq"))
+        rows = pieces.where("not cyclic").select(F.col("unitig_id").alias("path_id"), "dist", "seq").union(rings).join(u.join(left.select(F.col("edge_id").alias("path_id"), "weight"), "path_id"), "path_id")
+        return paths.merged_pieces(rows.select("unitig_id", (F.col("before") + F.col("dist")).alias("dist"), "seq", F.array("weight").alias("weights")), k)
     at = place.join(u, "path_id").select("edge_id", F.col("unitig_id").alias("path_id"), (F.col("before") + F.col("dist")).alias("dist"))
     label = F.when(F.col("dist") == 0, F.col("label")).otherwise(dna.last_base(F.col("label")))
     labels = paths.merged_labels(built.select("edge_id", "label").join(at, "edge_id").select("path_id", "dist", label.alias("label")))
